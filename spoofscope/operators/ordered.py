@@ -153,9 +153,12 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row["m"] or 0)
 
 
-def _use_range(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> bool:
+def _use_range(df: DataFrame, keys: Sequence[str], hot_rows: int | None,
+               largest: int | None = None) -> bool:
     limit = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
-    return largest_group(df, keys) > limit
+    if largest is None:
+        largest = largest_group(df, keys)
+    return largest > limit
 
 
 def _walked_checkpointed(df, keys, order, diff_cols, partitions) -> DataFrame:
@@ -172,7 +175,7 @@ def _walked_checkpointed(df, keys, order, diff_cols, partitions) -> DataFrame:
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
                   index_col: str = "rn", partitions: int | None = None,
-                  hot_rows: int | None = None) -> DataFrame:
+                  hot_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Add ``index_col``: 0-based position of the row inside its key group,
     equal to ``row_number() - 1`` over ``PARTITION BY keys ORDER BY order``.
 
@@ -180,7 +183,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
     range exchange, one checkpoint, and a broadcast table of at most one row
     per partition.
     """
-    if not _use_range(df, keys, hot_rows):
+    if not _use_range(df, keys, hot_rows, largest):
         w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
         return df.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
     walked = _walked_checkpointed(df, keys, order, [], partitions)
