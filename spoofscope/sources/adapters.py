@@ -24,10 +24,13 @@ _UX = {
 
 # Scaling constant used by the synthetic features: it keeps averages of
 # short decimals away from rounding ties so both engines agree to 1e-6.
-# Fixed value: 1.0371923
+# 1.0371923 and 1.03719237331
 
 _K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
 _D = "cast(1.0371923 as double)"
+# Altitudes use a longer factor: differences of altitudes would otherwise
+# end exactly on a 7th-decimal 5 and the engines round such ties differently.
+_DA = "cast(1.03719237331 as double)"
 
 # B1: aircraft state rows (raw text columns where the live feed sends text).
 ADSB_RAW = f"""
@@ -52,8 +55,8 @@ FROM (
          CASE WHEN event_id % 7 = 0 THEN 'True' ELSE 'False' END AS spi,
          cast(1000 + event_id % 6777 AS string) AS squawk,
          CASE WHEN event_id % 11 = 0 THEN NULL
-              ELSE cast(1000 + event_id * 31 % 9000 AS double) * {_D} END AS baroaltitude,
-         cast(1000 + event_id * 31 % 9000 + event_id * 17 % 300 AS double) * {_D} AS geoaltitude,
+              ELSE cast(1000 + event_id * 31 % 9000 AS double) * {_DA} END AS baroaltitude,
+         cast(1000 + event_id * 31 % 9000 + event_id * 17 % 300 AS double) * {_DA} AS geoaltitude,
          CASE WHEN {_K} % 17 = 0 THEN NULL ELSE cast(UX - {_K} % 90 AS double) END AS lastposupdate,
          cast(UX - {_K} % 20 AS double) AS lastcontact,
          CASE WHEN event_id % 13 = 0 THEN NULL ELSE ' CS' || cast(user_id AS string) || ' ' END AS callsign,
@@ -81,8 +84,8 @@ SELECT event_id + 100000000 AS seq,
        CASE WHEN event_id % 7 = 0 THEN 'True' ELSE 'False' END AS spi,
        cast(1000 + event_id % 6777 AS string) AS squawk,
        CASE WHEN event_id % 11 = 0 THEN NULL
-            ELSE cast(1000 + event_id * 31 % 9000 AS double) * {_D} END AS baroaltitude,
-       cast(1000 + event_id * 31 % 9000 + event_id * 17 % 300 AS double) * {_D} AS geoaltitude,
+            ELSE cast(1000 + event_id * 31 % 9000 AS double) * {_DA} END AS baroaltitude,
+       cast(1000 + event_id * 31 % 9000 + event_id * 17 % 300 AS double) * {_DA} AS geoaltitude,
        CASE WHEN {_K} % 17 = 0 THEN NULL ELSE cast(UX - {_K} % 90 AS double) END AS lastposupdate,
        cast(UX + 60 - {_K} % 20 AS double) AS lastcontact,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE ' CS' || cast(user_id AS string) || ' ' END AS callsign,
