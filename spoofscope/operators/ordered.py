@@ -183,6 +183,9 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
     range exchange, one checkpoint, and a broadcast table of at most one row
     per partition.
     """
+    if not keys:  # one global group
+        return ordered_index(df.withColumn("_all", F.lit(0)), ["_all"], order, index_col,
+                             partitions, hot_rows, largest).drop("_all")
     if not _use_range(df, keys, hot_rows, largest):
         w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
         return df.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))

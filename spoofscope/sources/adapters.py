@@ -153,3 +153,19 @@ def tracking_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cte(name: str, template: str) -> str:
     """``name AS (...)`` for an oracle ``WITH`` clause."""
     return f"{name} AS ({sql_for(template, 'duckdb')})"
+
+
+# B3: scored holdout rows (probability with ties, groups, labels).
+SCORES = f"""
+SELECT event_id AS seq, user_id AS group_id,
+       'file_' || cast(user_id % 7 AS string) AS source_file,
+       'track_' || cast(user_id AS string) AS tracking_file,
+       'label_' || cast({_K} % 4 AS string) AS label,
+       CASE WHEN {_K} % 4 <> 0 THEN 1 ELSE 0 END AS y_true,
+       cast(event_id * 7919 % 1000 AS double) / cast(1000.37 AS double) AS spoof_probability
+FROM {{events}}
+"""
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(sql_for(SCORES, "spark"), events=read_table(spark, sf_dir, "events"))
