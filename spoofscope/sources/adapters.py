@@ -169,3 +169,33 @@ FROM {{events}}
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql_for(SCORES, "spark"), events=read_table(spark, sf_dir, "events"))
+
+
+# GPS track rows (device logs with mixed normal/spoofed segments).
+GPS_TRACK = """
+SELECT event_id AS seq, 'AV-GPS-dev' || cast(user_id % 10 AS string) AS device_id,
+       'AV-GPS-dev' || cast(user_id % 10 AS string) || '.csv' AS source_file, ts,
+       CASE WHEN event_id % 53 = 0 THEN NULL
+            ELSE cast(48.5 AS double) + cast(event_id * 7919 % 11000 AS double) / cast(1037.1923 AS double) END AS lat,
+       CASE WHEN event_id % 53 = 0 THEN NULL
+            ELSE cast(13.5 AS double) + cast(event_id * 104729 % 13500 AS double) / cast(1037.1923 AS double) END AS lon,
+       cast(event_id * 31 % 900 AS double) / cast(3.7 AS double) AS altitude,
+       value AS speed,
+       cast(event_id * 37 % 360 AS double) AS heading,
+       CASE WHEN user_id % 10 IN (0, 1, 2) THEN 0 WHEN user_id % 10 = 9 THEN 1
+            WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS is_spoofed
+FROM {events}
+"""
+
+
+def gps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS log rows under vendor-style headers (text timestamp and label)."""
+    t = spark.sql(sql_for(GPS_TRACK, "spark"), events=read_table(spark, sf_dir, "events"))
+    from pyspark.sql import functions as F
+    return t.select(
+        "seq", "source_file",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date Time"),
+        F.col("lat").cast("string").alias("GPS Latitude"), F.col("lon").cast("string").alias("Lng"),
+        F.col("altitude").cast("string").alias("Alt"), F.col("speed").cast("string").alias("Speed"),
+        F.col("heading").cast("string").alias("Course"),
+        F.col("is_spoofed").cast("string").alias("Data Type"))
