@@ -199,3 +199,17 @@ def gps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("altitude").cast("string").alias("Alt"), F.col("speed").cast("string").alias("Speed"),
         F.col("heading").cast("string").alias("Course"),
         F.col("is_spoofed").cast("string").alias("Data Type"))
+
+
+# Raw IQ samples (interleaved int16 pairs in a recording).
+IQ_SAMPLES = """
+SELECT 'recording_' || cast(event_id % 2 AS string) AS source,
+       cast(floor(event_id / 2) AS bigint) AS idx,
+       cast(event_id * 7919 % 65536 - 32768 AS smallint) AS i,
+       cast(event_id * 104729 % 65536 - 32768 AS smallint) AS q
+FROM {events}
+"""
+
+
+def iq_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(sql_for(IQ_SAMPLES, "spark"), events=read_table(spark, sf_dir, "events"))
