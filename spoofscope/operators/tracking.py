@@ -32,6 +32,22 @@ GROUP_KEYS = ["source_file", "tracking_file", "prn"]
 EPS = 1e-12
 
 
+FEATURE_COLUMNS = [
+    "n_epochs", "cn0_original_mean", "cn0_original_std", "cn0_original_median", "cn0_original_min",
+    "cn0_original_max", "cn0_est_prompt", "prompt_abs_mean", "prompt_abs_std", "prompt_abs_median",
+    "prompt_abs_min", "prompt_abs_max", "prompt_i_mean", "prompt_i_std", "prompt_q_mean", "prompt_q_std",
+    "doppler_mean", "doppler_std", "doppler_min", "doppler_max", "doppler_range", "pll_lock_ratio",
+    "carrier_error_mean", "carrier_error_std", "carrier_error_abs_mean", "carrier_phase_std",
+    "carrier_error_filt_mean", "carrier_error_filt_std", "code_error_mean", "code_error_std",
+    "code_error_abs_mean", "code_error_filt_mean", "code_error_filt_std", "code_error_filt_abs_mean",
+    "code_freq_mean", "code_freq_std", "early_late_balance_mean", "early_late_balance_std",
+    "early_late_balance_median", "early_late_balance_min", "early_late_balance_max",
+    "early_late_asymmetry_mean", "early_late_asymmetry_std", "early_late_asymmetry_median",
+    "early_late_asymmetry_p95", "early_late_asymmetry_max", "prompt_dominance_mean",
+    "prompt_dominance_std", "prompt_dominance_median", "prompt_dominance_p95", "prompt_dominance_max",
+]
+
+
 def clean_tracking(df: DataFrame, coerce: bool = True) -> DataFrame:
     """Validate tracking rows.
 
@@ -79,13 +95,43 @@ def _opt(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
 
 
+def _sorted_quantile(arr: Column, p: float) -> Column:
+    """Linear-interpolation quantile of a sorted array (NULL when empty)."""
+    n = F.size(arr)
+    pos = F.lit(p) * (n - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    a, b = F.get(arr, lo.cast("int")), F.get(arr, hi.cast("int"))
+    return F.when(n > 0, a + (b - a) * (pos - lo))
+
+
+# Quantiles inside a window are read from the window's sorted values: a
+# window holds at most ``size`` rows, so the array is bounded, and sorting a
+# small array is cheaper than the hash-map buffer of ``percentile``.
+_QUANTILES = {"median": 0.5, "p95": 0.95}
+
+
 def _stats(x: Column, prefix: str, which: Sequence[str]) -> list[Column]:
     fns = {
         "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c),
-        "median": lambda c: F.median(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c),
-        "p95": lambda c: F.percentile(c, F.lit(0.95)), "abs_mean": lambda c: F.avg(F.abs(c)),
+        "min": lambda c: F.min(c), "max": lambda c: F.max(c), "abs_mean": lambda c: F.avg(F.abs(c)),
     }
-    return [fns[w](x).cast("double").alias(f"{prefix}_{w}") for w in which]
+    out = []
+    for w in which:
+        if w in _QUANTILES:
+            out.append(F.array_sort(F.collect_list(x)).alias(f"_sorted_{prefix}_{w}"))
+        else:
+            out.append(fns[w](x).cast("double").alias(f"{prefix}_{w}"))
+    return out
+
+
+def _finish_quantiles(df: DataFrame) -> DataFrame:
+    sorted_cols = [c for c in df.columns if c.startswith("_sorted_")]
+    exprs = {}
+    for c in sorted_cols:
+        name = c[len("_sorted_"):]
+        q = _QUANTILES[name.rsplit("_", 1)[1]]
+        exprs[name] = _sorted_quantile(F.col(c), q).cast("double")
+    return df.withColumns(exprs).drop(*sorted_cols)
 
 
 def cn0_estimate(p: Column, tint: float = 1e-3) -> Column:
@@ -150,8 +196,8 @@ def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
         *_stats(F.col("_asym"), "early_late_asymmetry", ["mean", "std", "median", "p95", "max"]),
         *_stats(F.col("_dom"), "prompt_dominance", ["mean", "std", "median", "p95", "max"]),
     ]
-    feats = (w.groupBy(*keys, "label", "window_id").agg(*aggs)
-              .filter(F.col("n_epochs") >= min_rows))
+    feats = _finish_quantiles(w.groupBy(*keys, "label", "window_id").agg(*aggs)
+                              .filter(F.col("n_epochs") >= min_rows))
     if min_group_rows > min_rows:
         # Only needed when a group gate is stricter than the window gate;
         # otherwise a kept window already proves its file and PRN are big enough.
@@ -169,24 +215,10 @@ def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
         start.cast("bigint").alias("window_start_row"),
         (start + F.col("n_epochs")).cast("bigint").alias("window_end_row"),
         F.col("n_epochs").alias("window_size"),
-        *[c for c in feats.columns if c not in set(keys) | {"label", "window_id", "n_epochs"}],
+        *[c for c in FEATURE_COLUMNS if c != "n_epochs"],
     )
 
 
-FEATURE_COLUMNS = [
-    "n_epochs", "cn0_original_mean", "cn0_original_std", "cn0_original_median", "cn0_original_min",
-    "cn0_original_max", "cn0_est_prompt", "prompt_abs_mean", "prompt_abs_std", "prompt_abs_median",
-    "prompt_abs_min", "prompt_abs_max", "prompt_i_mean", "prompt_i_std", "prompt_q_mean", "prompt_q_std",
-    "doppler_mean", "doppler_std", "doppler_min", "doppler_max", "doppler_range", "pll_lock_ratio",
-    "carrier_error_mean", "carrier_error_std", "carrier_error_abs_mean", "carrier_phase_std",
-    "carrier_error_filt_mean", "carrier_error_filt_std", "code_error_mean", "code_error_std",
-    "code_error_abs_mean", "code_error_filt_mean", "code_error_filt_std", "code_error_filt_abs_mean",
-    "code_freq_mean", "code_freq_std", "early_late_balance_mean", "early_late_balance_std",
-    "early_late_balance_median", "early_late_balance_min", "early_late_balance_max",
-    "early_late_asymmetry_mean", "early_late_asymmetry_std", "early_late_asymmetry_median",
-    "early_late_asymmetry_p95", "early_late_asymmetry_max", "prompt_dominance_mean",
-    "prompt_dominance_std", "prompt_dominance_median", "prompt_dominance_p95", "prompt_dominance_max",
-]
 
 
 def signal_features(df: DataFrame, **kw) -> DataFrame:

@@ -156,6 +156,10 @@ REPORT_COLS = ["n_epochs", "window_size"] + [c for c in trk.FEATURE_COLUMNS if c
 def report_per_file(feats: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Per dataset file: window count, distinct PRNs and mean/std/median/min/max
     of every numeric window column.  Medians are exact and distributed."""
+    # The window table (one row per ~250 input rows) feeds three passes below;
+    # materialise it once in the checkpoint directory instead of recomputing
+    # the whole feature pipeline per pass.
+    feats = feats.checkpoint(eager=True)
     aggs = [F.count("window_id").alias("n_windows"), F.countDistinct("prn").alias("n_prns")]
     for c in REPORT_COLS:
         x = F.col(c).cast("double")
