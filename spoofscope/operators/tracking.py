@@ -224,3 +224,55 @@ def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
 def signal_features(df: DataFrame, **kw) -> DataFrame:
     """Clean -> window -> features in one call (the E1 feature stage)."""
     return window_features(tracking_windows(clean_tracking(df), hot_rows=kw.pop("hot_rows", None)), **kw)
+
+
+OBSERVABLE_COLUMNS = ["PRN", "Flag_valid_pseudorange", "Carrier_Doppler_hz", "Pseudorange_m",
+                      "Carrier_phase_cycles"]
+
+
+def observables_features(obs: DataFrame, keys: Sequence[str] = ("source_file", "label")) -> DataFrame:
+    """Per (dataset, PRN): epoch count and mean/std of Doppler, pseudorange
+    and carrier phase over epochs with a valid pseudorange (all epochs when
+    the flag column is absent).  No PRN column -> empty result."""
+    keys = list(keys)
+    if "PRN" not in obs.columns:
+        return obs.limit(0).select(*keys, F.lit(None).cast("int").alias("prn"))
+    obs = coerce_columns(obs, [c for c in OBSERVABLE_COLUMNS if c in obs.columns])
+    if "Flag_valid_pseudorange" in obs.columns:
+        obs = obs.filter(F.col("Flag_valid_pseudorange") == 1)
+    obs = obs.filter(F.col("PRN").isNotNull())
+    g = obs.groupBy(*keys, F.col("PRN").cast("int").alias("prn")).agg(
+        F.count(F.lit(1)).alias("obs_n_epochs"),
+        *_stats(_opt(obs, "Carrier_Doppler_hz"), "obs_doppler", ["mean", "std"]),
+        *_stats(_opt(obs, "Pseudorange_m"), "obs_pseudorange", ["mean", "std"]),
+        *_stats(_opt(obs, "Carrier_phase_cycles"), "obs_carrier_phase", ["mean", "std"]))
+    is_clear = F.col("label") == F.lit(CLEAR_LABEL)
+    return g.select(*keys, F.when(is_clear, CLEAR_LABEL).otherwise("spoofed").alias("binary_label"),
+                    F.when(is_clear, 0).otherwise(1).alias("is_spoofed"), "prn", "obs_n_epochs",
+                    *[c for c in g.columns if c.startswith("obs_") and c != "obs_n_epochs"])
+
+
+def signal_label(label: Column) -> list[Column]:
+    """Dataset label -> (binary_label, is_spoofed)."""
+    clear = label == F.lit(CLEAR_LABEL)
+    return [F.when(clear, CLEAR_LABEL).otherwise("spoofed").alias("binary_label"),
+            F.when(clear, 0).otherwise(1).alias("is_spoofed")]
+
+
+def union_features(frames: Sequence[DataFrame]) -> DataFrame:
+    """Concatenate per-dataset feature tables; columns missing from one
+    table are NULL in its rows."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def ragged_rows(df: DataFrame, key: str, arrays: Sequence[str]) -> DataFrame:
+    """Named numeric arrays of unequal length (one row per dump) -> one row
+    per position, shorter arrays padded with NULL (``arrays_zip`` +
+    ``inline``); '/' in names becomes '_'."""
+    names = {a: a.replace("/", "_") for a in arrays}
+    z = F.arrays_zip(*[F.col(f"`{a}`").alias(names[a]) for a in arrays])
+    return (df.select(key, F.posexplode(z).alias("row_index", "_z"))
+              .select(key, "row_index", *[F.col(f"_z.{names[a]}").alias(names[a]) for a in arrays]))

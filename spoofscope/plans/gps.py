@@ -131,3 +131,19 @@ def q_track_markers(spark, sf_dir):
 SELECT round(avg(lat), 6) AS center_lat, round(avg(lon), 6) AS center_lon FROM path""")
 def q_map_center(spark, sf_dir):
     return rounded(gp.map_center(gp.track_path(track(spark, sf_dir))))
+
+
+def pretty_name(stem):
+    """File stem -> display name: '_' and '-' to spaces, words capitalised
+    (``initcap``: a letter after a digit stays lower case)."""
+    return F.initcap(F.translate(stem, "_-", "  "))
+
+
+@register("pretty_name", oracle=f"""WITH {ad.cte('gps', ad.GPS_TRACK)}
+SELECT DISTINCT source_file,
+  array_to_string(list_transform(string_split(lower(replace(replace(regexp_replace(source_file, '\\.[^.]*$', ''),
+      '_', ' '), '-', ' ')), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS name
+FROM gps""")
+def q_pretty_name(spark, sf_dir):
+    raw = ad.gps_raw(spark, sf_dir).select("source_file").distinct()
+    return raw.select("source_file", pretty_name(F.regexp_replace("source_file", r"\.[^.]*$", "")).alias("name"))

@@ -238,3 +238,61 @@ SELECT is_spoofed, count(*) AS n_class,
 FROM features GROUP BY is_spoofed""")
 def q_class_weights(spark, sf_dir):
     return rounded(class_weights(features(spark, sf_dir)))
+
+
+# ------------------------------------------------------- A3, P16, U1, S9
+_OBS_CTE = ad.cte("obs", ad.OBSERVABLES)
+_OBS_STAT = lambda c, p: (f"round(avg({c}), 6) AS {p}_mean, round(stddev_samp({c}), 6) AS {p}_std")
+
+
+@register("observables_features", oracle=f"""WITH {_OBS_CTE}
+SELECT source_file, label, CASE WHEN label = 'clear_sky' THEN 'clear_sky' ELSE 'spoofed' END AS binary_label,
+       CASE WHEN label = 'clear_sky' THEN 0 ELSE 1 END AS is_spoofed,
+       cast(trunc(PRN) AS integer) AS prn, count(*) AS obs_n_epochs,
+       {_OBS_STAT('Carrier_Doppler_hz', 'obs_doppler')}, {_OBS_STAT('Pseudorange_m', 'obs_pseudorange')},
+       {_OBS_STAT('Carrier_phase_cycles', 'obs_carrier_phase')}
+FROM obs WHERE Flag_valid_pseudorange = 1 AND PRN IS NOT NULL
+GROUP BY source_file, label, cast(trunc(PRN) AS integer)""")
+def q_observables_features(spark, sf_dir):
+    return rounded(trk.observables_features(ad.observables(spark, sf_dir)))
+
+
+@register("signal_label", oracle=f"""WITH {_TRACK_CTE}
+SELECT DISTINCT label, CASE WHEN label = 'clear_sky' THEN 'clear_sky' ELSE 'spoofed' END AS binary_label,
+       CASE WHEN label = 'clear_sky' THEN 0 ELSE 1 END AS is_spoofed FROM tracking_raw""")
+def q_signal_label(spark, sf_dir):
+    return tracking_rows(spark, sf_dir).select("label", *trk.signal_label(F.col("label"))).distinct()
+
+
+DATASETS = ["clear_sky", "spoof_1", "spoof_2", "spoof_4"]
+
+
+@register("all_features", oracle=_FEATURES_CTE + """
+SELECT source_file, label, binary_label, prn, window_id, n_epochs, round(prompt_abs_mean, 6) AS prompt_abs_mean
+FROM features""")
+def q_all_features(spark, sf_dir):
+    """Per-dataset feature extraction (each reads only its dataset: the label
+    filter is on the partition key of the adapter's window and moves below
+    it), then one concatenation."""
+    rows = tracking_rows(spark, sf_dir)
+    frames = [trk.signal_features(rows.filter(F.col("label") == d)) for d in DATASETS]
+    u = trk.union_features(frames)
+    return rounded(u.select("source_file", "label", "binary_label", "prn", "window_id", "n_epochs",
+                            "prompt_abs_mean"))
+
+
+@register("ragged_arrays", oracle="""
+SELECT vec_id, row_index, round(prompt, 6) AS prompt, round(doppler, 6) AS doppler FROM (
+  SELECT vec_id, unnest(range(0, greatest(len(embedding), 8 + label))) AS row_index,
+         unnest(list_transform(embedding, lambda x: cast(x AS double))) AS prompt,
+         unnest(list_transform(embedding[1:8 + label], lambda x: cast(x AS double) * 2)) AS doppler
+  FROM embeddings)""")
+def q_ragged_arrays(spark, sf_dir):
+    e = ad.read_table(spark, sf_dir, "embeddings")
+    dump = e.select("vec_id",
+                    F.transform("embedding", lambda x: x.cast("double")).alias("tracking/prompt"),
+                    F.transform(F.slice("embedding", 1, F.col("label") + 8),
+                                lambda x: x.cast("double") * 2).alias("tracking/doppler"))
+    r = trk.ragged_rows(dump, "vec_id", ["tracking/prompt", "tracking/doppler"])
+    return rounded(r.select("vec_id", F.col("row_index").cast("bigint").alias("row_index"),
+                            F.col("tracking_prompt").alias("prompt"), F.col("tracking_doppler").alias("doppler")))

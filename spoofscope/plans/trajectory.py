@@ -288,3 +288,75 @@ def q_iso_epoch(spark, sf_dir):
              .when(F.col("event_id") % 5 == 3, (F.col("value") * 1000).cast("string"))
              .otherwise(F.lit("not a time")))
     return ev.select("event_id", iso_epoch(text).alias("epoch_seconds"))
+
+
+# ------------------------------------------------------------ S2, A27, U2
+def flight_documents_from(rows):
+    """Group flight reports into feed documents of the three accepted shapes
+    (50 reports per document: bounded)."""
+    obj = F.to_json(F.struct(F.col("ts_text").alias("timestamp"), "icao_address", "latitude", "longitude",
+                             "speed", "heading", "vertical_rate", "callsign", "on_ground", "squawk",
+                             "altitude_baro", "altitude_gnss"))
+    # epoch times travel as JSON numbers, ISO times as strings
+    obj = F.when(F.col("seq") % 4 == 0,
+                 F.regexp_replace(obj, '"timestamp":"([0-9]+)"', '"timestamp":$1')).otherwise(obj)
+    r = rows.withColumn("_o", obj)
+    single = r.filter(F.col("doc_id") % 3 == 2).select(F.col("_o").alias("value"))
+    grouped = (r.filter(F.col("doc_id") % 3 != 2).groupBy("doc_id")
+                .agg(F.concat(F.lit("["), F.array_join(F.collect_list("_o"), ","), F.lit("]")).alias("_l")))
+    docs = grouped.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"flights": '), F.col("_l"), F.lit("}")))
+                           .otherwise(F.col("_l")).alias("value"))
+    return docs.unionByName(single)
+
+
+@register("flights_normalize", oracle=f"""WITH {ad.cte('fl', ad.flights_sql('duckdb').replace('{events}', 'events'))}
+SELECT CASE WHEN seq % 4 IN (0, 1) THEN cast(floor(epoch(ts)) AS bigint) ELSE 0 END AS time,
+       icao_address AS icao24, round(latitude, 6) AS lat, round(longitude, 6) AS lon, round(speed, 6) AS velocity,
+       heading, round(vertical_rate, 6) AS vertrate, callsign,
+       CASE WHEN on_ground THEN 'true' ELSE 'false' END AS onground, 'False' AS spi, squawk,
+       round(altitude_baro, 6) AS baroaltitude, round(altitude_gnss, 6) AS geoaltitude,
+       cast(CASE WHEN seq % 4 IN (0, 1) THEN cast(floor(epoch(ts)) AS bigint) ELSE 0 END AS double) AS lastposupdate,
+       cast(CASE WHEN seq % 4 IN (0, 1) THEN cast(floor(epoch(ts)) AS bigint) ELSE 0 END AS double) AS lastcontact
+FROM fl JOIN events ON fl.seq = events.event_id""")
+def q_flights_normalize(spark, sf_dir):
+    from spoofscope.sources import readers as rd
+    docs = flight_documents_from(ad.flight_rows(spark, sf_dir))
+    return rounded(rd.normalize_flights(rd.flight_documents(docs)))
+
+
+_PROFILE_COLS = ["icao24", "lat", "lon", "velocity", "squawk", "baroaltitude", "lastposupdate", "callsign",
+                 "position_age_seconds", "contact_age_seconds", "heading", "geoaltitude"]
+
+
+def null_profile(df, cols, top: int = 20):
+    """NULL (and NaN) count per column, largest first (ties by name), with
+    the row count — one aggregation pass, then an unpivot of one row."""
+    def missing(c):
+        t = dict(df.dtypes)[c]
+        return F.col(c).isNull() | (F.isnan(c) if t in ("double", "float") else F.lit(False))
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(missing(c)).alias(c) for c in cols])
+    long = one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_null"))
+                                                for c in cols])).alias("_s"))
+    return (long.select("_s.column_name", "_s.n_null", F.col("_n").alias("n_rows"))
+                .orderBy(F.col("n_null").desc(), "column_name").limit(top))
+
+
+@register("null_profile", oracle=f"WITH {_STATES}\nSELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, cast(count(*) - count({c}) AS bigint) AS n_null, count(*) AS n_rows FROM states"
+    for c in _PROFILE_COLS) + ") ORDER BY n_null DESC, column_name LIMIT 20")
+def q_null_profile(spark, sf_dir):
+    return null_profile(states(spark, sf_dir), _PROFILE_COLS)
+
+
+@register("history_append", oracle=f"""WITH {_STATES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY icao24, lastposupdate, lat, lon ORDER BY seq DESC) AS rk
+           FROM states)
+SELECT icao24, count(*) AS n_rows, max(seq) AS last_seq FROM ranked WHERE rk = 1 GROUP BY icao24""")
+def q_history_append(spark, sf_dir):
+    """History (older polls) + newest poll, then keep-last dedup."""
+    s = states(spark, sf_dir)
+    newest = s.agg(F.max("snap").alias("_m"))
+    hist = s.join(F.broadcast(newest), F.col("snap") < F.col("_m")).drop("_m")  # one-row scalar
+    new = s.join(F.broadcast(newest), F.col("snap") == F.col("_m")).drop("_m")
+    d = tr.state_dedup(hist.unionByName(new))
+    return d.groupBy("icao24").agg(F.count(F.lit(1)).alias("n_rows"), F.max("seq").alias("last_seq"))

@@ -213,3 +213,52 @@ FROM {events}
 
 def iq_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql_for(IQ_SAMPLES, "spark"), events=read_table(spark, sf_dir, "events"))
+
+
+# Observables (per epoch x PRN) from the same supplier stream as tracking rows.
+OBSERVABLES = f"""
+SELECT CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
+                          WHEN 2 THEN 'spoof_2' ELSE 'spoof_4' END || '.bin' AS source_file,
+       CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
+                          WHEN 2 THEN 'spoof_2' ELSE 'spoof_4' END AS label,
+       cast(l_suppkey + 1 AS double) AS PRN,
+       CASE WHEN l_linenumber % 5 = 0 THEN cast(0 AS double) ELSE cast(1 AS double) END AS Flag_valid_pseudorange,
+       cast(l_partkey % 12000 - 6000 AS double) * {_D} AS Carrier_Doppler_hz,
+       (cast(20000 AS double) + cast(l_orderkey % 5000 AS double)) * {_D} AS Pseudorange_m,
+       l_extendedprice / cast(10 AS double) * {_D} AS Carrier_phase_cycles
+FROM {{lineitem}}
+"""
+
+
+def observables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(sql_for(OBSERVABLES, "spark"), lineitem=read_table(spark, sf_dir, "lineitem"))
+
+
+# Flight reports as a JSON feed (object, list or {"flights": [...]}).
+FLIGHTS = f"""
+SELECT event_id AS seq, cast(floor(event_id / 50) AS bigint) AS doc_id,
+       CASE WHEN event_id % 4 = 0 THEN cast(UX AS string)
+            WHEN event_id % 4 = 1 THEN strftime_placeholder
+            WHEN event_id % 4 = 2 THEN 'unknown'
+            ELSE NULL END AS ts_text,
+       'u' || cast(user_id AS string) AS icao_address,
+       cast(48.5 AS double) + cast(event_id * 7919 % 11000 AS double) / cast(1037.1923 AS double) AS latitude,
+       cast(13.5 AS double) + cast(event_id * 104729 % 13500 AS double) / cast(1037.1923 AS double) AS longitude,
+       value AS speed, cast(event_id * 37 % 360 AS double) AS heading,
+       cast(event_id * 13 % 41 - 20 AS double) * {_D} AS vertical_rate,
+       'CS' || cast(user_id AS string) AS callsign, event_type = 'click' AS on_ground,
+       cast(1000 + event_id % 6777 AS string) AS squawk,
+       cast(1000 + event_id * 31 % 9000 AS double) * {_DA} AS altitude_baro,
+       cast(1000 + event_id * 31 % 9000 + event_id * 17 % 300 AS double) * {_DA} AS altitude_gnss
+FROM {{events}}
+"""
+_ISO = {"spark": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
+        "duckdb": "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"}
+
+
+def flights_sql(engine: str) -> str:
+    return sql_for(FLIGHTS.replace("strftime_placeholder", _ISO[engine]), engine)
+
+
+def flight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(flights_sql("spark"), events=read_table(spark, sf_dir, "events"))
