@@ -45,9 +45,9 @@ def snapshot_rows(snapshots: DataFrame, json_col: str = "value") -> DataFrame:
     ``states`` yields no rows."""
     doc = F.from_json(F.col(json_col), "time BIGINT, states ARRAY<ARRAY<STRING>>")
     s = snapshots.select(doc.alias("_d")).select(F.col("_d.time").alias("api_time"),
-                                                 F.explode("_d.states").alias("_s"))
+                                                 F.posexplode("_d.states").alias("state_index", "_s"))
     return s.select(*[F.get(F.col("_s"), i).alias(name) for i, name in enumerate(STATE_FIELDS)],
-                    "api_time")
+                    "api_time", "state_index")
 
 
 def normalize_states(raw: DataFrame) -> DataFrame:
@@ -66,6 +66,7 @@ def normalize_states(raw: DataFrame) -> DataFrame:
         (snap.cast("double") - d("last_contact")).alias("contact_age_seconds"),
         F.col("origin_country"), F.col("position_source").try_cast("int").alias("position_source"),
         F.col("category").try_cast("int").alias("category"),
+        *([F.col("_seq").alias("seq")] if "_seq" in raw.columns else []),
     )
 
 

@@ -34,10 +34,12 @@ STATE_SCHEMA = ("time long, lat double, lon double, velocity double, heading dou
 def snapshot_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """X1: one micro-batch per landed poll document (oldest first)."""
     raw = (spark.readStream.schema(SNAPSHOT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-           .option("latestFirst", "false").option("wholetext", "true").text(path))
-    states = tr.prepare_states(tr.normalize_states(tr.snapshot_rows(raw)))
-    return (states.withColumn("seq", F.monotonically_increasing_id())
-                  .withColumn("event_time", F.timestamp_seconds(F.col("time"))))
+           .option("latestFirst", "false").text(path, wholetext=True))
+    rows = tr.snapshot_rows(raw)
+    # arrival order: poll time, then position inside the poll
+    seq = F.col("api_time") * F.lit(1_000_000) + F.col("state_index")
+    states = tr.prepare_states(tr.normalize_states(rows.withColumn("_seq", seq)))
+    return (states.withColumn("event_time", F.timestamp_seconds(F.col("time"))))
 
 
 def dedup_stream(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
