@@ -75,16 +75,25 @@ def normalize_gps(raw: DataFrame, source_col: str = "source_file", order_col: st
     return out.dropna(subset=["timestamp", "lat", "lon"])
 
 
-def time_fallback(df: DataFrame, file_col: str = "source_file") -> DataFrame:
-    """Per file: if no timestamp parsed, number rows (skew-safe) and use
-    ``FALLBACK_START + row`` seconds."""
-    parsed = df.groupBy(file_col).agg(F.count("timestamp").alias("_parsed"))
-    idx = ordered_index(df, [file_col], ["seq"], "_row")
-    base = F.unix_timestamp(F.lit(FALLBACK_START))
-    synth = F.timestamp_seconds(base + F.col("_row"))
-    return (idx.join(parsed, file_col)
-               .withColumn("timestamp", F.when(F.col("_parsed") == 0, synth).otherwise(F.col("timestamp")))
-               .drop("_row", "_parsed"))
+def time_fallback(df: DataFrame, file_col: str = "source_file", bound: int = 100_000) -> DataFrame:
+    """Per file: if no timestamp parsed, number its rows (skew-safe) and use
+    ``FALLBACK_START + row`` seconds.
+
+    One small aggregate finds the files that need it (and their largest row
+    count); files with parsed times are not renumbered at all.
+    """
+    stats = df.groupBy(file_col).agg(F.count("timestamp").alias("_parsed"), F.count(F.lit(1)).alias("_n"))
+    need = stats.filter(F.col("_parsed") == 0).select(file_col, "_n")
+    info = need.agg(F.count(F.lit(1)).alias("files"), F.max("_n").alias("m")).first()
+    if not info["files"]:
+        return df
+    ids = need.select(file_col)
+    ids = F.broadcast(ids) if info["files"] <= bound else ids  # size checked above
+    todo = df.join(ids, file_col, "left_semi")
+    rest = df.join(ids, file_col, "left_anti")
+    idx = ordered_index(todo, [file_col], ["seq"], "_row", largest=int(info["m"]))
+    synth = F.timestamp_seconds(F.unix_timestamp(F.lit(FALLBACK_START)) + F.col("_row"))
+    return rest.unionByName(idx.withColumn("timestamp", synth).drop("_row"))
 
 
 def spoof_device(track: DataFrame) -> DataFrame:
@@ -93,24 +102,31 @@ def spoof_device(track: DataFrame) -> DataFrame:
     return g.orderBy(F.col("max_spoofed").desc(), F.col("device_id")).limit(1)
 
 
-def split_all_spoofed(track: DataFrame, share: float = SPLIT_SHARE) -> DataFrame:
+def split_all_spoofed(track: DataFrame, share: float = SPLIT_SHARE, bound: int = 100_000) -> DataFrame:
     """Devices with no normal row: the first max(1, floor(share*n)) rows by
-    time become normal (demo split); other devices are unchanged."""
+    time become normal (demo split); other devices are unchanged and are not
+    renumbered."""
     g = track.groupBy("device_id").agg(F.min("is_spoofed").alias("_min"), F.count(F.lit(1)).alias("_n"))
-    idx = ordered_index(track, ["device_id"], ["timestamp", "seq"], "_r")
+    need = g.filter(F.col("_min") == 1).select("device_id", "_n")
+    info = need.agg(F.count(F.lit(1)).alias("devices"), F.max("_n").alias("m")).first()
+    if not info["devices"]:
+        return track
+    small = info["devices"] <= bound  # size checked above
+    need_j = F.broadcast(need) if small else need
+    todo = track.join(need_j, "device_id")
+    rest = track.join(F.broadcast(need.select("device_id")) if small else need.select("device_id"),
+                      "device_id", "left_anti")
+    idx = ordered_index(todo, ["device_id"], ["timestamp", "seq"], "_r", largest=int(info["m"]))
     cut = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
-    relabel = (F.col("_min") == 1) & (F.col("_r") < cut)
-    return (idx.join(g, "device_id")
-               .withColumn("is_spoofed", F.when(relabel, 0).otherwise(F.col("is_spoofed")))
-               .drop("_min", "_n", "_r"))
+    relabeled = idx.withColumn("is_spoofed", F.when(F.col("_r") < cut, 0).otherwise(F.col("is_spoofed")))
+    return rest.unionByName(relabeled.drop("_n", "_r"))
 
 
 def even_downsample(track: DataFrame, k_normal: int = NORMAL_POINTS, k_spoof: int = SPOOF_POINTS) -> DataFrame:
     """Keep rows at positions floor(i*(n-1)/(k-1)), i < k, of every (device,
     class) in time order — all rows when n <= k.  Adds ``rn``, ``n``."""
     keys = ["device_id", "is_spoofed"]
-    n = track.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    idx = ordered_index(track, keys, ["timestamp", "seq"], "rn").join(n, keys)
+    idx = ordered_index(track, keys, ["timestamp", "seq"], "rn", count_col="n")
     k = F.when(F.col("is_spoofed") == 1, k_spoof).otherwise(k_normal)
     hit = F.exists(F.sequence(F.lit(0), k - 1),
                    lambda i: F.floor(i * (F.col("n") - 1) / (k - 1)) == F.col("rn"))

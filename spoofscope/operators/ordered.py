@@ -175,20 +175,26 @@ def _walked_checkpointed(df, keys, order, diff_cols, partitions) -> DataFrame:
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
                   index_col: str = "rn", partitions: int | None = None,
-                  hot_rows: int | None = None, largest: int | None = None) -> DataFrame:
+                  hot_rows: int | None = None, largest: int | None = None,
+                  count_col: str | None = None) -> DataFrame:
     """Add ``index_col``: 0-based position of the row inside its key group,
     equal to ``row_number() - 1`` over ``PARTITION BY keys ORDER BY order``.
 
     If the largest group exceeds ``hot_rows`` the range path is taken: one
     range exchange, one checkpoint, and a broadcast table of at most one row
-    per partition.
+    per partition.  ``count_col`` also adds the group size (same exchange on
+    the window path; an aggregate joined back on the range path).  Pass
+    ``largest`` when the caller already knows the largest group size.
     """
     if not keys:  # one global group
         return ordered_index(df.withColumn("_all", F.lit(0)), ["_all"], order, index_col,
-                             partitions, hot_rows, largest).drop("_all")
+                             partitions, hot_rows, largest, count_col).drop("_all")
     if not _use_range(df, keys, hot_rows, largest):
         w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
-        return df.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
+        out = df.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
+        if count_col:
+            out = out.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        return out
     walked = _walked_checkpointed(df, keys, order, [], partitions)
     b = walked.groupBy(_PID).agg(
         F.min_by(_kstruct(keys), F.col(_POS)).alias("first_key"),
@@ -208,7 +214,15 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
                .select(F.col(_PID), F.col("off")))
     out = walked.join(F.broadcast(offsets), _PID, "left")
     rn = F.col(_RUN) + F.when(F.col(_FIRST) == 1, F.coalesce(F.col("off"), F.lit(0))).otherwise(0)
-    return out.withColumn(index_col, rn.cast("bigint")).drop(_PID, _POS, _RUN, _FIRST, "off")
+    out = out.withColumn(index_col, rn.cast("bigint")).drop(_PID, _POS, _RUN, _FIRST, "off")
+    if count_col:
+        sizes = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(count_col))
+        cond = None
+        for k in keys:
+            c = F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+            cond = c if cond is None else cond & c
+        out = out.join(sizes, cond).drop(*[f"_g_{k}" for k in keys])
+    return out
 
 
 def ordered_diff(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],

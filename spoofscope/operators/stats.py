@@ -20,7 +20,8 @@ def grouped_percentiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     ``percentile``/``median`` buffer every value of a group in one task; for
     groups that can be arbitrarily large this ranks the values instead
     (``ordered_index``, skew-safe), keeps the two ranks around ``p*(n-1)`` and
-    interpolates.  Returns ``keys + [f"{col}_{name}" for col, name]``.
+    interpolates.  Returns ``keys + [f"{col}_{name}" for col, name]`` for
+    groups with at least one value.
     """
     keys = list(keys)
     long = (df.select(*keys, F.explode(F.array(*[
@@ -51,7 +52,6 @@ def grouped_percentiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
         res = res.unionByName(o)
     res = res.withColumn("_name", F.concat_ws("_", "_c", "_p"))
     names = [f"{c}_{n}" for c in cols for n in ps]
-    wide = res.groupBy(*keys).pivot("_name", names).agg(F.first("_val"))
-    # Groups whose values are all NULL for a column still appear (NULL result).
-    base = df.select(*keys).distinct()
-    return base.join(wide, keys, "left") if keys else wide
+    # Groups with no non-NULL value in any column are absent: left-join the
+    # result to the group table the caller already has.
+    return res.groupBy(*keys).pivot("_name", names).agg(F.first("_val"))

@@ -58,15 +58,18 @@ def q_iq_histogram(spark, sf_dir):
     return rounded(iq.iq_histogram(samples(spark, sf_dir)))
 
 
+PREFIX = 10_000  # samples shown in the time-domain view
+
+
 @register("iq_prefix", oracle=f"""WITH {_IQ}
-SELECT source, idx, i, q FROM iq WHERE idx < 1000""")
+SELECT source, idx, i, q FROM iq WHERE idx < {PREFIX}""")
 def q_iq_prefix(spark, sf_dir):
-    return iq.iq_prefix(samples(spark, sf_dir), 1000)
+    return iq.iq_prefix(samples(spark, sf_dir), PREFIX)
 
 
-# The SQL oracle evaluates the transform as a plain DFT, so the registered
-# query uses 64-sample segments; the library default is 4096.
-PSD_SEG, PSD_HOP = 64, 32
+# The SQL oracle evaluates the transform as a plain DFT (O(n^2) per segment);
+# at the library's 4096-sample segments that is still a few seconds at sf0.01.
+PSD_SEG, PSD_HOP = iq.PSD_NPERSEG, iq.PSD_NPERSEG // 2
 
 
 @register("welch_psd", oracle=f"""WITH {_IQ},
@@ -79,8 +82,10 @@ dm AS (SELECT source, seg, m, i - avg(i) OVER (PARTITION BY source, seg) AS i,
               q - avg(q) OVER (PARTITION BY source, seg) AS q,
               0.5 - 0.5 * cos(2 * pi() * m / {PSD_SEG}) AS w FROM valid),
 dft AS (SELECT source, seg, k,
-               sum(w * (i * cos(2 * pi() * k * m / {PSD_SEG}) + q * sin(2 * pi() * k * m / {PSD_SEG}))) AS re,
-               sum(w * (q * cos(2 * pi() * k * m / {PSD_SEG}) - i * sin(2 * pi() * k * m / {PSD_SEG}))) AS im
+               sum(w * (i * cos(2 * pi() * ((k * m) % {PSD_SEG}) / {PSD_SEG})
+                        + q * sin(2 * pi() * ((k * m) % {PSD_SEG}) / {PSD_SEG}))) AS re,
+               sum(w * (q * cos(2 * pi() * ((k * m) % {PSD_SEG}) / {PSD_SEG})
+                        - i * sin(2 * pi() * ((k * m) % {PSD_SEG}) / {PSD_SEG}))) AS im
         FROM dm, range(0, {PSD_SEG}) t(k) GROUP BY source, seg, k),
 ps AS (SELECT source, k, avg((re * re + im * im) / (25e6 * {PSD_SEG * 3 / 8})) AS psd FROM dft GROUP BY source, k)
 SELECT source, cast((k + {PSD_SEG // 2}) % {PSD_SEG} AS integer) AS freq_index,
@@ -93,4 +98,4 @@ def q_welch_psd(spark, sf_dir):
 
 @register("spectrogram")
 def q_spectrogram(spark, sf_dir):
-    return rounded(iq.spectrogram(samples(spark, sf_dir), nperseg=256, overlap=128))
+    return rounded(iq.spectrogram(samples(spark, sf_dir)))

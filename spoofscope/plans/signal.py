@@ -167,7 +167,7 @@ def report_per_file(feats: DataFrame, hot_rows: int | None = None) -> DataFrame:
                  F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
     base = feats.groupBy(*REPORT_KEYS).agg(*aggs)
     med = grouped_percentiles(feats, REPORT_KEYS, REPORT_COLS, {"median": 0.5}, hot_rows=hot_rows)
-    out = base.join(med, REPORT_KEYS)
+    out = base.join(med, REPORT_KEYS, "left")
     order = ["n_windows", "n_prns"] + [f"{c}_{s}" for c in REPORT_COLS
                                        for s in ("mean", "std", "median", "min", "max")]
     return out.select(*REPORT_KEYS, *order)

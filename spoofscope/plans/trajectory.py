@@ -254,9 +254,9 @@ def q_state_dedup(spark, sf_dir):
 
 
 @register("history_cap", oracle=f"""WITH {_STATES}
-SELECT seq, icao24, time FROM states ORDER BY seq DESC LIMIT 5000""")
+SELECT seq, icao24, time FROM states ORDER BY seq DESC LIMIT {tr.HISTORY_ROWS}""")
 def q_history_cap(spark, sf_dir):
-    return tr.history_cap(states(spark, sf_dir), 5000).select("seq", "icao24", "time")
+    return tr.history_cap(states(spark, sf_dir), tr.HISTORY_ROWS).select("seq", "icao24", "time")
 
 
 _PAL = ", ".join(f"'{c}'" for c in tr.PALETTE)
