@@ -122,23 +122,24 @@ def split_all_spoofed(track: DataFrame, share: float = SPLIT_SHARE, bound: int =
     return rest.unionByName(relabeled.drop("_n", "_r"))
 
 
-def even_downsample(track: DataFrame, k_normal: int = NORMAL_POINTS, k_spoof: int = SPOOF_POINTS) -> DataFrame:
+def even_downsample(track: DataFrame, k_normal: int = NORMAL_POINTS, k_spoof: int = SPOOF_POINTS,
+                    size_bound: int | None = None) -> DataFrame:
     """Keep rows at positions floor(i*(n-1)/(k-1)), i < k, of every (device,
     class) in time order — all rows when n <= k.  Adds ``rn``, ``n``."""
     keys = ["device_id", "is_spoofed"]
-    idx = ordered_index(track, keys, ["timestamp", "seq"], "rn", count_col="n")
+    idx = ordered_index(track, keys, ["timestamp", "seq"], "rn", count_col="n", size_bound=size_bound)
     k = F.when(F.col("is_spoofed") == 1, k_spoof).otherwise(k_normal)
     hit = F.exists(F.sequence(F.lit(0), k - 1),
                    lambda i: F.floor(i * (F.col("n") - 1) / (k - 1)) == F.col("rn"))
     return idx.filter((F.col("n") <= k) | hit)
 
 
-def track_path(track: DataFrame, marker_every: int = 1) -> DataFrame:
+def track_path(track: DataFrame, marker_every: int = 1, size_bound: int | None = None) -> DataFrame:
     """Demo path per device: 45 % split for all-spoofed devices, even
     downsample per class, then normal points followed by spoofed points with
     ``path_index`` 1..n (bounded: at most k_normal + k_spoof rows per
     device), and a marker flag every ``marker_every`` points plus ends."""
-    pts = even_downsample(split_all_spoofed(track))
+    pts = even_downsample(split_all_spoofed(track), size_bound=size_bound)
     w = Window.partitionBy("device_id").orderBy("is_spoofed", "timestamp", "seq")
     p = pts.withColumn("path_index", F.row_number().over(w).cast("bigint")) \
            .withColumn("path_len", F.count(F.lit(1)).over(Window.partitionBy("device_id")))

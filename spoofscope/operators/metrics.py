@@ -110,7 +110,8 @@ def threshold_sweep(df: DataFrame, prob: str = "spoof_probability",
      .withColumnRenamed("f1", "attack_f1")
 
 
-def roc_auc(df: DataFrame, prob: str = "spoof_probability", hot_rows: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, prob: str = "spoof_probability", hot_rows: int | None = None,
+            size_bound: int | None = None) -> DataFrame:
     """Exact ROC AUC with tied scores averaged (Mann-Whitney rank sum);
     NULL when only one class is present.
 
@@ -119,7 +120,8 @@ def roc_auc(df: DataFrame, prob: str = "spoof_probability", hot_rows: int | None
     aggregate, and the rank sum is a global sum — no single-partition window
     over all rows.
     """
-    ranked = ordered_index(df.select("y_true", prob), [], [prob, "y_true"], "_r", hot_rows=hot_rows)
+    ranked = ordered_index(df.select("y_true", prob), [], [prob, "y_true"], "_r", hot_rows=hot_rows,
+                           size_bound=size_bound)
     per_score = ranked.groupBy(prob).agg(
         ((F.min("_r") + F.max("_r")) / 2.0 + 1.0).alias("_avg_rank"),
         F.count_if(F.col("y_true") == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))

@@ -39,7 +39,7 @@ def group_split(df: DataFrame, group: str, test_share: float = TEST_SHARE, seed:
     groups = df.select(group).distinct().withColumn("_h", group_order_key(group, seed))
     g = groups.count()
     n_test = int(-(-test_share * g // 1))
-    ranked = ordered_index(groups, [], ["_h", group], "_r")
+    ranked = ordered_index(groups, [], ["_h", group], "_r", largest=g)
     flags = ranked.select(group, (F.col("_r") < n_test).alias("is_test"))
     return df.join(flags, group)
 
@@ -63,7 +63,8 @@ def stratified_group_folds(df: DataFrame, group: str, label: str = "y", k: int =
            .withColumn("_h", group_order_key(group, seed)))
     n_groups = g.count()
     kk = max(1, min(k, n_groups))
-    r = ordered_index(g, ["cls"], [F.col("size").desc(), F.col("_h"), F.col(group)], "_r")
+    r = ordered_index(g, ["cls"], [F.col("size").desc(), F.col("_h"), F.col(group)], "_r",
+                      size_bound=n_groups)
     cyc, idx = F.floor(F.col("_r") / kk), F.col("_r") % kk
     fold = F.when(cyc % 2 == 0, idx).otherwise(kk - 1 - idx) + 1
     return r.select(group, fold.cast("int").alias("fold"), "cls", "size")

@@ -147,6 +147,11 @@ def _kstruct(keys: Sequence[str]) -> Column:
 DEFAULT_HOT_ROWS = 4_000_000
 
 
+def table_rows(spark, path: str) -> int:
+    """Row count of a parquet table (answered from file footers)."""
+    return spark.read.parquet(path).count()
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the largest key group (one aggregate, map-side combined)."""
     row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
@@ -154,8 +159,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _use_range(df: DataFrame, keys: Sequence[str], hot_rows: int | None,
-               largest: int | None = None) -> bool:
+               largest: int | None = None, size_bound: int | None = None) -> bool:
+    """Decide the path.  ``size_bound`` is any proven upper bound on the
+    input's row count (e.g. the source table's row count from parquet
+    metadata): no group can be larger, so below the limit the measuring
+    aggregate is skipped."""
     limit = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
+    if largest is None and size_bound is not None and size_bound <= limit:
+        return False
     if largest is None:
         largest = largest_group(df, keys)
     return largest > limit
@@ -176,7 +187,7 @@ def _walked_checkpointed(df, keys, order, diff_cols, partitions) -> DataFrame:
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
                   index_col: str = "rn", partitions: int | None = None,
                   hot_rows: int | None = None, largest: int | None = None,
-                  count_col: str | None = None) -> DataFrame:
+                  count_col: str | None = None, size_bound: int | None = None) -> DataFrame:
     """Add ``index_col``: 0-based position of the row inside its key group,
     equal to ``row_number() - 1`` over ``PARTITION BY keys ORDER BY order``.
 
@@ -188,8 +199,8 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
     """
     if not keys:  # one global group
         return ordered_index(df.withColumn("_all", F.lit(0)), ["_all"], order, index_col,
-                             partitions, hot_rows, largest, count_col).drop("_all")
-    if not _use_range(df, keys, hot_rows, largest):
+                             partitions, hot_rows, largest, count_col, size_bound).drop("_all")
+    if not _use_range(df, keys, hot_rows, largest, size_bound):
         w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
         out = df.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
         if count_col:
@@ -227,7 +238,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
 
 def ordered_diff(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
                  prefix: str = "delta_", partitions: int | None = None,
-                 hot_rows: int | None = None) -> DataFrame:
+                 hot_rows: int | None = None, size_bound: int | None = None) -> DataFrame:
     """Add ``prefix + c`` = ``c - lag(c) OVER (PARTITION BY keys ORDER BY order)``.
 
     NULL for the first row of a group or when either value is NULL.  Large
@@ -236,7 +247,7 @@ def ordered_diff(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequ
     partition's last row).
     """
     cols = list(cols)
-    if not _use_range(df, keys, hot_rows):
+    if not _use_range(df, keys, hot_rows, size_bound=size_bound):
         w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
         for c in cols:
             df = df.withColumn(prefix + c, F.col(c) - F.lag(c).over(w))

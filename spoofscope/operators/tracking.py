@@ -73,7 +73,7 @@ def clean_tracking(df: DataFrame, coerce: bool = True) -> DataFrame:
 def tracking_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
                      keys: Sequence[str] = GROUP_KEYS,
                      order: Sequence = ("PRN_start_sample_count",),
-                     hot_rows: int | None = None) -> DataFrame:
+                     hot_rows: int | None = None, size_bound: int | None = None) -> DataFrame:
     """Emit each row once per overlapping window that contains it.
 
     Windows start at 0, step, 2*step, ... within each key group (rows numbered
@@ -83,11 +83,13 @@ def tracking_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_
     shuffle and it combines map-side.
     """
     copies = math.ceil(size / step)
-    df = ordered_index(df, list(keys), list(order), "rn", hot_rows=hot_rows)
+    df = ordered_index(df, list(keys), list(order), "rn", hot_rows=hot_rows, size_bound=size_bound)
     last = F.floor(F.col("rn") / F.lit(step))
-    cands = F.sequence(last - F.lit(copies - 1), last)
-    wins = F.filter(cands, lambda w: (w >= 0) & (F.col("rn") < w * F.lit(step) + F.lit(size)))
-    return df.withColumn("window_id", F.explode(wins))
+    # plain array + filter (code-generated) rather than a lambda filter
+    cands = F.array(*[last - F.lit(j) for j in range(copies)])
+    w = F.col("window_id")
+    return (df.withColumn("window_id", F.explode(cands))
+              .filter((w >= 0) & (F.col("rn") < w * F.lit(step) + F.lit(size))))
 
 
 def _opt(df: DataFrame, name: str) -> Column:
@@ -223,7 +225,9 @@ def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
 
 def signal_features(df: DataFrame, **kw) -> DataFrame:
     """Clean -> window -> features in one call (the E1 feature stage)."""
-    return window_features(tracking_windows(clean_tracking(df), hot_rows=kw.pop("hot_rows", None)), **kw)
+    win = tracking_windows(clean_tracking(df), hot_rows=kw.pop("hot_rows", None),
+                           size_bound=kw.pop("size_bound", None))
+    return window_features(win, **kw)
 
 
 OBSERVABLE_COLUMNS = ["PRN", "Flag_valid_pseudorange", "Carrier_Doppler_hz", "Pseudorange_m",

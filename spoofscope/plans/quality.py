@@ -91,7 +91,7 @@ s AS (SELECT sum(CASE WHEN y_true = 1 THEN lo + (c - 1) / 2.0 ELSE 0 END) AS rs,
              cast(cast(count_if(y_true = 1) AS bigint) AS double) AS n1, cast(cast(count_if(y_true = 0) AS bigint) AS double) AS n0 FROM r)
 SELECT round(CASE WHEN n0 > 0 AND n1 > 0 THEN (rs - n1 * (n1 + 1) / 2) / (n0 * n1) END, 6) AS roc_auc FROM s""")
 def q_roc_auc(spark, sf_dir):
-    return rounded(mt.roc_auc(ad.scores(spark, sf_dir)))
+    return rounded(mt.roc_auc(ad.scores(spark, sf_dir), size_bound=ad.source_rows(spark, sf_dir, "events")))
 
 
 @register("outcome_classes", oracle=f"""WITH {_SC}

@@ -101,7 +101,9 @@ def tracking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trk.signal_features(tracking_rows(spark, sf_dir))
+    # one tracking row per lineitem row: no (file, PRN) group can be larger
+    bound = ad.source_rows(spark, sf_dir, "lineitem")
+    return trk.signal_features(tracking_rows(spark, sf_dir), size_bound=bound)
 
 
 @register("tracking_clean", oracle=f"""WITH {_TRACK_CTE},{_CLEAN}
@@ -122,7 +124,8 @@ SELECT source_file, tracking_file, prn, window_id, window_id * 250 AS window_sta
        min(PRN_start_sample_count) AS first_sample, max(PRN_start_sample_count) AS last_sample
 FROM win GROUP BY source_file, tracking_file, prn, window_id HAVING count(*) >= 300""")
 def q_tracking_windows(spark, sf_dir):
-    w = trk.tracking_windows(trk.clean_tracking(tracking_rows(spark, sf_dir)))
+    w = trk.tracking_windows(trk.clean_tracking(tracking_rows(spark, sf_dir)),
+                             size_bound=ad.source_rows(spark, sf_dir, "lineitem"))
     return (w.groupBy("source_file", "tracking_file", "prn", "window_id")
              .agg(F.count(F.lit(1)).alias("window_size"), F.min("rn").alias("first_row"),
                   F.max("rn").alias("last_row"),
@@ -275,7 +278,8 @@ def q_all_features(spark, sf_dir):
     filter is on the partition key of the adapter's window and moves below
     it), then one concatenation."""
     rows = tracking_rows(spark, sf_dir)
-    frames = [trk.signal_features(rows.filter(F.col("label") == d)) for d in DATASETS]
+    bound = ad.source_rows(spark, sf_dir, "lineitem")
+    frames = [trk.signal_features(rows.filter(F.col("label") == d), size_bound=bound) for d in DATASETS]
     u = trk.union_features(frames)
     return rounded(u.select("source_file", "label", "binary_label", "prn", "window_id", "n_epochs",
                             "prompt_abs_mean"))

@@ -54,7 +54,9 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.trajectory_features(states(spark, sf_dir))
+    # the adapter emits at most two state rows per event
+    bound = 2 * ad.source_rows(spark, sf_dir, "events")
+    return tr.trajectory_features(states(spark, sf_dir), size_bound=bound)
 
 
 # ------------------------------------------------------------ P1 / P2

@@ -262,3 +262,15 @@ def flights_sql(engine: str) -> str:
 
 def flight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(flights_sql("spark"), events=read_table(spark, sf_dir, "events"))
+
+
+_ROWS: dict[tuple[str, str], int] = {}
+
+
+def source_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a supplied table (parquet footers; memoised).  Adapters
+    emit at most a fixed multiple of it, which bounds every group size."""
+    key = (sf_dir.rstrip("/"), name)
+    if key not in _ROWS:
+        _ROWS[key] = read_table(spark, sf_dir, name).count()
+    return _ROWS[key]
