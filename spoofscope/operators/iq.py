@@ -31,57 +31,101 @@ INT16_MAX, INT16_MIN = 32767, -32768
 DB_FLOOR = 1e-12
 
 
+# Per-recording tables (one row per recording) are broadcast when the number
+# of recordings is at most this; it is counted on the key column alone.
+BROADCAST_RECORDINGS = 100_000
+
+
 def _amp2(i: Column, q: Column) -> Column:
     return i * i + q * q
 
 
+def _per_recording(samples: DataFrame, table: DataFrame, keys) -> DataFrame:
+    """``table`` (one row per recording) broadcast behind a checked size."""
+    n = samples.select(*keys).distinct().count()
+    return F.broadcast(table) if n <= BROADCAST_RECORDINGS else table
+
+
+def _exact_moments(i: Column, q: Column) -> list[Column]:
+    """Exact integer sums of int16 samples: order-independent, so results do
+    not depend on partitioning.  Fourth powers are summed as DECIMAL(38, 0)."""
+    li, lq = i.cast("bigint"), q.cast("bigint")
+    p = li * li + lq * lq
+    dp = p.cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("_n"), F.sum(li).alias("_si"), F.sum(lq).alias("_sq"),
+            F.sum(li * li).alias("_sii"), F.sum(lq * lq).alias("_sqq"), F.sum(p).alias("_sp"),
+            F.sum(dp * dp).alias("_spp"), F.max(p).alias("_pmax")]
+
+
+def _mean(s: str) -> Column:
+    return F.col(s).cast("double") / F.col("_n")
+
+
+def _pop_std(s1: str, s2: str) -> Column:
+    m = _mean(s1)
+    return F.sqrt(F.greatest(_mean(s2) - m * m, F.lit(0.0)))
+
+
 def iq_stats(df: DataFrame, keys=("source",)) -> DataFrame:
-    """Count, means and population std of I and Q, amplitude and power."""
-    i, q = F.col("i").cast("double"), F.col("q").cast("double")
-    p = _amp2(i, q)
-    a = F.sqrt(p)
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("iq_samples"), F.avg(i).alias("i_mean"), F.avg(q).alias("q_mean"),
-        F.stddev_pop(i).alias("i_std"), F.stddev_pop(q).alias("q_std"),
-        F.avg(a).alias("amplitude_mean"), F.stddev_pop(a).alias("amplitude_std"),
-        F.avg(p).alias("power_mean"), F.stddev_pop(p).alias("power_std"), F.max(p).alias("power_max"))
+    """Count, means and population std of I and Q, amplitude and power.
+    Moments of I, Q and power come from exact integer sums."""
+    i, q = F.col("i"), F.col("q")
+    a = F.sqrt((i.cast("double") * i + q.cast("double") * q))
+    g = df.groupBy(*keys).agg(*_exact_moments(i, q), F.avg(a).alias("amplitude_mean"),
+                              F.stddev_pop(a).alias("amplitude_std"))
+    return g.select(*keys, F.col("_n").alias("iq_samples"), _mean("_si").alias("i_mean"),
+                    _mean("_sq").alias("q_mean"), _pop_std("_si", "_sii").alias("i_std"),
+                    _pop_std("_sq", "_sqq").alias("q_std"), "amplitude_mean", "amplitude_std",
+                    _mean("_sp").alias("power_mean"), _pop_std("_sp", "_spp").alias("power_std"),
+                    F.col("_pmax").cast("double").alias("power_max"))
+
+
+def recording_means(df: DataFrame, keys=("source",)) -> DataFrame:
+    """Per recording: exact mean I and Q (integer sum / count)."""
+    return df.groupBy(*keys).agg((F.sum(F.col("i").cast("bigint")) / F.count(F.lit(1))).alias("_mi"),
+                                 (F.sum(F.col("q").cast("bigint")) / F.count(F.lit(1))).alias("_mq"))
 
 
 def dc_removed(df: DataFrame, keys=("source",)) -> DataFrame:
     """Subtract each recording's mean I and Q (two passes: the per-source
     means are one row per source)."""
-    m = df.groupBy(*keys).agg(F.avg(F.col("i").cast("double")).alias("_mi"),
-                              F.avg(F.col("q").cast("double")).alias("_mq"))
-    return (df.join(F.broadcast(m), list(keys))  # one row per recording
-              .withColumn("i_dc", F.col("i") - F.col("_mi")).withColumn("q_dc", F.col("q") - F.col("_mq"))
-              .drop("_mi", "_mq"))
+    m = recording_means(df, keys)
+    return (df.join(_per_recording(df, m, keys), list(keys))
+              .withColumn("i_dc", F.col("i") - F.col("_mi")).withColumn("q_dc", F.col("q") - F.col("_mq")))
 
 
 def iq_quality(df: DataFrame, keys=("source",)) -> DataFrame:
     """After DC removal: mean/std/min/max, NaN/Inf/zero counts, clipped
-    samples and average power; clipping is also counted on the raw values."""
+    samples and average power; clipping is also counted on the raw values.
+    Means, std and power use the exact sums (shift identities)."""
     d = dc_removed(df, keys)
     i, q = F.col("i_dc"), F.col("q_dc")
     clip = lambda x: (x >= INT16_MAX) | (x <= INT16_MIN)
-    return d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.avg(i).alias("i_mean"), F.avg(q).alias("q_mean"),
-        F.stddev_pop(i).alias("i_std"), F.stddev_pop(q).alias("q_std"),
-        F.min(i).alias("i_min"), F.max(i).alias("i_max"),
+    g = d.groupBy(*keys, "_mi", "_mq").agg(
+        *_exact_moments(F.col("i"), F.col("q")),
+        F.min("i").alias("_imin"), F.max("i").alias("_imax"),
         F.count_if(F.isnan(i) | F.isnan(q)).alias("nan_samples"),
         F.count_if((F.abs(i) == float("inf")) | (F.abs(q) == float("inf"))).alias("inf_samples"),
         F.count_if((i == 0) & (q == 0)).alias("zero_samples"),
         F.count_if(clip(i)).alias("clipped_after_dc"),
-        F.count_if(clip(F.col("i"))).alias("clipped_raw"),
-        F.avg(_amp2(i, q)).alias("average_power"))
+        F.count_if(clip(F.col("i"))).alias("clipped_raw"))
+    mi, mq = F.col("_mi"), F.col("_mq")
+    return g.select(
+        *keys, F.col("_n").alias("samples"), (_mean("_si") - mi).alias("i_mean"),
+        (_mean("_sq") - mq).alias("q_mean"), _pop_std("_si", "_sii").alias("i_std"),
+        _pop_std("_sq", "_sqq").alias("q_std"), (F.col("_imin") - mi).alias("i_min"),
+        (F.col("_imax") - mi).alias("i_max"), "nan_samples", "inf_samples", "zero_samples",
+        "clipped_after_dc", "clipped_raw",
+        F.greatest(_mean("_sp") - (mi * mi + mq * mq), F.lit(0.0)).alias("average_power"))
 
 
 def iq_histogram(df: DataFrame, bins: int = HIST_BINS, prefix: int = HIST_SAMPLES,
                  keys=("source",)) -> DataFrame:
     """Equal-width histogram of DC-removed I over the first ``prefix``
     samples; the maximum falls in the last bin."""
-    d = dc_removed(df, keys).filter(F.col("idx") < prefix)
+    d = dc_removed(df, keys).filter(F.col("idx") < prefix).drop("_mi", "_mq")
     r = d.groupBy(*keys).agg(F.min("i_dc").alias("_mn"), F.max("i_dc").alias("_mx"))
-    j = d.join(F.broadcast(r), list(keys))  # one row per recording
+    j = d.join(_per_recording(df, r, keys), list(keys))
     width = (F.col("_mx") - F.col("_mn")) / bins
     b = F.least(F.floor((F.col("i_dc") - F.col("_mn")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     b = F.coalesce(b, F.lit(0)).cast("int")
@@ -124,7 +168,7 @@ def segments(df: DataFrame, nperseg: int, hop: int, keys=("source",), max_sample
     last = F.floor(F.col("idx") / hop)
     segs = F.filter(F.sequence(last - (copies - 1), last),
                     lambda s: (s >= 0) & (F.col("idx") < s * hop + nperseg))
-    x = (df.join(F.broadcast(n), list(keys))  # one row per recording
+    x = (df.join(_per_recording(df, n, keys), list(keys))
            .withColumn("seg", F.explode(segs))
            .filter(F.col("seg") * hop + nperseg <= F.col("_n")))
     g = x.groupBy(*keys, "seg").agg(

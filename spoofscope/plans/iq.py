@@ -7,12 +7,20 @@ from spoofscope.plans.registry import register, rounded
 from spoofscope.sources import adapters as ad
 
 _IQ = ad.cte("iq", ad.IQ_SAMPLES)
+_MEANS = """means AS (SELECT source, sum(cast(i AS bigint)) / count(*) AS mi,
+                          sum(cast(q AS bigint)) / count(*) AS mq FROM iq GROUP BY source)"""
 _DC = f"""{_IQ},
-dc AS (SELECT source, idx, i, q,
-              cast(i AS double) - avg(cast(i AS double)) OVER (PARTITION BY source) AS i_dc,
-              cast(q AS double) - avg(cast(q AS double)) OVER (PARTITION BY source) AS q_dc
-       FROM iq)"""
+{_MEANS},
+dc AS (SELECT iq.source, idx, i, q, mi, mq, i - mi AS i_dc, q - mq AS q_dc FROM iq JOIN means USING (source))"""
 R = lambda e, n: f"round({e}, 6) AS {n}"
+# exact integer moments (order-independent)
+_MOM = """count(*) AS n, sum(cast(i AS bigint)) AS si, sum(cast(q AS bigint)) AS sq,
+          sum(cast(i AS bigint) * i) AS sii, sum(cast(q AS bigint) * q) AS sqq,
+          sum(cast(i AS bigint) * i + cast(q AS bigint) * q) AS sp,
+          sum(cast(cast(i AS bigint) * i + cast(q AS bigint) * q AS hugeint)
+              * cast(cast(i AS bigint) * i + cast(q AS bigint) * q AS hugeint)) AS spp"""
+_M = lambda s: f"(cast({s} AS double) / n)"
+_SD = lambda a, b: f"sqrt(greatest({_M(b)} - {_M(a)} * {_M(a)}, 0))"
 
 
 def samples(spark, sf_dir):
@@ -20,28 +28,34 @@ def samples(spark, sf_dir):
 
 
 @register("iq_stats", oracle=f"""WITH {_IQ},
-x AS (SELECT source, cast(i AS double) AS i, cast(q AS double) AS q,
-             cast(i AS double) * cast(i AS double) + cast(q AS double) * cast(q AS double) AS p FROM iq)
-SELECT source, count(*) AS iq_samples, {R('avg(i)', 'i_mean')}, {R('avg(q)', 'q_mean')},
-       {R('stddev_pop(i)', 'i_std')}, {R('stddev_pop(q)', 'q_std')},
-       {R('avg(sqrt(p))', 'amplitude_mean')}, {R('stddev_pop(sqrt(p))', 'amplitude_std')},
-       {R('avg(p)', 'power_mean')}, {R('stddev_pop(p)', 'power_std')}, {R('max(p)', 'power_max')}
-FROM x GROUP BY source""")
+g AS (SELECT source, {_MOM},
+             max(cast(i AS bigint) * i + cast(q AS bigint) * q) AS pmax,
+             avg(sqrt(cast(i AS double) * i + cast(q AS double) * q)) AS amean,
+             stddev_pop(sqrt(cast(i AS double) * i + cast(q AS double) * q)) AS astd
+      FROM iq GROUP BY source)
+SELECT source, n AS iq_samples, {R(_M('si'), 'i_mean')}, {R(_M('sq'), 'q_mean')},
+       {R(_SD('si', 'sii'), 'i_std')}, {R(_SD('sq', 'sqq'), 'q_std')},
+       {R('amean', 'amplitude_mean')}, {R('astd', 'amplitude_std')},
+       {R(_M('sp'), 'power_mean')}, {R(_SD('sp', 'spp'), 'power_std')}, {R('cast(pmax AS double)', 'power_max')}
+FROM g""")
 def q_iq_stats(spark, sf_dir):
     return rounded(iq.iq_stats(samples(spark, sf_dir)))
 
 
-@register("iq_quality", oracle=f"""WITH {_DC}
-SELECT source, count(*) AS samples, {R('avg(i_dc)', 'i_mean')}, {R('avg(q_dc)', 'q_mean')},
-       {R('stddev_pop(i_dc)', 'i_std')}, {R('stddev_pop(q_dc)', 'q_std')},
-       {R('min(i_dc)', 'i_min')}, {R('max(i_dc)', 'i_max')},
-       cast(count_if(isnan(i_dc) OR isnan(q_dc)) AS bigint) AS nan_samples,
-       cast(count_if(isinf(i_dc) OR isinf(q_dc)) AS bigint) AS inf_samples,
-       cast(count_if(i_dc = 0 AND q_dc = 0) AS bigint) AS zero_samples,
-       cast(count_if(i_dc >= 32767 OR i_dc <= -32768) AS bigint) AS clipped_after_dc,
-       cast(count_if(i >= 32767 OR i <= -32768) AS bigint) AS clipped_raw,
-       {R('avg(i_dc * i_dc + q_dc * q_dc)', 'average_power')}
-FROM dc GROUP BY source""")
+@register("iq_quality", oracle=f"""WITH {_DC},
+g AS (SELECT source, mi, mq, {_MOM}, min(i) AS imin, max(i) AS imax,
+             cast(count_if(isnan(i_dc) OR isnan(q_dc)) AS bigint) AS nan_samples,
+             cast(count_if(isinf(i_dc) OR isinf(q_dc)) AS bigint) AS inf_samples,
+             cast(count_if(i_dc = 0 AND q_dc = 0) AS bigint) AS zero_samples,
+             cast(count_if(i_dc >= 32767 OR i_dc <= -32768) AS bigint) AS clipped_after_dc,
+             cast(count_if(i >= 32767 OR i <= -32768) AS bigint) AS clipped_raw
+      FROM dc GROUP BY source, mi, mq)
+SELECT source, n AS samples, {R(_M('si') + ' - mi', 'i_mean')}, {R(_M('sq') + ' - mq', 'q_mean')},
+       {R(_SD('si', 'sii'), 'i_std')}, {R(_SD('sq', 'sqq'), 'q_std')},
+       {R('imin - mi', 'i_min')}, {R('imax - mi', 'i_max')},
+       nan_samples, inf_samples, zero_samples, clipped_after_dc, clipped_raw,
+       {R('greatest(' + _M('sp') + ' - (mi * mi + mq * mq), 0)', 'average_power')}
+FROM g""")
 def q_iq_quality(spark, sf_dir):
     return rounded(iq.iq_quality(samples(spark, sf_dir)))
 

@@ -137,7 +137,15 @@ def sql_for(template: str, engine: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a supplied table.  A source that arrives in fewer splits than the
+    cluster has cores (a small single-file table) is spread round-robin so
+    the per-row work before the first shuffle is not serialised; large
+    inputs already have many splits and are left alone."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def adsb_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
