@@ -143,3 +143,21 @@ def evaluate(scored: DataFrame, label: str = "y", prob: str = "spoof_probability
     m = mt.classification_metrics(s)
     auc = mt.roc_auc(s.select("y_true", prob), prob=prob)
     return m.crossJoin(auc)  # both one row
+
+
+def feature_availability(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(available, missing) feature names against the table's schema
+    (metadata only)."""
+    present = set(df.columns)
+    return [f for f in features if f in present], [f for f in features if f not in present]
+
+
+def fit_all(rows: DataFrame, features: Sequence[str], label: str = "y", impute: bool = False,
+            path: str | None = None, **kw) -> PipelineModel:
+    """Refit on every row (class-balanced weights) and optionally save with
+    Spark ML persistence; the feature list travels inside the assembler."""
+    rows = class_balanced_weights(rows, label)
+    model = forest_pipeline(features, label, impute=impute, **kw).fit(rows)
+    if path:
+        model.write().overwrite().save(path)
+    return model

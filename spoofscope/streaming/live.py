@@ -49,32 +49,36 @@ def dedup_stream(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
 
 
 def _delta_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per aircraft: differences to the previous report in arrival order.
+    """Per aircraft: differences to the previous report in time order.
 
     The previous report of earlier micro-batches lives in the group state; a
     report older than the state's time is emitted with ``late = 1`` and no
     deltas, and does not move the state.  State expires when the watermark
-    passes its time plus the TTL (vanished aircraft)."""
+    passes its time plus the TTL (vanished aircraft).  Vectorised per group.
+    """
     if state.hasTimedOut:
         state.remove()
         return
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["time", "seq"], kind="stable")
-    prev = dict(zip(DELTA_STATE_COLS, state.get)) if state.exists else None
-    out = []
-    for row in pdf.itertuples(index=False):
-        r = row._asdict()
-        late = prev is not None and r["time"] < prev["time"]
-        rec = {"icao24": key[0], "seq": r["seq"], "time": r["time"], "late": int(late)}
-        for c in DELTA_STATE_COLS:
-            rec[f"delta_{c}"] = (None if (prev is None or late or r[c] is None or prev[c] is None
-                                          or pd.isna(r[c]) or pd.isna(prev[c])) else float(r[c] - prev[c]))
-        out.append(rec)
-        if not late:
-            prev = {c: (None if pd.isna(r[c]) else r[c]) for c in DELTA_STATE_COLS}
-    if prev is not None:
-        state.update(tuple(prev[c] for c in DELTA_STATE_COLS))
-        state.setTimeoutTimestamp(int(prev["time"]) * 1000 + 600_000)
-    yield pd.DataFrame(out)
+    prev = pd.Series(state.get, index=DELTA_STATE_COLS, dtype="float64") if state.exists else None
+    late = (pdf["time"] < prev["time"]) if prev is not None else pd.Series(False, index=pdf.index)
+    ok = pdf[~late]
+    vals = ok[DELTA_STATE_COLS].astype("float64")
+    before = vals.shift(1)
+    if prev is not None and len(vals):
+        before.iloc[0] = prev.values
+    out = pd.DataFrame({"icao24": key[0], "seq": pdf["seq"], "time": pdf["time"],
+                        "late": late.astype("int32")})
+    for c in DELTA_STATE_COLS:
+        d = (vals[c] - before[c]).astype("float64")
+        out[f"delta_{c}"] = d.reindex(pdf.index)        # late rows: no deltas
+        out[f"delta_{c}"] = out[f"delta_{c}"].astype(object).where(out[f"delta_{c}"].notna(), None)
+    if len(vals):
+        last = vals.iloc[-1]
+        state.update(tuple(None if pd.isna(last[c]) else (int(last[c]) if c == "time" else float(last[c]))
+                           for c in DELTA_STATE_COLS))
+        state.setTimeoutTimestamp(int(last["time"]) * 1000 + 600_000)
+    yield out[["icao24", "seq", "time"] + [f"delta_{c}" for c in DELTA_STATE_COLS] + ["late"]]
 
 
 def stateful_deltas(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:

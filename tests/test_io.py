@@ -144,3 +144,29 @@ def test_folds_whole_groups(spark):
     f = ml.stratified_group_folds(df, "g", "y")
     assert f.select("g").distinct().count() == 13 and f.count() == 13
     assert sorted(r[0] for r in f.select("fold").distinct().collect()) == [1, 2, 3, 4]
+
+
+def test_result_reads(spark):
+    d = tempfile.mkdtemp(prefix="res-")
+    with open(os.path.join(d, "model_summary.json"), "w") as fh:
+        json.dump({"model": "gnss_sdr", "threshold": 0.5, "accuracy": 0.95, "test_rows": 996}, fh, indent=2)
+    with open(os.path.join(d, "cm.csv"), "w") as fh:
+        fh.write("236,43\n6,711\n")
+    s = readers.read_model_summary(spark, os.path.join(d, "model_summary.json")).first()
+    assert s["model"] == "gnss_sdr" and s["test_rows"] == 996
+    cm = {(r[0], r[1]): r[2] for r in readers.read_confusion_csv(spark, os.path.join(d, "cm.csv")).collect()}
+    assert cm == {(0, 0): 236, (0, 1): 43, (1, 0): 6, (1, 1): 711}
+    assert readers.read_model_summary(spark, os.path.join(d, "absent.json")) is None
+
+
+def test_fit_all_and_availability(spark):
+    from pyspark.ml import PipelineModel
+    from spoofscope.operators import ml
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(int(y), float(a)) for y, a in zip(rng.integers(0, 2, 100), rng.normal(size=100))],
+                               "y int, f1 double")
+    avail, missing = ml.feature_availability(df, ["f1", "f2"])
+    assert (avail, missing) == (["f1"], ["f2"])
+    path = os.path.join(tempfile.mkdtemp(prefix="fit-"), "m")
+    ml.fit_all(df, avail, path=path, n_trees=5, max_depth=3)
+    assert PipelineModel.load(path).stages[0].getInputCols() == ["f1"]
