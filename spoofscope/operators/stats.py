@@ -13,45 +13,55 @@ from spoofscope.operators.ordered import ordered_index
 BROADCAST_ROWS = 2_000_000
 
 
-def grouped_percentiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                        ps: Mapping[str, float], hot_rows: int | None = None) -> DataFrame:
-    """Exact linear-interpolation percentiles (``percentile_cont``) per group.
-
-    ``percentile``/``median`` buffer every value of a group in one task; for
-    groups that can be arbitrarily large this ranks the values instead
-    (``ordered_index``, skew-safe), keeps the two ranks around ``p*(n-1)`` and
-    interpolates.  Returns ``keys + [f"{col}_{name}" for col, name]`` for
-    groups with at least one value.
-    """
+def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Wide -> long: (keys, _c, _v) with NULL values dropped."""
     keys = list(keys)
-    long = (df.select(*keys, F.explode(F.array(*[
+    return (df.select(*keys, F.explode(F.array(*[
                 F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols
             ])).alias("_kv"))
             .select(*keys, F.col("_kv._c").alias("_c"), F.col("_kv._v").alias("_v"))
             .filter(F.col("_v").isNotNull()))
-    gk = keys + ["_c"]
+
+
+def long_percentiles(long: DataFrame, keys: Sequence[str], ps: Mapping[str, float],
+                     hot_rows: int | None = None) -> DataFrame:
+    """Exact percentiles per (keys, _c) of a long table: one row per group
+    and percentile name (``_p``, ``_val``)."""
+    gk = list(keys) + ["_c"]
     sizes = long.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"))
     st = sizes.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
     largest, ngroups = int(st["m"] or 0), int(st["g"] or 0)
     ranked = ordered_index(long, gk, ["_v"], "_r", hot_rows=hot_rows, largest=largest)
-    sized = F.broadcast(sizes) if ngroups <= BROADCAST_ROWS else sizes
+    sized = F.broadcast(sizes) if ngroups <= BROADCAST_ROWS else sizes  # size checked above
     ranked = ranked.join(sized, gk)
     outs = []
     for name, p in ps.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
-        picked = (ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
-                  .groupBy(*gk)
-                  .agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
-                       F.first(pos - lo).alias("_f"))
-                  .select(*gk, F.lit(name).alias("_p"),
-                          (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("_val")))
-        outs.append(picked)
+        outs.append(ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
+                    .groupBy(*gk)
+                    .agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
+                         F.first(pos - lo).alias("_f"))
+                    .select(*gk, F.lit(name).alias("_p"),
+                            (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("_val")))
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)
+    return res
+
+
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
+                        ps: Mapping[str, float], hot_rows: int | None = None) -> DataFrame:
+    """Exact linear-interpolation percentiles (``percentile_cont``) per group.
+
+    ``percentile``/``median`` buffer every value of a group in one task; for
+    groups that can be arbitrarily large this ranks the values instead
+    (``ordered_index``, skew-safe), keeps the two ranks around ``p*(n-1)`` and
+    interpolates.  Returns ``keys + [f"{col}_{name}" for col, name]`` for
+    groups with at least one value.
+    """
+    keys = list(keys)
+    res = long_percentiles(unpivot(df, keys, cols), keys, ps, hot_rows)
     res = res.withColumn("_name", F.concat_ws("_", "_c", "_p"))
     names = [f"{c}_{n}" for c in cols for n in ps]
-    # Groups with no non-NULL value in any column are absent: left-join the
-    # result to the group table the caller already has.
     return res.groupBy(*keys).pivot("_name", names).agg(F.first("_val"))

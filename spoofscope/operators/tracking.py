@@ -226,7 +226,8 @@ def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
 def signal_features(df: DataFrame, **kw) -> DataFrame:
     """Clean -> window -> features in one call (the E1 feature stage)."""
     win = tracking_windows(clean_tracking(df), hot_rows=kw.pop("hot_rows", None),
-                           size_bound=kw.pop("size_bound", None))
+                           size_bound=kw.pop("size_bound", None),
+                           order=kw.pop("order", ("PRN_start_sample_count",)))
     return window_features(win, **kw)
 
 

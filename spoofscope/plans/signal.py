@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoofscope.operators import tracking as trk
-from spoofscope.operators.stats import grouped_percentiles
+from spoofscope.operators.stats import long_percentiles, unpivot
 from spoofscope.plans.registry import register, rounded
 from spoofscope.sources import adapters as ad
 
@@ -22,7 +22,7 @@ clean AS (
 ),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY source_file, tracking_file, prn
-                               ORDER BY PRN_start_sample_count) - 1 AS rn
+                               ORDER BY PRN_start_sample_count, tie_order, tie_line, tie_part, tie_price) - 1 AS rn
   FROM clean
 ),
 exploded AS (
@@ -103,7 +103,7 @@ def tracking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one tracking row per lineitem row: no (file, PRN) group can be larger
     bound = ad.source_rows(spark, sf_dir, "lineitem")
-    return trk.signal_features(tracking_rows(spark, sf_dir), size_bound=bound)
+    return trk.signal_features(tracking_rows(spark, sf_dir), size_bound=bound, order=ad.TRACKING_ORDER)
 
 
 @register("tracking_clean", oracle=f"""WITH {_TRACK_CTE},{_CLEAN}
@@ -124,7 +124,7 @@ SELECT source_file, tracking_file, prn, window_id, window_id * 250 AS window_sta
        min(PRN_start_sample_count) AS first_sample, max(PRN_start_sample_count) AS last_sample
 FROM win GROUP BY source_file, tracking_file, prn, window_id HAVING count(*) >= 300""")
 def q_tracking_windows(spark, sf_dir):
-    w = trk.tracking_windows(trk.clean_tracking(tracking_rows(spark, sf_dir)),
+    w = trk.tracking_windows(trk.clean_tracking(tracking_rows(spark, sf_dir)), order=ad.TRACKING_ORDER,
                              size_bound=ad.source_rows(spark, sf_dir, "lineitem"))
     return (w.groupBy("source_file", "tracking_file", "prn", "window_id")
              .agg(F.count(F.lit(1)).alias("window_size"), F.min("rn").alias("first_row"),
@@ -158,22 +158,32 @@ REPORT_COLS = ["n_epochs", "window_size"] + [c for c in trk.FEATURE_COLUMNS if c
 
 def report_per_file(feats: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Per dataset file: window count, distinct PRNs and mean/std/median/min/max
-    of every numeric window column.  Medians are exact and distributed."""
-    # The window table (one row per ~250 input rows) feeds three passes below;
-    # materialise it once in the checkpoint directory instead of recomputing
-    # the whole feature pipeline per pass.
+    of every numeric window column.
+
+    Computed in long form — one row per (file, column, value) — so four
+    narrow aggregates and one exact, distributed median cover all columns,
+    and a single pivot restores the wide report.  Medians rank values with the
+    skew-safe index instead of buffering a whole file in one task.
+    """
+    # The window table (one row per ~250 input rows) feeds several passes;
+    # materialise it once in the checkpoint directory.
     feats = feats.checkpoint(eager=True)
-    aggs = [F.count("window_id").alias("n_windows"), F.countDistinct("prn").alias("n_prns")]
-    for c in REPORT_COLS:
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_std"),
-                 F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
-    base = feats.groupBy(*REPORT_KEYS).agg(*aggs)
-    med = grouped_percentiles(feats, REPORT_KEYS, REPORT_COLS, {"median": 0.5}, hot_rows=hot_rows)
-    out = base.join(med, REPORT_KEYS, "left")
+    counts = feats.groupBy(*REPORT_KEYS).agg(F.count("window_id").alias("n_windows"),
+                                             F.countDistinct("prn").alias("n_prns"))
+    long = unpivot(feats, REPORT_KEYS, REPORT_COLS)
+    gk = REPORT_KEYS + ["_c"]
+    basic = long.groupBy(*gk).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
+                                  F.min("_v").alias("min"), F.max("_v").alias("max"))
+    med = (long_percentiles(long, REPORT_KEYS, {"median": 0.5}, hot_rows=hot_rows)
+           .select(*gk, F.col("_val").alias("median")))
+    stats = basic.join(med, gk, "left")
+    wide = stats.groupBy(*REPORT_KEYS).pivot("_c", REPORT_COLS).agg(
+        *[F.first(s).alias(s) for s in ("mean", "std", "median", "min", "max")])
     order = ["n_windows", "n_prns"] + [f"{c}_{s}" for c in REPORT_COLS
                                        for s in ("mean", "std", "median", "min", "max")]
-    return out.select(*REPORT_KEYS, *order)
+    out = counts.join(wide, REPORT_KEYS, "left")
+    return out.select(*REPORT_KEYS, *[F.col(c).cast("double").alias(c) if c not in ("n_windows", "n_prns")
+                                      else F.col(c) for c in order])
 
 
 def _report_sql() -> str:
@@ -279,7 +289,8 @@ def q_all_features(spark, sf_dir):
     it), then one concatenation."""
     rows = tracking_rows(spark, sf_dir)
     bound = ad.source_rows(spark, sf_dir, "lineitem")
-    frames = [trk.signal_features(rows.filter(F.col("label") == d), size_bound=bound) for d in DATASETS]
+    frames = [trk.signal_features(rows.filter(F.col("label") == d), size_bound=bound, order=ad.TRACKING_ORDER)
+              for d in DATASETS]
     u = trk.union_features(frames)
     return rounded(u.select("source_file", "label", "binary_label", "prn", "window_id", "n_epochs",
                             "prompt_abs_mean"))

@@ -21,6 +21,13 @@ _UX = {
     "spark": "unix_timestamp(ts)",
     "duckdb": "cast(floor(epoch(ts)) as bigint)",
 }
+_SHIPUX = {
+    "spark": "unix_timestamp(l_shipdate)",
+    "duckdb": "cast(floor(epoch(l_shipdate)) as bigint)",
+}
+# Receiver rows of one PRN are ordered by the sample counter (ship day here),
+# then by these columns, which make the order total.
+TRACKING_ORDER = ["PRN_start_sample_count", "tie_order", "tie_line", "tie_part", "tie_price"]
 
 # Scaling constant used by the synthetic features: it keeps averages of
 # short decimals away from rounding ties so both engines agree to 1e-6.
@@ -105,9 +112,9 @@ SELECT CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
        CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
                           WHEN 2 THEN 'spoof_2' ELSE 'spoof_4' END AS label,
        cast(l_suppkey + 1 AS double) AS PRN,
-       cast(2 + row_number() OVER (PARTITION BY l_suppkey
-            ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS double)
-         AS PRN_start_sample_count,
+       cast(floor(SHIPUX / 86400) AS double) + cast(2 AS double) AS PRN_start_sample_count,
+       l_orderkey AS tie_order, l_linenumber AS tie_line, l_partkey AS tie_part,
+       l_extendedprice AS tie_price,
        l_extendedprice / cast(100 AS double) - cast(500 AS double) AS Prompt_I,
        l_quantity * cast(10 AS double) - cast(250 AS double) AS Prompt_Q,
        cast(100 AS double) + l_quantity AS abs_E,
@@ -129,7 +136,7 @@ FROM {{lineitem}}
 
 def sql_for(template: str, engine: str) -> str:
     """Render an adapter template for ``engine`` ('spark' or 'duckdb')."""
-    text = template.replace("UX", _UX[engine])
+    text = template.replace("SHIPUX", _SHIPUX[engine]).replace("UX", _UX[engine])
     if engine == "duckdb":
         text = text.replace("{events}", "events").replace("{lineitem}", "lineitem") \
                    .replace("{embeddings}", "embeddings")
