@@ -57,11 +57,14 @@ def clean_tracking(df: DataFrame, coerce: bool = True) -> DataFrame:
     required column is absent the result is empty (same schema).  Adds
     ``prn`` (INT, truncated).
     """
-    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
+    # Spark resolves names case-insensitively (``prn`` replaces ``PRN``), so
+    # presence is checked the same way; cleaning twice is a no-op.
+    present = {c.lower(): c for c in df.columns}
+    missing = [c for c in REQUIRED_COLUMNS if c.lower() not in present]
     if missing:
         return df.limit(0).withColumn("prn", F.lit(None).cast("int"))
     if coerce:
-        num = [c for c in REQUIRED_COLUMNS + OPTIONAL_COLUMNS if c in df.columns]
+        num = [present[c.lower()] for c in REQUIRED_COLUMNS + OPTIONAL_COLUMNS if c.lower() in present]
         df = coerce_columns(df, num)
     invalid = ((F.col("PRN") <= 0) | (F.col("PRN_start_sample_count") <= 1) | (F.col("abs_P") <= 1)
                | ((F.abs("Prompt_I") <= 1) & (F.abs("Prompt_Q") <= 1)))
@@ -148,62 +151,55 @@ def cn0_estimate(p: Column, tint: float = 1e-3) -> Column:
              .otherwise(est))
 
 
-def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
-                    min_group_rows: int = MIN_TRACKING_ROWS, tint: float = 1e-3,
-                    keys: Sequence[str] = GROUP_KEYS, step: int = WINDOW_STEP) -> DataFrame:
-    """One feature row per kept window (>= ``min_rows`` rows).
-
-    The 51 features: C/N0 statistics and estimate, prompt statistics, Doppler,
-    PLL/carrier, DLL/code and correlator-distortion statistics.  Columns absent
-    from the input yield NULL features.
-    """
+def _inputs(df: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    """Per-row quantities the features are built from (absent optional
+    columns become typed NULLs)."""
     E, L, P = F.col("abs_E"), F.col("abs_L"), F.col("abs_P")
     I, Q = F.col("Prompt_I"), F.col("Prompt_Q")
-    w = windows.select(
-        *[F.col(k) for k in keys], "label", "window_id", I.alias("_i"), Q.alias("_q"), P.alias("_p"),
+    return df.select(
+        *[F.col(k) for k in keys], "label", *extra, I.alias("_i"), Q.alias("_q"), P.alias("_p"),
         ((E - L) / (E + L + F.lit(EPS))).alias("_bal"),
         (F.abs(E - L) / (P + F.lit(EPS))).alias("_asym"),
         (P / ((E + L) / F.lit(2.0) + F.lit(EPS))).alias("_dom"),
         (I * I + Q * Q).alias("_pow"),
-        F.nullif(_opt(windows, "CN0_SNV_dB_Hz"), F.lit(0.0)).alias("_cn0"),
-        _opt(windows, "carrier_doppler_hz").alias("_dop"),
-        _opt(windows, "carrier_lock_test").alias("_lock"),
-        _opt(windows, "carr_error_hz").alias("_cerr"),
-        _opt(windows, "carr_error_filt_hz").alias("_cerrf"),
-        _opt(windows, "acc_carrier_phase_rad").alias("_phase"),
-        _opt(windows, "code_error_chips").alias("_derr"),
-        _opt(windows, "code_error_filt_chips").alias("_derrf"),
-        _opt(windows, "code_freq_chips").alias("_cfreq"),
+        F.nullif(_opt(df, "CN0_SNV_dB_Hz"), F.lit(0.0)).alias("_cn0"),
+        _opt(df, "carrier_doppler_hz").alias("_dop"),
+        _opt(df, "carrier_lock_test").alias("_lock"),
+        _opt(df, "carr_error_hz").alias("_cerr"),
+        _opt(df, "carr_error_filt_hz").alias("_cerrf"),
+        _opt(df, "acc_carrier_phase_rad").alias("_phase"),
+        _opt(df, "code_error_chips").alias("_derr"),
+        _opt(df, "code_error_filt_chips").alias("_derrf"),
+        _opt(df, "code_freq_chips").alias("_cfreq"),
     )
-    has_lock = "carrier_lock_test" in windows.columns
-    lock_ratio = (F.avg(F.when(F.col("_lock") == 1, 1.0).otherwise(0.0)) if has_lock
-                  else F.lit(None).cast("double"))
-    aggs = [
-        F.count(F.lit(1)).alias("n_epochs"),
-        *_stats(F.col("_cn0"), "cn0_original", ["mean", "std", "median", "min", "max"]),
-        cn0_estimate(F.col("_pow"), tint).alias("cn0_est_prompt"),
-        *_stats(F.col("_p"), "prompt_abs", ["mean", "std", "median", "min", "max"]),
-        *_stats(F.col("_i"), "prompt_i", ["mean", "std"]),
-        *_stats(F.col("_q"), "prompt_q", ["mean", "std"]),
-        *_stats(F.col("_dop"), "doppler", ["mean", "std", "min", "max"]),
-        (F.max("_dop") - F.min("_dop")).alias("doppler_range"),
-        lock_ratio.alias("pll_lock_ratio"),
-        *_stats(F.col("_cerr"), "carrier_error", ["mean", "std", "abs_mean"]),
-        F.stddev_samp("_phase").alias("carrier_phase_std"),
-        *_stats(F.col("_cerrf"), "carrier_error_filt", ["mean", "std"]),
-        *_stats(F.col("_derr"), "code_error", ["mean", "std", "abs_mean"]),
-        *_stats(F.col("_derrf"), "code_error_filt", ["mean", "std", "abs_mean"]),
-        *_stats(F.col("_cfreq"), "code_freq", ["mean", "std"]),
-        *_stats(F.col("_bal"), "early_late_balance", ["mean", "std", "median", "min", "max"]),
-        *_stats(F.col("_asym"), "early_late_asymmetry", ["mean", "std", "median", "p95", "max"]),
-        *_stats(F.col("_dom"), "prompt_dominance", ["mean", "std", "median", "p95", "max"]),
-    ]
-    feats = _finish_quantiles(w.groupBy(*keys, "label", "window_id").agg(*aggs)
-                              .filter(F.col("n_epochs") >= min_rows))
+
+
+# (input column, feature prefix, statistics) — the 51-feature layout.
+_LAYOUT = [
+    ("_cn0", "cn0_original", ["mean", "std", "median", "min", "max"]),
+    ("_p", "prompt_abs", ["mean", "std", "median", "min", "max"]),
+    ("_i", "prompt_i", ["mean", "std"]),
+    ("_q", "prompt_q", ["mean", "std"]),
+    ("_dop", "doppler", ["mean", "std", "min", "max"]),
+    ("_cerr", "carrier_error", ["mean", "std", "abs_mean"]),
+    ("_phase", "carrier_phase", ["std"]),
+    ("_cerrf", "carrier_error_filt", ["mean", "std"]),
+    ("_derr", "code_error", ["mean", "std", "abs_mean"]),
+    ("_derrf", "code_error_filt", ["mean", "std", "abs_mean"]),
+    ("_cfreq", "code_freq", ["mean", "std"]),
+    ("_bal", "early_late_balance", ["mean", "std", "median", "min", "max"]),
+    ("_asym", "early_late_asymmetry", ["mean", "std", "median", "p95", "max"]),
+    ("_dom", "prompt_dominance", ["mean", "std", "median", "p95", "max"]),
+]
+
+
+def _finish(feats: DataFrame, windows_src: DataFrame, keys: Sequence[str], step: int,
+            min_rows: int, min_group_rows: int) -> DataFrame:
+    feats = feats.filter(F.col("n_epochs") >= min_rows)
     if min_group_rows > min_rows:
         # Only needed when a group gate is stricter than the window gate;
         # otherwise a kept window already proves its file and PRN are big enough.
-        sizes = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = windows_src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         feats = feats.join(sizes, list(keys)).filter(F.col("_n") >= min_group_rows).drop("_n")
     is_clear = F.col("label") == F.lit(CLEAR_LABEL)
     start = F.col("window_id") * F.lit(step)
@@ -213,22 +209,138 @@ def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
         F.when(is_clear, F.lit(0)).otherwise(F.lit(1)).alias("is_spoofed"),
         F.lit(1).alias("tracking_valid"),
         F.col(keys[-1]),
-        "n_epochs", "window_id",
+        "n_epochs", F.col("window_id").cast("bigint").alias("window_id"),
         start.cast("bigint").alias("window_start_row"),
         (start + F.col("n_epochs")).cast("bigint").alias("window_end_row"),
         F.col("n_epochs").alias("window_size"),
-        *[c for c in FEATURE_COLUMNS if c != "n_epochs"],
+        *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS if c != "n_epochs"],
     )
 
 
+def window_features(windows: DataFrame, min_rows: int = MIN_WINDOW_ROWS,
+                    min_group_rows: int = MIN_TRACKING_ROWS, tint: float = 1e-3,
+                    keys: Sequence[str] = GROUP_KEYS, step: int = WINDOW_STEP) -> DataFrame:
+    """One feature row per kept window (>= ``min_rows`` rows) from exploded
+    window rows (``tracking_windows``): a single ``groupBy().agg()``.
 
-
-def signal_features(df: DataFrame, **kw) -> DataFrame:
-    """Clean -> window -> features in one call (the E1 feature stage)."""
-    win = tracking_windows(clean_tracking(df), hot_rows=kw.pop("hot_rows", None),
-                           size_bound=kw.pop("size_bound", None),
-                           order=kw.pop("order", ("PRN_start_sample_count",)))
-    return window_features(win, **kw)
+    The 51 features: C/N0 statistics and estimate, prompt statistics, Doppler,
+    PLL/carrier, DLL/code and correlator-distortion statistics.  Columns absent
+    from the input yield NULL features.
+    """
+    w = _inputs(windows, keys, ["window_id"])
+    has_lock = "carrier_lock_test" in windows.columns
+    lock_ratio = (F.avg(F.when(F.col("_lock") == 1, 1.0).otherwise(0.0)) if has_lock
+                  else F.lit(None).cast("double"))
+    aggs = [F.count(F.lit(1)).alias("n_epochs"), cn0_estimate(F.col("_pow"), tint).alias("cn0_est_prompt"),
+            (F.max("_dop") - F.min("_dop")).alias("doppler_range"), lock_ratio.alias("pll_lock_ratio")]
+    for col, prefix, which in _LAYOUT:
+        aggs += _stats(F.col(col), prefix, which)
+    feats = _finish_quantiles(w.groupBy(*keys, "label", "window_id").agg(*aggs))
+    return _finish(feats, windows, keys, step, min_rows, min_group_rows)
+
+
+def block_features(rows: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
+                   min_rows: int = MIN_WINDOW_ROWS, min_group_rows: int = MIN_TRACKING_ROWS,
+                   tint: float = 1e-3, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
+    """Same result as ``window_features(tracking_windows(...))`` when ``size``
+    is a multiple of ``step``, with every row aggregated once.
+
+    Rows (numbered ``rn``) are reduced per block of ``step`` rows to mergeable
+    partials — count, mean, M2 (centred sum of squares), min, max, sum of
+    |x|, prompt-power moments and, for quantile columns, the block's values.
+    Window ``w`` is blocks ``w .. w+k-1``; its partials (k of them) are merged
+    with the stable parallel-variance formula and its quantiles read from the
+    merged sorted values (bounded by the window size).
+    """
+    k = size // step
+    x = _inputs(rows, keys, ["rn"]).withColumn("_blk", F.floor(F.col("rn") / F.lit(step)))
+    has_lock = "carrier_lock_test" in rows.columns
+    cols = sorted({c for c, _, _ in _LAYOUT})
+    qcols = sorted({c for c, _, which in _LAYOUT if set(which) & set(_QUANTILES)})
+    part = [F.count(F.lit(1)).alias("rows"),
+            F.sum("_pow").alias("sp"), F.sum(F.col("_pow") * F.col("_pow")).alias("spp"),
+            F.count_if(F.col("_lock") == 1).alias("lock1")]
+    for c in cols:
+        part += [F.count(c).alias(f"n{c}"), F.sum(c).alias(f"s{c}"), F.avg(c).alias(f"m{c}"),
+                 (F.var_pop(c) * F.count(c)).alias(f"q{c}"), F.min(c).alias(f"lo{c}"),
+                 F.max(c).alias(f"hi{c}"), F.sum(F.abs(c)).alias(f"a{c}")]
+    for c in qcols:
+        part.append(F.collect_list(c).alias(f"v{c}"))
+    blocks = x.groupBy(*keys, "label", F.col("_blk").alias("blk")).agg(*part)
+    fields = ["blk"] + [c for c in blocks.columns if c not in set(keys) | {"label", "blk"}]
+    cand = F.array(*[F.col("blk") - F.lit(j) for j in range(k)])
+    exploded = (blocks.withColumn("window_id", F.explode(cand)).filter(F.col("window_id") >= 0)
+                      .select(*keys, "label", "window_id", F.struct(*fields).alias("_part")))
+    win = exploded.groupBy(*keys, "label", "window_id").agg(
+        F.sort_array(F.collect_list("_part")).alias("parts"))
+    parts = F.col("parts")
+
+    def total(f: str, init=None):
+        z = F.lit(0.0) if init is None else init
+        return F.aggregate(parts, z, lambda a, p: a + F.coalesce(p[f].cast("double"), F.lit(0.0)))
+
+    n_rows = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a + p["rows"])
+
+    def count_of(c):
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a + p[f"n{c}"])
+
+    def weighted_sum(c):
+        return F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.coalesce(p[f"s{c}"], F.lit(0.0)))
+
+    def centred(c, mean):
+        return F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.coalesce(p[f"q{c}"], F.lit(0.0))
+                           + p[f"n{c}"] * F.pow(F.coalesce(p[f"m{c}"], F.lit(0.0)) - F.coalesce(mean, F.lit(0.0)), 2))
+
+    def field(c, prefix):
+        return F.transform(parts, lambda p: p[f"{prefix}{c}"])
+
+    def abs_sum(c):
+        return F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.coalesce(p[f"a{c}"], F.lit(0.0)))
+
+    win = win.select(*keys, "label", "window_id", "parts", n_rows.alias("n_epochs"),
+                     *[count_of(c).alias(f"_n{c}") for c in cols],
+                     *[(weighted_sum(c) / F.nullif(count_of(c), F.lit(0))).alias(f"_m{c}") for c in cols])
+    feats = {}
+    for c in cols:
+        n, mean = F.col(f"_n{c}"), F.col(f"_m{c}")
+        m2 = centred(c, mean)
+        feats[c] = {"mean": mean, "std": F.when(n > 1, F.sqrt(m2 / (n - 1))),
+                    "min": F.array_min(field(c, "lo")), "max": F.array_max(field(c, "hi")),
+                    "abs_mean": abs_sum(c) / F.nullif(n, F.lit(0))}
+        if c in qcols:
+            vals = F.array_sort(F.flatten(field(c, "v")))
+            feats[c]["median"] = _sorted_quantile(vals, _QUANTILES["median"])
+            feats[c]["p95"] = _sorted_quantile(vals, _QUANTILES["p95"])
+    nn = F.col("n_epochs").cast("double")
+    m2p, m4p = total("sp") / nn, total("spp") / nn
+    d = F.lit(2.0) * m2p * m2p - m4p
+    noise = m2p - F.sqrt(d)
+    cn0 = (F.when((F.col("n_epochs") < 5) | (d <= 0) | (noise <= 0), F.lit(None).cast("double"))
+            .otherwise(F.lit(10.0) * F.log10(F.sqrt(d) / noise) - F.lit(10.0 * math.log10(tint))))
+    sel = [*keys, "label", "window_id", "n_epochs", cn0.alias("cn0_est_prompt"),
+           (feats["_dop"]["max"] - feats["_dop"]["min"]).alias("doppler_range"),
+           ((total("lock1") / nn) if has_lock else F.lit(None).cast("double")).alias("pll_lock_ratio")]
+    for col, prefix, which in _LAYOUT:
+        sel += [feats[col][w].alias(f"{prefix}_{w}") for w in which]
+    return _finish(win.select(*sel), rows, keys, step, min_rows, min_group_rows)
+
+
+def signal_features(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
+                    order: Sequence = ("PRN_start_sample_count",), hot_rows: int | None = None,
+                    size_bound: int | None = None, keys: Sequence[str] = GROUP_KEYS, **kw) -> DataFrame:
+    """Clean -> number rows -> per-window features (the E1 feature stage).
+
+    When ``size`` is a multiple of ``step`` each row is aggregated once
+    (``block_features``); otherwise rows are copied into every window that
+    holds them (``tracking_windows`` + ``window_features``).
+    """
+    clean = clean_tracking(df)
+    if size % step == 0:
+        rows = ordered_index(clean, list(keys), list(order), "rn", hot_rows=hot_rows, size_bound=size_bound)
+        return block_features(rows, size=size, step=step, keys=keys, **kw)
+    win = tracking_windows(clean, size=size, step=step, keys=keys, order=order, hot_rows=hot_rows,
+                           size_bound=size_bound)
+    return window_features(win, keys=keys, step=step, **kw)
 
 
 OBSERVABLE_COLUMNS = ["PRN", "Flag_valid_pseudorange", "Carrier_Doppler_hz", "Pseudorange_m",

@@ -115,8 +115,8 @@ SELECT CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
        cast(floor(SHIPUX / 86400) AS double) + cast(2 AS double) AS PRN_start_sample_count,
        l_orderkey AS tie_order, l_linenumber AS tie_line, l_partkey AS tie_part,
        l_extendedprice AS tie_price,
-       l_extendedprice / cast(100 AS double) - cast(500 AS double) AS Prompt_I,
-       l_quantity * cast(10 AS double) - cast(250 AS double) AS Prompt_Q,
+       (l_extendedprice / cast(100 AS double) - cast(500 AS double)) * {_D} AS Prompt_I,
+       (l_quantity * cast(10 AS double) - cast(250 AS double)) * {_D} AS Prompt_Q,
        cast(100 AS double) + l_quantity AS abs_E,
        cast(100 AS double) + l_quantity * (cast(1 AS double) + l_discount) AS abs_L,
        (cast(200 AS double) + l_extendedprice / cast(1000 AS double)) * {_D} AS abs_P,

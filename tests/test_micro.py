@@ -172,3 +172,20 @@ def test_confusion_always_2x2(spark):
     df = spark.createDataFrame([(1, 1), (1, 1)], "y_true int, y_pred int")
     cm = {(r[0], r[1]): r[2] for r in mt.confusion_matrix(df).collect()}
     assert cm == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
+
+
+@pytest.mark.parametrize("hot", [None, 0])
+def test_block_path_equals_explode_path(spark, hot):
+    from spoofscope.sources import adapters as ad
+    rows = trk.clean_tracking(ad.tracking_raw(spark, "/root/testdata/sf0.001"))
+    a = trk.signal_features(rows, order=ad.TRACKING_ORDER, hot_rows=hot)          # block merge
+    b = trk.window_features(trk.tracking_windows(rows, order=ad.TRACKING_ORDER, hot_rows=hot))  # explode
+    key = ["source_file", "tracking_file", "prn", "window_id"]
+    pa, pb = a.toPandas().sort_values(key).reset_index(drop=True), b.toPandas().sort_values(key).reset_index(drop=True)
+    assert len(pa) == len(pb) > 0
+    for c in pa.columns:
+        if pa[c].dtype.kind == "f":
+            close = (pa[c] - pb[c]).abs() <= 1e-9 * (1 + pb[c].abs())
+            assert (close | (pa[c].isna() & pb[c].isna())).all(), c
+        else:
+            assert (pa[c] == pb[c]).all(), c
