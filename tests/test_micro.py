@@ -178,7 +178,8 @@ def test_confusion_always_2x2(spark):
 def test_block_path_equals_explode_path(spark, hot):
     from spoofscope.sources import adapters as ad
     rows = trk.clean_tracking(ad.tracking_raw(spark, "/root/testdata/sf0.001"))
-    a = trk.signal_features(rows, order=ad.TRACKING_ORDER, hot_rows=hot)          # block merge
+    idx = trk.ordered_index(rows, trk.GROUP_KEYS, ad.TRACKING_ORDER, "rn", hot_rows=hot)
+    a = trk.block_features(idx)                                                     # block merge
     b = trk.window_features(trk.tracking_windows(rows, order=ad.TRACKING_ORDER, hot_rows=hot))  # explode
     key = ["source_file", "tracking_file", "prn", "window_id"]
     pa, pb = a.toPandas().sort_values(key).reset_index(drop=True), b.toPandas().sort_values(key).reset_index(drop=True)
