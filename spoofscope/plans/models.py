@@ -87,10 +87,12 @@ def q_holdout_fold(spark, sf_dir):
 def cross_validate(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
                    n_trees: int = QUERY_TREES, max_depth: int = QUERY_DEPTH, threshold: float = 0.5):
     """Fit and score one forest per fold; returns (cv table, folds)."""
-    rows = ml.class_balanced_weights(rows, label).cache()
+    # k fits reuse the rows: materialise them once (reliable checkpoint, so
+    # a lost executor does not force recomputing the feature pipeline)
+    rows = ml.class_balanced_weights(rows, label).checkpoint(eager=True)
     folds = ml.stratified_group_folds(rows, group, label)
     summary = ml.fold_table(rows, folds, group, label)
-    j = rows.join(folds.select(group, "fold"), group).cache()
+    j = rows.join(folds.select(group, "fold"), group)
     out = []
     k = folds.agg(F.max("fold")).first()[0]
     for f in range(1, k + 1):
@@ -127,7 +129,7 @@ def signal_rows(spark, sf_dir) -> DataFrame:
 def holdout_model(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
                   threshold: float = 0.5, n_trees: int = QUERY_TREES, max_depth: int = QUERY_DEPTH):
     """Fold nearest 25 % with both classes as test; fit on the rest."""
-    rows = ml.class_balanced_weights(rows, label).cache()
+    rows = ml.class_balanced_weights(rows, label).checkpoint(eager=True)
     folds = ml.stratified_group_folds(rows, group, label)
     summary = ml.fold_table(rows, folds, group, label)
     pick = ml.holdout_fold(summary, rows.count()).first()
