@@ -170,3 +170,19 @@ def test_fit_all_and_availability(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="fit-"), "m")
     ml.fit_all(df, avail, path=path, n_trees=5, max_depth=3)
     assert PipelineModel.load(path).stages[0].getInputCols() == ["f1"]
+
+
+def test_bbox_filter_and_pruning_reach_the_scan(spark):
+    """On stored state rows the area predicate is pushed to the parquet scan
+    and only the needed columns are read."""
+    from spoofscope.operators import trajectory as tr
+    d = tempfile.mkdtemp(prefix="states-")
+    rows = [(f"a{k % 7}", 1_700_000_000 + k, 45.0 + (k % 100) / 10, 10.0 + (k % 50) / 10, float(k), "x")
+            for k in range(2000)]
+    spark.createDataFrame(rows, "icao24 string, time long, lat double, lon double, velocity double, callsign string") \
+         .write.mode("overwrite").parquet(d)
+    q = tr.bbox_filter(spark.read.parquet(d), 49.0, 14.0, 55.0, 24.0).select("icao24", "lat")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(lat" in plan
+    assert "ReadSchema: struct<icao24:string,lat:double,lon:double>" in plan
+    assert q.count() == spark.read.parquet(d).filter("lat between 49 and 55 and lon between 14 and 24").count()

@@ -190,3 +190,11 @@ def test_block_path_equals_explode_path(spark, hot):
             assert (close | (pa[c].isna() & pb[c].isna())).all(), c
         else:
             assert (pa[c] == pb[c]).all(), c
+
+
+def test_history_cap_cutoff_path_is_exact(spark):
+    df = spark.range(0, 200_000, numPartitions=16).withColumnRenamed("id", "seq") \
+              .withColumn("seq", (F.col("seq") * 7919) % 1_000_003)
+    want = sorted((r[0] for r in df.orderBy(F.col("seq").desc()).limit(5000).collect()), reverse=True)
+    got = tr.history_cap(df, 5000, merge_rows=1000, rel_error=1e-3)   # forces the cutoff path
+    assert sorted((r[0] for r in got.collect()), reverse=True) == want
