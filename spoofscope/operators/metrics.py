@@ -94,14 +94,21 @@ def classification_report(df: DataFrame) -> DataFrame:
 
 def threshold_sweep(df: DataFrame, prob: str = "spoof_probability",
                     thresholds: Sequence[float] = SWEEP_THRESHOLDS) -> DataFrame:
-    """Metrics at every threshold (``prob >= t``) in one pass: the
-    thresholds (a fixed handful) are broadcast and joined to every row, then
-    one aggregation groups by threshold."""
-    spark = df.sparkSession
-    th = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    j = df.select("y_true", prob).crossJoin(F.broadcast(th))
-    pred = F.when(F.col(prob) >= F.col("threshold"), 1).otherwise(0)
-    cells = j.groupBy("threshold").agg(*_cells(F.col("y_true"), pred))
+    """Metrics at every threshold (``prob >= t``) in one pass: one
+    aggregation computes the four confusion cells for each threshold
+    (conditional counts, combined map-side); the one-row result is unpivoted
+    to one row per threshold.  Rows are read once and never multiplied."""
+    y, p = F.col("y_true"), F.col(prob)
+    aggs = []
+    for k, t in enumerate(thresholds):
+        hit = p >= F.lit(float(t))
+        aggs += [F.count_if((y == 0) & ~hit).alias(f"tn{k}"), F.count_if((y == 0) & hit).alias(f"fp{k}"),
+                 F.count_if((y == 1) & ~hit).alias(f"fn{k}"), F.count_if((y == 1) & hit).alias(f"tp{k}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tn{k}").alias("tn"),
+                              F.col(f"fp{k}").alias("fp"), F.col(f"fn{k}").alias("fn"),
+                              F.col(f"tp{k}").alias("tp")) for k, t in enumerate(thresholds)])
+    cells = one.select(F.inline(rows))
     return cells.select(
         "threshold", *[c for c in _metric_cols()],
         F.col("fp").alias("false_alarms"), F.col("fn").alias("missed_attacks"),

@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import metrics as mt
@@ -47,8 +47,8 @@ def group_split(df: DataFrame, group: str, test_share: float = TEST_SHARE, seed:
 def class_balanced_weights(df: DataFrame, label: str = "y", out: str = "weight") -> DataFrame:
     """Row weight n / (k * n_class) (scikit-learn's 'balanced')."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    t = c.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = c.crossJoin(F.broadcast(t)).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    every = Window.partitionBy()  # over the per-class table: one row per class
+    w = c.select(label, (F.sum("_nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(w), label)  # one row per class
 
 
@@ -140,9 +140,9 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark) ->
 def evaluate(scored: DataFrame, label: str = "y", prob: str = "spoof_probability") -> DataFrame:
     """One row: tn, fp, fn, tp, accuracy, precision, recall, f1, roc_auc."""
     s = scored.withColumnRenamed(label, "y_true") if label != "y_true" else scored
-    m = mt.classification_metrics(s)
-    auc = mt.roc_auc(s.select("y_true", prob), prob=prob)
-    return m.crossJoin(auc)  # both one row
+    m = mt.classification_metrics(s).withColumn("_one", F.lit(1))
+    auc = mt.roc_auc(s.select("y_true", prob), prob=prob).withColumn("_one", F.lit(1))
+    return m.join(auc, "_one").drop("_one")  # two one-row results
 
 
 def feature_availability(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:

@@ -154,7 +154,9 @@ def summary_record(name: str, threshold: float, train: DataFrame, scored: DataFr
                      F.count_if(F.col(label) == 0).alias("test_normal"),
                      F.count_if(F.col(label) == 1).alias("test_attack"))
     tr_n = train.agg(F.count(F.lit(1)).alias("train_rows"))
-    return ev.select(*cols).crossJoin(tr_n).crossJoin(cnt)  # all one-row frames
+    one = F.lit(1).alias("_one")
+    return (ev.select(*cols, one).join(tr_n.select("*", one), "_one")
+              .join(cnt.select("*", one), "_one").drop("_one"))  # all one-row frames
 
 
 @register("train_signal")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import metrics as mt
@@ -62,19 +63,17 @@ def q_classification_report(spark, sf_dir):
     return rounded(mt.classification_report(scored(spark, sf_dir)))
 
 
-_THS = ", ".join(f"({t})" for t in mt.SWEEP_THRESHOLDS)
+_SWEEP_CELLS = "\nUNION ALL\n".join(
+    f"""SELECT cast({t} AS double) AS threshold,
+       cast(count_if(y_true = 0 AND spoof_probability < {t}) AS bigint) AS tn,
+       cast(count_if(y_true = 0 AND spoof_probability >= {t}) AS bigint) AS fp,
+       cast(count_if(y_true = 1 AND spoof_probability < {t}) AS bigint) AS fn,
+       cast(count_if(y_true = 1 AND spoof_probability >= {t}) AS bigint) AS tp
+FROM scores""" for t in mt.SWEEP_THRESHOLDS)
 
 
 @register("threshold_sweep", oracle=f"""WITH {_SC},
-th AS (SELECT cast(t AS double) AS threshold FROM (VALUES {_THS}) v(t)),
-c AS (
-  SELECT threshold,
-         cast(count_if(y_true = 0 AND spoof_probability < threshold) AS bigint) AS tn,
-         cast(count_if(y_true = 0 AND spoof_probability >= threshold) AS bigint) AS fp,
-         cast(count_if(y_true = 1 AND spoof_probability < threshold) AS bigint) AS fn,
-         cast(count_if(y_true = 1 AND spoof_probability >= threshold) AS bigint) AS tp
-  FROM scores CROSS JOIN th GROUP BY threshold
-)
+c AS ({_SWEEP_CELLS})
 SELECT threshold, {_R.format(a='tp + tn', b='tp + tn + fp + fn')} AS accuracy,
        {_R.format(a='tp', b='tp + fp')} AS attack_precision, {_R.format(a='tp', b='tp + fn')} AS attack_recall,
        {_R.format(a='2 * tp', b='2 * tp + fp + fn')} AS attack_f1,
@@ -196,9 +195,8 @@ SELECT predicted_anomaly, count(*) AS n, round(count(*) / sum(count(*)) OVER (),
 FROM live GROUP BY predicted_anomaly""")
 def q_prediction_distribution(spark, sf_dir):
     d = live_scores(spark, sf_dir).groupBy("predicted_anomaly").agg(F.count(F.lit(1)).alias("n"))
-    tot = d.agg(F.sum("n").alias("_t"))
-    return rounded(d.crossJoin(F.broadcast(tot))  # one-row total
-                    .select("predicted_anomaly", "n", (F.col("n") / F.col("_t")).alias("share")))
+    every = Window.partitionBy()  # over the per-class table (two rows)
+    return rounded(d.select("predicted_anomaly", "n", (F.col("n") / F.sum("n").over(every)).alias("share")))
 
 
 @register("top_predictions", oracle=f"""WITH {_LIVE}

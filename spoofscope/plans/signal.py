@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import tracking as trk
@@ -240,9 +240,9 @@ def q_class_summary(spark, sf_dir):
 def class_weights(df: DataFrame, target: str = "is_spoofed") -> DataFrame:
     """Balanced class weights n / (k * n_c) per class (k = number of classes)."""
     c = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = c.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
-    return (c.crossJoin(F.broadcast(tot))  # tot is one row
-             .select(target, "n_class", (F.col("n") / (F.col("k") * F.col("n_class"))).alias("weight")))
+    every = Window.partitionBy()  # over the per-class table: one row per class
+    return c.select(target, "n_class", (F.sum("n_class").over(every)
+                                        / (F.count(F.lit(1)).over(every) * F.col("n_class"))).alias("weight"))
 
 
 @register("class_weights", oracle=_FEATURES_CTE + """
