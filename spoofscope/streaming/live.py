@@ -93,6 +93,49 @@ def stateful_deltas(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
                                      GroupStateTimeout.EventTimeTimeout))
 
 
+TAIL_OUT_SCHEMA = ("icao24 string, point_index int, n_points int, time long, seq long, "
+                   "lat double, lon double, is_last boolean")
+TAIL_STATE_SCHEMA = "times array<long>, seqs array<long>, lats array<double>, lons array<double>"
+
+
+def _tail_fn(points: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Keep the newest ``points`` positions of one aircraft in state
+        (bounded) and emit its current tail when it has at least two."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(pdfs), ignore_index=True)[["time", "seq", "lat", "lon"]]
+        if state.exists:
+            t, q, la, lo = state.get
+            old = pd.DataFrame({"time": list(t), "seq": list(q), "lat": list(la), "lon": list(lo)})
+            new = pd.concat([old, new], ignore_index=True)
+        tail = new.sort_values(["time", "seq"], kind="stable").tail(points).reset_index(drop=True)
+        state.update((tail["time"].astype("int64").tolist(), tail["seq"].astype("int64").tolist(),
+                      tail["lat"].astype(float).tolist(), tail["lon"].astype(float).tolist()))
+        state.setTimeoutTimestamp(int(tail["time"].iloc[-1]) * 1000 + 600_000)
+        if len(tail) < 2:
+            return
+        n = len(tail)
+        yield pd.DataFrame({"icao24": key[0], "point_index": range(1, n + 1), "n_points": n,
+                            "time": tail["time"].astype("int64"), "seq": tail["seq"].astype("int64"),
+                            "lat": tail["lat"], "lon": tail["lon"], "is_last": [i == n for i in range(1, n + 1)]})
+    return fn
+
+
+def stateful_tails(states: DataFrame, points: int = tr.TRAJECTORY_POINTS, watermark: str = STATE_TTL) -> DataFrame:
+    """X4: per aircraft, the last ``points`` valid and fresh positions kept in
+    bounded state; every update emits the aircraft's current tail (the last
+    emission per aircraft equals the batch ``trajectory_tail``)."""
+    ship_package(states.sparkSession)
+    pts = tr.fresh_positions(tr.valid_position(states)).filter(F.col("icao24").isNotNull())
+    pts = pts.withWatermark("event_time", watermark).select(
+        "icao24", F.col("time").cast("long").alias("time"), F.col("seq").cast("long").alias("seq"),
+        "lat", "lon", "event_time")
+    return pts.groupBy("icao24").applyInPandasWithState(
+        _tail_fn(points), TAIL_OUT_SCHEMA, TAIL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def live_batch_writer(out_dir: str, model=None, threshold: float = tr.ANOMALY_THRESHOLD,
                       high_risk: float = tr.HIGH_RISK_THRESHOLD):
     """X5-X8 in ``foreachBatch``: score the batch (model optional), write the

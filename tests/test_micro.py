@@ -198,3 +198,17 @@ def test_history_cap_cutoff_path_is_exact(spark):
     want = sorted((r[0] for r in df.orderBy(F.col("seq").desc()).limit(5000).collect()), reverse=True)
     got = tr.history_cap(df, 5000, merge_rows=1000, rel_error=1e-3)   # forces the cutoff path
     assert sorted((r[0] for r in got.collect()), reverse=True) == want
+
+
+def test_gps_label_from_file_name_and_aliases(spark):
+    raw = spark.createDataFrame(
+        [(1, "Normal-Data-1.csv", "2024-01-01 00:00:00", "50.1", "14.2"),
+         (2, "Attack-2.csv", "2024-01-01 00:00:01", "50.2", "14.3"),
+         (3, "Attack-2.csv", "bad", "50.3", None)],
+        "seq long, source_file string, `Date Time` string, `GPS Lat` string, `Longitude` string")
+    t = {r["seq"]: r for r in gp.normalize_gps(raw).collect()}
+    assert set(t) == {1, 2}                          # missing position dropped
+    assert t[1]["is_spoofed"] == 0 and t[2]["is_spoofed"] == 1
+    assert t[1]["device_id"] == "Normal-Data-1"
+    assert gp.resolve_columns(["GPS-Lat", "Lng ", "Speed (m/s)"])["speed"] is None
+    assert gp.resolve_columns(["GPS-Lat", "Lng "])["lat"] == "GPS-Lat"

@@ -68,3 +68,27 @@ def test_dedup_and_batch_sinks(spark):
     # streaming dedup never emits the same (aircraft, position time, position) twice
     dup = preds.groupBy("icao24", "time", "seq").count().filter("count > 1").count()
     assert dup == 0
+
+
+def test_stateful_tails_match_batch(spark):
+    base = tempfile.mkdtemp(prefix="polls-")
+    _land(spark, base)
+    out = tempfile.mkdtemp(prefix="tails-out-")
+    ckpt = tempfile.mkdtemp(prefix="tails-ckpt-")
+    q = (live.stateful_tails(live.snapshot_stream(spark, base, max_files_per_trigger=3)).writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    got = spark.read.parquet(out)
+    # tails only grow to 30 points and the newest point only moves forward,
+    # so the final tail of an aircraft has the largest size and last point
+    final = got.groupBy("icao24").agg(F.max("n_points").alias("n"),
+                                      F.max(F.when(F.col("is_last"), F.col("seq"))).alias("last_seq"))
+    docs = spark.read.text(base, wholetext=True)
+    rows = tr.snapshot_rows(docs).withColumn("_seq", F.col("api_time") * 1_000_000 + F.col("state_index"))
+    b = tr.prepare_states(tr.normalize_states(rows))
+    batch = tr.trajectory_tail(b)
+    n_stream = {r[0]: (r[1], r[2]) for r in final.collect()}
+    n_batch = {r[0]: (r[1], r[2]) for r in batch.groupBy("icao24").agg(
+        F.max("n_points"), F.max(F.when(F.col("is_last"), F.col("seq")))).collect()}
+    assert n_stream == n_batch and len(n_batch) > 0
