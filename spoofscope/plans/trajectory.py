@@ -357,8 +357,8 @@ SELECT icao24, count(*) AS n_rows, max(seq) AS last_seq FROM ranked WHERE rk = 1
 def q_history_append(spark, sf_dir):
     """History (older polls) + newest poll, then keep-last dedup."""
     s = states(spark, sf_dir)
-    newest = s.agg(F.max("snap").alias("_m"))
-    hist = s.join(F.broadcast(newest), F.col("snap") < F.col("_m")).drop("_m")  # one-row scalar
-    new = s.join(F.broadcast(newest), F.col("snap") == F.col("_m")).drop("_m")
+    newest = s.agg(F.max("snap")).first()[0]  # one scalar
+    hist = s.filter(F.col("snap") < F.lit(newest))
+    new = s.filter(F.col("snap") == F.lit(newest))
     d = tr.state_dedup(hist.unionByName(new))
     return d.groupBy("icao24").agg(F.count(F.lit(1)).alias("n_rows"), F.max("seq").alias("last_seq"))
