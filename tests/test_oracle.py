@@ -12,6 +12,9 @@ from spoofscope.plans.registry import ORACLES, QUERIES, load_all
 load_all()
 SF = os.environ.get("SPOOFSCOPE_TEST_SF", "/root/testdata/sf0.001")
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
+# Recordings shorter than one 2048-sample segment have no spectrogram rows
+# (sf0.001 has 500 samples per recording).
+EMPTY_OK = {"spectrogram"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +31,7 @@ def test_matches_oracle(spark, con, key):
 @pytest.mark.skipif(not os.environ.get("SPOOFSCOPE_SLOW"), reason="model fits are slow")
 @pytest.mark.parametrize("key", ROWS_ONLY)
 def test_rows_only(spark, key):
-    assert QUERIES[key](spark, SF).count() >= 1
+    assert QUERIES[key](spark, SF).count() >= (0 if key in EMPTY_OK else 1)
 
 
 def test_entry_smoke(spark):
