@@ -115,21 +115,21 @@ SELECT CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
        cast(floor(SHIPUX / 86400) AS double) + cast(2 AS double) AS PRN_start_sample_count,
        l_orderkey AS tie_order, l_linenumber AS tie_line, l_partkey AS tie_part,
        l_extendedprice AS tie_price,
-       (l_extendedprice / cast(100 AS double) - cast(500 AS double)) * {_D} AS Prompt_I,
-       (l_quantity * cast(10 AS double) - cast(250 AS double)) * {_D} AS Prompt_Q,
+       (l_extendedprice / cast(100 AS double) - cast(500 AS double)) * {_DA} AS Prompt_I,
+       (l_quantity * cast(10 AS double) - cast(250 AS double)) * {_DA} AS Prompt_Q,
        cast(100 AS double) + l_quantity AS abs_E,
        cast(100 AS double) + l_quantity * (cast(1 AS double) + l_discount) AS abs_L,
-       (cast(200 AS double) + l_extendedprice / cast(1000 AS double)) * {_D} AS abs_P,
+       (cast(200 AS double) + l_extendedprice / cast(1000 AS double)) * {_DA} AS abs_P,
        CASE WHEN l_discount = 0 THEN cast(0 AS double)
-            ELSE (cast(30 AS double) + l_tax * cast(100 AS double)) * {_D} END AS CN0_SNV_dB_Hz,
+            ELSE (cast(30 AS double) + l_tax * cast(100 AS double)) * {_DA} END AS CN0_SNV_dB_Hz,
        CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN NULL
             WHEN l_returnflag IN ('A', 'R') THEN cast(1 AS double)
             ELSE cast(0 AS double) END AS carrier_lock_test,
-       (l_discount - cast(0.05 AS double)) * cast(103.71923 AS double) AS carr_error_hz,
-       (l_tax - cast(0.04 AS double)) * {_D} AS code_error_chips,
-       cast(l_partkey % 12000 - 6000 AS double) * {_D} AS carrier_doppler_hz,
-       cast(l_orderkey % 997 AS double) * {_D} AS acc_carrier_phase_rad,
-       cast(1023000 AS double) + cast(l_partkey % 101 - 50 AS double) * {_D} AS code_freq_chips
+       (l_discount - cast(0.05 AS double)) * cast(103.719237331 AS double) AS carr_error_hz,
+       (l_tax - cast(0.04 AS double)) * {_DA} AS code_error_chips,
+       cast(l_partkey % 12000 - 6000 AS double) * {_DA} AS carrier_doppler_hz,
+       cast(l_orderkey % 997 AS double) * {_DA} AS acc_carrier_phase_rad,
+       cast(1023000 AS double) + cast(l_partkey % 101 - 50 AS double) * {_DA} AS code_freq_chips
 FROM {{lineitem}}
 """
 
@@ -238,9 +238,9 @@ SELECT CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
                           WHEN 2 THEN 'spoof_2' ELSE 'spoof_4' END AS label,
        cast(l_suppkey + 1 AS double) AS PRN,
        CASE WHEN l_linenumber % 5 = 0 THEN cast(0 AS double) ELSE cast(1 AS double) END AS Flag_valid_pseudorange,
-       cast(l_partkey % 12000 - 6000 AS double) * {_D} AS Carrier_Doppler_hz,
-       (cast(20000 AS double) + cast(l_orderkey % 5000 AS double)) * {_D} AS Pseudorange_m,
-       l_extendedprice / cast(10 AS double) * {_D} AS Carrier_phase_cycles
+       cast(l_partkey % 12000 - 6000 AS double) * {_DA} AS Carrier_Doppler_hz,
+       (cast(20000 AS double) + cast(l_orderkey % 5000 AS double)) * {_DA} AS Pseudorange_m,
+       l_extendedprice / cast(10 AS double) * {_DA} AS Carrier_phase_cycles
 FROM {{lineitem}}
 """
 
