@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spoofscope.operators.ordered import ordered_index
 
-# Decision thresholds compared on the dashboard, class names,
+# Decision thresholds compared in the sweep, class names,
 # outcome names and the histogram resolution.
 SWEEP_THRESHOLDS = [0.2, 0.3, 0.35, 0.4, 0.5]
 CLASS_NAMES = {0: "clean", 1: "spoofed"}

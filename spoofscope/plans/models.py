@@ -164,7 +164,7 @@ def q_train_signal(spark, sf_dir):
     rows = signal_rows(spark, sf_dir)
     feats = ml.usable_features(rows, trk.FEATURE_COLUMNS)
     model, train, scored = holdout_model(rows, "group_id", feats, impute=True, threshold=0.5)
-    return rounded(summary_record("gnss_sdr", 0.5, train, scored))
+    return rounded(summary_record("signal", 0.5, train, scored))
 
 
 def trajectory_rows(spark, sf_dir) -> DataFrame:
@@ -179,7 +179,7 @@ def q_train_trajectory(spark, sf_dir):
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     model = ml.forest_pipeline(tr.MODEL_FEATURES, "y", n_trees=QUERY_TREES, max_depth=QUERY_DEPTH).fit(train)
     scored = ml.score(model, test, tr.ANOMALY_THRESHOLD)
-    return rounded(summary_record("adsb", tr.ANOMALY_THRESHOLD, train, scored, with_auc=False))
+    return rounded(summary_record("trajectory", tr.ANOMALY_THRESHOLD, train, scored, with_auc=False))
 
 
 @register("score")

@@ -149,11 +149,11 @@ def test_folds_whole_groups(spark):
 def test_result_reads(spark):
     d = tempfile.mkdtemp(prefix="res-")
     with open(os.path.join(d, "model_summary.json"), "w") as fh:
-        json.dump({"model": "gnss_sdr", "threshold": 0.5, "accuracy": 0.95, "test_rows": 996}, fh, indent=2)
+        json.dump({"model": "signal", "threshold": 0.5, "accuracy": 0.95, "test_rows": 996}, fh, indent=2)
     with open(os.path.join(d, "cm.csv"), "w") as fh:
         fh.write("236,43\n6,711\n")
     s = readers.read_model_summary(spark, os.path.join(d, "model_summary.json")).first()
-    assert s["model"] == "gnss_sdr" and s["test_rows"] == 996
+    assert s["model"] == "signal" and s["test_rows"] == 996
     cm = {(r[0], r[1]): r[2] for r in readers.read_confusion_csv(spark, os.path.join(d, "cm.csv")).collect()}
     assert cm == {(0, 0): 236, (0, 1): 43, (1, 0): 6, (1, 1): 711}
     assert readers.read_model_summary(spark, os.path.join(d, "absent.json")) is None
