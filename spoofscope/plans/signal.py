@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoofscope.operators import tracking as trk
 from spoofscope.operators.stats import long_percentiles, unpivot
-from spoofscope.plans.registry import register, rounded
+from spoofscope.plans.registry import register, round_half_away, rounded
 from spoofscope.sources import adapters as ad
 
 # ---------------------------------------------------------------- oracle SQL
@@ -156,7 +156,7 @@ REPORT_EXCLUDE = {"tracking_valid", "is_spoofed", "prn", "window_id", "window_st
 REPORT_COLS = ["n_epochs", "window_size"] + [c for c in trk.FEATURE_COLUMNS if c != "n_epochs"]
 
 
-def report_per_file(feats: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def report_per_file(feats: DataFrame, hot_rows: int | None = None, digits: int | None = None) -> DataFrame:
     """Per dataset file: window count, distinct PRNs and mean/std/median/min/max
     of every numeric window column.
 
@@ -177,8 +177,10 @@ def report_per_file(feats: DataFrame, hot_rows: int | None = None) -> DataFrame:
     med = (long_percentiles(long, REPORT_KEYS, {"median": 0.5}, hot_rows=hot_rows)
            .select(*gk, F.col("_val").alias("median")))
     stats = basic.join(med, gk, "left")
-    wide = stats.groupBy(*REPORT_KEYS).pivot("_c", REPORT_COLS).agg(
-        *[F.first(s).alias(s) for s in ("mean", "std", "median", "min", "max")])
+    names = ("mean", "std", "median", "min", "max")
+    if digits is not None:  # round in long form: five expressions, not one per wide column
+        stats = stats.select(*gk, *[round_half_away(F.col(n), digits).alias(n) for n in names])
+    wide = stats.groupBy(*REPORT_KEYS).pivot("_c", REPORT_COLS).agg(*[F.first(n).alias(n) for n in names])
     order = ["n_windows", "n_prns"] + [f"{c}_{s}" for c in REPORT_COLS
                                        for s in ("mean", "std", "median", "min", "max")]
     out = counts.join(wide, REPORT_KEYS, "left")
@@ -199,7 +201,7 @@ def _report_sql() -> str:
 
 @register("report_per_file", oracle=_report_sql())
 def q_report_per_file(spark, sf_dir):
-    return rounded(report_per_file(features(spark, sf_dir)))
+    return report_per_file(features(spark, sf_dir), digits=6)
 
 
 def corpus_counts(feats: DataFrame) -> DataFrame:
