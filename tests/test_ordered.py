@@ -54,3 +54,15 @@ def test_range_path_splits_hot_key(spark, skewed):
     r = _ranged(skewed.filter(F.col("k") == "hot"), ["k"], ["t", "seq"], 8)
     parts = r.withColumn("p", F.spark_partition_id()).select("p").distinct().count()
     assert parts >= 4
+
+
+def test_null_order_values(spark):
+    rows = [("a", None if i % 5 == 0 else float(i % 37), i, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t double, seq long, v double")
+    a = ordered_diff(df, ["k"], ["t", "seq"], ["v"], partitions=6, hot_rows=0)
+    w = Window.partitionBy("k").orderBy("t", "seq")
+    b = df.withColumn("delta_v", F.col("v") - F.lag("v").over(w))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    ia = ordered_index(df, ["k"], ["t", "seq"], "rn", partitions=6, hot_rows=0)
+    ib = df.withColumn("rn", (F.row_number().over(w) - 1).cast("bigint"))
+    assert ia.exceptAll(ib).count() == 0
