@@ -66,3 +66,22 @@ def test_null_order_values(spark):
     ia = ordered_index(df, ["k"], ["t", "seq"], "rn", partitions=6, hot_rows=0)
     ib = df.withColumn("rn", (F.row_number().over(w) - 1).cast("bigint"))
     assert ia.exceptAll(ib).count() == 0
+
+
+@pytest.mark.parametrize("hot", [None, 0])
+def test_grouped_percentiles_match_pandas(spark, hot):
+    from spoofscope.operators.stats import grouped_percentiles
+    rnd = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 5}", float(rnd.randint(0, 50)), None if i % 7 == 0 else rnd.random())
+            for i in range(4000)] + [("empty", None, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    got = {r["g"]: r for r in grouped_percentiles(df, ["g"], ["a", "b"], {"median": 0.5, "p95": 0.95},
+                                                  hot_rows=hot).collect()}
+    pdf = df.toPandas()
+    for g, part in pdf.groupby("g"):
+        for c in ("a", "b"):
+            vals = part[c].dropna()
+            for name, p in (("median", 0.5), ("p95", 0.95)):
+                want = vals.quantile(p) if len(vals) else None
+                have = got[g][f"{c}_{name}"] if g in got else None
+                assert (want is None and have is None) or abs(have - want) < 1e-12, (g, c, name)
