@@ -34,3 +34,17 @@ def test_window_features_one_hash_exchange(spark):
 def test_no_cartesian_or_nested_loop_join(spark, key):
     plan = _plan(QUERIES[key](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
+
+
+def test_trajectory_tail_limits_before_the_shuffle(spark):
+    """row_number() <= 30 is planned as a window group limit, so each task
+    sends at most 30 rows per aircraft to the shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(QUERIES["trajectory_tail"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "WindowGroupLimit" in plan, plan
+    # the partial limit sits below the exchange on the aircraft key
+    partial = plan.find("WindowGroupLimit [icao24", plan.find("Exchange hashpartitioning(icao24"))
+    assert partial > 0, plan
