@@ -48,3 +48,13 @@ def test_trajectory_tail_limits_before_the_shuffle(spark):
     # the partial limit sits below the exchange on the aircraft key
     partial = plan.find("WindowGroupLimit [icao24", plan.find("Exchange hashpartitioning(icao24"))
     assert partial > 0, plan
+
+
+def test_dedup_combines_copies_map_side(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(QUERIES["state_dedup"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ex = plan.find("Exchange hashpartitioning(icao24")
+    assert ex > 0 and "partial_max_by" in plan[ex:], plan
