@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import sharding
-from spoofscope.llm.common import table, text_or_empty
+from spoofscope.llm import lines, sharding, urls
+from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,47 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(records, sharding.first_map(40)).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         F.col("position").alias("slot"), "grown_shard", "virtual_slot", "map_version")
+
+
+_LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+v AS (
+  SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+  FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+w AS (
+  SELECT a.doc_id, a.k, a.line AS x, b.line AS y, c.line AS z
+  FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN v c ON a.doc_id = c.doc_id AND c.k = a.k + 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, k) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, k + d AS k FROM r, (VALUES (0), (1), (2)) t(d) WHERE nth > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+  FROM l LEFT JOIN v USING (doc_id, pos) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = v.k
+  WHERE g.k IS NULL GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM v GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(oracle=_LINES_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of repeated three-line windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+#: Rules of the query, in the order they were given.
+URL_RULES = [urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"),
+             urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/")]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the rules, else by the naive Bayes score; the
+    words of hosts come from a unigram model of all documents."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, URL_RULES, staged(urls.word_counts(table(spark, sf_dir, "documents")))).drop("url")
