@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import lines, sharding, urls
+from spoofscope.llm import lines, quality, sharding, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -75,3 +75,55 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     words of hosts come from a unigram model of all documents."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judged(pages, URL_RULES, staged(urls.word_counts(table(spark, sf_dir, "documents")))).drop("url")
+
+
+_QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, words[i] AS a, words[i+1] AS b, words[i+2] AS c, words[i+3] AS e, words[i+4] AS f
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c, e, f) AS n FROM g) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 5) t(k) GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, lang, len(words) AS n_words, len(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+    len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(rw.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN rw USING (doc_id)),
+b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols,
+    CASE WHEN word_chars > 0 THEN 1000 * n_capitals // word_chars ELSE 0 END AS capitals,
+    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats
+  FROM c),
+m AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+s AS (SELECT lang, quality, unnest(['symbols', 'capitals', 'dup_lines', 'repeats']) AS rule,
+        unnest([symbols, capitals, dup_lines, repeats]) AS score
+      FROM b JOIN m USING (doc_id) WHERE NOT base_failed),
+t AS (SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND score >= cutoff) AS k,
+        count(*) FILTER (quality = 0 AND score >= cutoff) AS rejected
+      FROM s, (SELECT unnest({list(quality.GRID)}) AS cutoff) GROUP BY lang, rule, cutoff),
+z AS (SELECT *, CASE WHEN k > n * {quality.ALPHA / 4} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+        lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({quality.ALPHA / 4}) + (n - i) * ln(1 - {quality.ALPHA / 4})))) END
+        <= {quality.DELTA} / (4 * (SELECT count(DISTINCT lang) FROM s)) AS holds FROM t),
+h AS (SELECT *, min(holds::INT) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS chain FROM z),
+u AS (SELECT lang, rule, arg_max(cutoff, (rejected - k) * 10000 + cutoff) AS cutoff FROM h
+      WHERE chain = 1 AND rejected > k GROUP BY lang, rule),
+v AS (SELECT lang, max(cutoff) FILTER (rule = 'symbols') AS symbols, max(cutoff) FILTER (rule = 'capitals') AS capitals,
+        max(cutoff) FILTER (rule = 'dup_lines') AS dup_lines, max(cutoff) FILTER (rule = 'repeats') AS repeats FROM u GROUP BY lang)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(b.symbols >= v.symbols, false) OR coalesce(b.capitals >= v.capitals, false)
+    OR coalesce(b.dup_lines >= v.dup_lines, false) OR coalesce(b.repeats >= v.repeats, false)) AS kept
+FROM b LEFT JOIN v USING (lang)
+"""
+
+
+@query(oracle=_QUALITY_SQL)
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the certified cutoffs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counts = staged(quality.counted(docs).drop("text"))
+    cutoffs = quality.certified(counts, table(spark, sf_dir, "labels"))
+    return quality.judged(counts, cutoffs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
