@@ -41,6 +41,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def only(value: Column, condition: Column) -> Column:
+    """A generator: ``value`` where ``condition`` holds, else NULL.  A filter
+    on the result stays above it; pushed further down, it would repeat the
+    expressions that ``value`` is made of for every element they loop over."""
+    return F.explode_outer(F.when(condition, F.array(value)))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores in front until no column has it."""
     taken = {c.lower() for c in columns}
@@ -49,5 +56,5 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-__all__ = ["WORD", "ascii_lower", "ensure_checkpoint_dir", "fresh", "partitions", "ship_package",
+__all__ = ["WORD", "ascii_lower", "ensure_checkpoint_dir", "fresh", "only", "partitions", "ship_package",
            "staged", "table", "text_or_empty"]

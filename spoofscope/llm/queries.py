@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import lines, quality, sharding, urls
+from spoofscope.llm import licenses, lines, quality, sharding, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -127,3 +127,33 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = quality.certified(counts, table(spark, sf_dir, "labels"))
     return quality.judged(counts, cutoffs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _license_sql() -> str:
+    notices = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.NOTICES.items()))
+    words = "list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    shingle = "list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4])"
+    return f"""
+WITH t AS (
+  SELECT id, list_distinct({shingle}) AS runs FROM (SELECT id, {words} AS w FROM (VALUES {notices}) v(id, text))),
+s AS (SELECT id, runs, len(runs) AS n, CAST(pow(2, ceil(log2(len(runs)))) AS BIGINT) AS size FROM t),
+d AS (SELECT doc_id, {shingle} AS runs FROM (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 5),
+k AS (SELECT list_distinct(flatten(list(runs))) AS runs FROM t),
+c AS (SELECT d.* FROM d, k WHERE list_has_any(d.runs, k.runs)),
+x AS (
+  SELECT doc_id, size, j * size AS start, runs[j * size + 1 : (j + 2) * size] AS win
+  FROM (SELECT doc_id, c.runs, z.size, unnest(range(0, greatest(CAST(ceil(len(c.runs) / z.size) AS BIGINT) - 1, 1))) AS j
+        FROM c, (SELECT DISTINCT size FROM s) z)),
+m AS (
+  SELECT doc_id, id, start, len(list_intersect(win, s.runs)) AS hit, n,
+    start + list_min(list_transform(s.runs, lambda r: list_position(win, r))) - 1 AS pos
+  FROM x JOIN s USING (size) WHERE len(list_intersect(win, s.runs)) >= 0.8 * n)
+SELECT doc_id, id AS license_id, count(DISTINCT start) AS n_windows, max(1000 * hit // n) AS containment, min(pos) AS first_word
+FROM m GROUP BY doc_id, id
+"""
+
+
+@query(oracle=_license_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.found(table(spark, sf_dir, "documents"))
