@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import licenses, lines, quality, sharding, urls
+from spoofscope.llm import licenses, lines, packing, quality, sharding, simhash, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -157,3 +157,16 @@ FROM m GROUP BY doc_id, id
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every document."""
     return licenses.found(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens; a row per piece."""
+    return packing.packed(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of links of at most four bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
