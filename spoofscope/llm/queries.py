@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import decontaminate, licenses, lines, packing, quality, sharding, simhash, urls
+from spoofscope.llm import decontaminate, licenses, lines, packing, quality, sharding, simhash, substrings, toxicity, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -181,3 +181,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_hit", decontaminate.n_hit()).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and spans of every document; fitted on rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share, by similarity 0.8."""
+    return substrings.shared_passages(table(spark, sf_dir, "documents"))
