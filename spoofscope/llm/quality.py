@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoofscope.llm.common import staged, text_or_empty
+from spoofscope.llm.common import only, staged, text_or_empty
 
 #: Share of a stratum's clean documents that may be lost, and the chance that this fails.
 ALPHA, DELTA = 0.05, 0.05
@@ -107,9 +107,9 @@ def certified(counts: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
     """
     marks = labels.filter(F.col(doc_id).isNotNull() & F.col("quality").isin(0, 1)).groupBy(doc_id).agg(F.min("quality").alias("quality"))
     level = lambda r: F.size(F.filter(F.array(*[F.lit(g) for g in GRID]), lambda g: score(r) >= g))
-    scored = (counts.filter(~base_failed()).select(doc_id, F.col(stratum).alias("stratum"),
-                                                   *[level(r).alias(r) for r in RULES])
-              .join(marks, doc_id))
+    levels = only(F.struct(*[level(r).alias(r) for r in RULES]), ~base_failed()).alias("levels")
+    scored = (counts.join(marks, doc_id).select("quality", F.col(stratum).alias("stratum"), levels)
+              .filter(F.col("levels").isNotNull()).select("quality", "stratum", "levels.*"))
     long = scored.select("stratum", "quality", F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x")).select("stratum", "quality", "x.*")
     table = staged(long.groupBy("stratum", "rule", "level").agg(
