@@ -4,7 +4,7 @@ length histogram.
 Every document becomes ids and an end id, cut at multiples of the capacity;
 the rest of it is one shorter piece.  The histogram of piece lengths is all
 the packer sees: it takes lengths from the longest down and adds each to the
-shortest pack with room, moving whole counts of equal packs at once.  What
+shortest pack with room, or opens a new one, for whole counts at once.  What
 comes out are packing patterns with counts.  Each slot of a pattern owns a
 range of the ranks of its length, so pieces find their sequence and offset by
 their rank among the pieces of that length.
@@ -127,9 +127,12 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Patter
                 room[most].append([n - used, lengths])
             room.setdefault(most - length, []).append([used, (*lengths, length)])
             left -= used
-        if left:
-            room.setdefault(capacity - length, []).append([left, (length,)])
-            most = max(most, capacity - length)
+        each = capacity // length  # new packs: the next piece of this length goes to the pack just opened
+        for n, fill in ((left // each, each), (min(1, left % each), left % each)):
+            if n:
+                free = capacity - fill * length
+                room.setdefault(free, []).append([n, (length,) * fill])
+                most = max(most, free)
     return [Pattern(n, lengths) for r in sorted(room) for n, lengths in room[r] if n]
 
 
