@@ -318,7 +318,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     if second is None:
         return _search(docs, text, Phrases(head, window), keep, text if clean else None)
     rid = fresh(docs.columns, "rid")
-    rows = staged(docs.withColumn(rid, F.monotonically_increasing_id()))
+    rows = staged(docs.select(text, *keep).withColumn(rid, F.monotonically_increasing_id()))
     found = None
     for items in (head, second, *blocks):
         part = _search(rows, text, Phrases(items, window), [rid])
