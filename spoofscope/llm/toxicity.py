@@ -5,8 +5,8 @@ it (the word, its beginnings and its end), the transitions carry the context.
 Words are labelled from labelled documents: in a toxic document, a word is
 toxic if it or one of its beginnings is found in many more toxic than clean
 documents.  Forward and backward passes give every word's marginal; a
-document's score is a logistic function of the sum, the share and the largest
-of its marginals, fitted on the same documents, and its spans are the runs of
+document's score is a logistic function of the number and share of its likely
+words and its largest marginal, fitted on the same documents, and its spans are the runs of
 words whose marginal is at least one half.
 
 Fitting uses a bounded sample of the labelled rows: ``FIT_DOCS`` documents a
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spoofscope.llm.common import ship_package, staged
 
 #: The bounds of the sample that the model is fitted on.
-FIT_DOCS, FIT_CHARS = 2000, 24_000_000
+FIT_DOCS, FIT_CHARS = 1500, 12_000_000
 #: Hashed features; the lowest number stands for "no such feature".
 FEATURES = 1 << 18
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -122,11 +122,13 @@ class Model:
 
 
 def summary(p: np.ndarray) -> list[float]:
-    """What a document's score is made of."""
+    """What a document's score is made of: how many words are likely toxic,
+    their share, and the largest marginal.  Unlikely words add nothing,
+    however many a long text has."""
     if not len(p):
         return [1.0, 0.0, 0.0, 0.0]
-    total = float(p.sum())
-    return [1.0, np.log1p(total), 10.0 * total / (len(p) + 10.0), float(p.max())]
+    likely = float(p[p >= 0.3].sum())
+    return [1.0, np.log1p(likely), 10.0 * likely / (len(p) + 10.0), float(p.max())]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
@@ -143,23 +145,24 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     ``prior``: the share of toxic documents among all labelled ones, where the
     sample's own differs.  Without both labels every score is the same."""
     y = np.array(toxic, float)
-    docs = [words_of(t) for t in texts]
     share = float(y.mean()) if len(y) else 0.0
     prior = min(max(share if prior is None else prior, 1e-3), 1 - 1e-3)
     if not 0 < share < 1:
         return Model(np.zeros(FEATURES, np.float32), np.zeros((2, 2)), np.array([np.log(prior / (1 - prior)), 0, 0, 0]))
+    # words become numbers at once, so that a text is held as an array
+    number: dict[str, int] = {}
+    tokens = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
+    names = list(number)
     has: list[Counter] = [Counter(), Counter()]
-    for words, label in zip(docs, toxic):
-        has[label].update(set(chain.from_iterable(map(pieces, set(words)))))
+    for t, label in zip(tokens, toxic):
+        has[label].update(set(chain.from_iterable(pieces(names[w]) for w in np.unique(t).tolist())))
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     least = max(LEAST_DOCS, LEAST_SHARE * n1)
     marks = {k for k, n in has[1].items() if n >= least and n / n1 >= RATIO * (has[0][k] + 0.5) / n0}
+    del has
 
-    names = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(names)}
     marked = np.array([any(x in marks for x in pieces(w)) for w in names], bool)
     ids = np.array([feature_ids(w) for w in names], np.int64).reshape(len(names), -1)
-    tokens = [np.fromiter(map(number.__getitem__, d), np.int64, len(d)) for d in docs]
     chains = [t[a:a + CHAIN] for t in tokens for a in range(0, len(t), CHAIN)]
     labels = np.concatenate([marked[t] if label else np.zeros(len(t), bool) for t, label in zip(tokens, toxic)]).astype(float)
     word = np.concatenate(chains)
@@ -247,8 +250,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 if len(_memory) > REMEMBERED:
                     _memory.clear()
                 for d in docs_:
-                    for w in set(d) - _memory.keys():
-                        _memory[w] = m.emission(w)
+                    for w in set(d):
+                        if w not in _memory:
+                            _memory[w] = m.emission(w)
                 e = np.fromiter(map(_memory.__getitem__, chain.from_iterable(docs_)), float, int(size.sum()))
                 p, _ = marginals(size, e, m.trans)
                 for i, (s, end) in enumerate(zip(size.tolist(), np.cumsum(size).tolist())):
