@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoofscope.llm.common import fresh
+from spoofscope.llm.common import fresh, staged
 
 WINDOW = 3
 
@@ -54,8 +54,9 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
             .select("id", "key", "hash", F.explode(windows(F.col("lines"), size)).alias("w"))
             .select("id", "key", "hash", "w.h1", "w.h2", "w.at"))
     place = F.struct("id", "key", "hash", "at")
-    first = (seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"))
+    # written, so that the join below can split a hot window's occurrences
+    first = staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                   .filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"))
     later = seen.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     three = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.col("at") + k)
     covered = (later.groupBy(F.col("key").alias(key), F.col("hash").alias(h))
