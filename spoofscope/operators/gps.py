@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoofscope.functions.coerce import coerce_numeric
@@ -75,25 +75,22 @@ def normalize_gps(raw: DataFrame, source_col: str = "source_file", order_col: st
     return out.dropna(subset=["timestamp", "lat", "lon"])
 
 
-def time_fallback(df: DataFrame, file_col: str = "source_file", bound: int = 100_000) -> DataFrame:
-    """Per file: if no timestamp parsed, number its rows (skew-safe) and use
-    ``FALLBACK_START + row`` seconds.
+#: Rows of a file, and seconds of a track, that are numbered in one chunk.
+CHUNK_ROWS, CHUNK_SECONDS = 1 << 20, 86_400
 
-    One small aggregate finds the files that need it (and their largest row
-    count); files with parsed times are not renumbered at all.
-    """
-    stats = df.groupBy(file_col).agg(F.count("timestamp").alias("_parsed"), F.count(F.lit(1)).alias("_n"))
-    need = stats.filter(F.col("_parsed") == 0).select(file_col, "_n")
-    info = need.agg(F.count(F.lit(1)).alias("files"), F.max("_n").alias("m")).first()
-    if not info["files"]:
-        return df
-    ids = need.select(file_col)
-    ids = F.broadcast(ids) if info["files"] <= bound else ids  # size checked above
-    todo = df.join(ids, file_col, "left_semi")
-    rest = df.join(ids, file_col, "left_anti")
-    idx = ordered_index(todo, [file_col], ["seq"], "_row", largest=int(info["m"]))
+
+def _day(c: str = "timestamp") -> Column:
+    return F.floor(F.unix_timestamp(c) / CHUNK_SECONDS)
+
+
+def time_fallback(df: DataFrame, file_col: str = "source_file", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per file: if no timestamp parsed, number its rows by ``seq`` and use
+    ``FALLBACK_START + row`` seconds."""
+    parsed = df.groupBy(file_col).agg(F.count("timestamp").alias("_parsed")).withColumnRenamed(file_col, "_file")
+    rows = ordered_index(df, [file_col], ["seq"], "_row", chunk=F.floor(F.col("seq") / chunk_rows))
+    rows = rows.join(parsed, F.col(file_col).eqNullSafe(F.col("_file")))
     synth = F.timestamp_seconds(F.unix_timestamp(F.lit(FALLBACK_START)) + F.col("_row"))
-    return rest.unionByName(idx.withColumn("timestamp", synth).drop("_row"))
+    return rows.withColumn("timestamp", F.when(F.col("_parsed") == 0, synth).otherwise(F.col("timestamp"))).select(*df.columns)
 
 
 def spoof_device(track: DataFrame) -> DataFrame:
@@ -102,44 +99,34 @@ def spoof_device(track: DataFrame) -> DataFrame:
     return g.orderBy(F.col("max_spoofed").desc(), F.col("device_id")).limit(1)
 
 
-def split_all_spoofed(track: DataFrame, share: float = SPLIT_SHARE, bound: int = 100_000) -> DataFrame:
+def split_all_spoofed(track: DataFrame, share: float = SPLIT_SHARE) -> DataFrame:
     """Devices with no normal row: the first max(1, floor(share*n)) rows by
-    time become normal (demo split); other devices are unchanged and are not
-    renumbered."""
-    g = track.groupBy("device_id").agg(F.min("is_spoofed").alias("_min"), F.count(F.lit(1)).alias("_n"))
-    need = g.filter(F.col("_min") == 1).select("device_id", "_n")
-    info = need.agg(F.count(F.lit(1)).alias("devices"), F.max("_n").alias("m")).first()
-    if not info["devices"]:
-        return track
-    small = info["devices"] <= bound  # size checked above
-    need_j = F.broadcast(need) if small else need
-    todo = track.join(need_j, "device_id")
-    rest = track.join(F.broadcast(need.select("device_id")) if small else need.select("device_id"),
-                      "device_id", "left_anti")
-    idx = ordered_index(todo, ["device_id"], ["timestamp", "seq"], "_r", largest=int(info["m"]))
+    time become normal (demo split); other devices are unchanged."""
+    lowest = track.groupBy("device_id").agg(F.min("is_spoofed").alias("_min")).withColumnRenamed("device_id", "_device")
+    idx = ordered_index(track, ["device_id"], ["timestamp", "seq"], "_r", chunk=_day(), count_col="_n")
+    idx = idx.join(lowest, F.col("device_id").eqNullSafe(F.col("_device")))
     cut = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
-    relabeled = idx.withColumn("is_spoofed", F.when(F.col("_r") < cut, 0).otherwise(F.col("is_spoofed")))
-    return rest.unionByName(relabeled.drop("_n", "_r"))
+    split = (F.col("_min") == 1) & (F.col("_r") < cut)
+    return idx.withColumn("is_spoofed", F.when(split, 0).otherwise(F.col("is_spoofed"))).select(*track.columns)
 
 
-def even_downsample(track: DataFrame, k_normal: int = NORMAL_POINTS, k_spoof: int = SPOOF_POINTS,
-                    size_bound: int | None = None) -> DataFrame:
+def even_downsample(track: DataFrame, k_normal: int = NORMAL_POINTS, k_spoof: int = SPOOF_POINTS) -> DataFrame:
     """Keep rows at positions floor(i*(n-1)/(k-1)), i < k, of every (device,
     class) in time order — all rows when n <= k.  Adds ``rn``, ``n``."""
     keys = ["device_id", "is_spoofed"]
-    idx = ordered_index(track, keys, ["timestamp", "seq"], "rn", count_col="n", size_bound=size_bound)
+    idx = ordered_index(track, keys, ["timestamp", "seq"], "rn", chunk=_day(), count_col="n")
     k = F.when(F.col("is_spoofed") == 1, k_spoof).otherwise(k_normal)
     hit = F.exists(F.sequence(F.lit(0), k - 1),
                    lambda i: F.floor(i * (F.col("n") - 1) / (k - 1)) == F.col("rn"))
     return idx.filter((F.col("n") <= k) | hit)
 
 
-def track_path(track: DataFrame, marker_every: int = 1, size_bound: int | None = None) -> DataFrame:
+def track_path(track: DataFrame, marker_every: int = 1) -> DataFrame:
     """Demo path per device: 45 % split for all-spoofed devices, even
     downsample per class, then normal points followed by spoofed points with
     ``path_index`` 1..n (bounded: at most k_normal + k_spoof rows per
     device), and a marker flag every ``marker_every`` points plus ends."""
-    pts = even_downsample(split_all_spoofed(track), size_bound=size_bound)
+    pts = even_downsample(split_all_spoofed(track))
     w = Window.partitionBy("device_id").orderBy("is_spoofed", "timestamp", "seq")
     p = pts.withColumn("path_index", F.row_number().over(w).cast("bigint")) \
            .withColumn("path_len", F.count(F.lit(1)).over(Window.partitionBy("device_id")))

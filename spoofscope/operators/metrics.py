@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoofscope.operators.ordered import ordered_index
+from spoofscope.operators.ordered import running, value_chunk
 
 # Decision thresholds compared in the sweep, class names,
 # outcome names and the histogram resolution.
@@ -117,21 +117,17 @@ def threshold_sweep(df: DataFrame, prob: str = "spoof_probability",
      .withColumnRenamed("f1", "attack_f1")
 
 
-def roc_auc(df: DataFrame, prob: str = "spoof_probability", hot_rows: int | None = None,
-            size_bound: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, prob: str = "spoof_probability") -> DataFrame:
     """Exact ROC AUC with tied scores averaged (Mann-Whitney rank sum);
     NULL when only one class is present.
 
-    Ranks come from ``ordered_index`` over the whole table (range-partitioned
-    once it outgrows one task), ties are averaged per distinct score with an
-    aggregate, and the rank sum is a global sum — no single-partition window
-    over all rows.
+    Rows are counted per distinct score first, so ties are one row; running
+    counts of the distinct scores come in value chunks (``running``), and the
+    rank sum is a global aggregate.
     """
-    ranked = ordered_index(df.select("y_true", prob), [], [prob, "y_true"], "_r", hot_rows=hot_rows,
-                           size_bound=size_bound)
-    per_score = ranked.groupBy(prob).agg(
-        ((F.min("_r") + F.max("_r")) / 2.0 + 1.0).alias("_avg_rank"),
-        F.count_if(F.col("y_true") == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(prob).agg(F.count_if(F.col("y_true") == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    per_score = running(counts, [], [prob], value_chunk(F.col(prob)), F.col("_n"), "_before").withColumn(
+        "_avg_rank", F.col("_before") + (F.col("_n") + 1) / 2.0)
     s = per_score.agg(F.sum(F.col("_avg_rank") * F.col("_pos")).alias("rs"),
                       F.sum("_pos").cast("double").alias("n1"),
                       (F.sum("_n") - F.sum("_pos")).cast("double").alias("n0"))

@@ -37,10 +37,8 @@ def group_split(df: DataFrame, group: str, test_share: float = TEST_SHARE, seed:
     """Adds ``is_test``: the first ceil(test_share * G) groups in md5 order go
     to test, whole groups only."""
     groups = df.select(group).distinct().withColumn("_h", group_order_key(group, seed))
-    g = groups.count()
-    n_test = int(-(-test_share * g // 1))
-    ranked = ordered_index(groups, [], ["_h", group], "_r", largest=g)
-    flags = ranked.select(group, (F.col("_r") < n_test).alias("is_test"))
+    ranked = ordered_index(groups, [], ["_h", group], "_r", chunk=F.substring("_h", 1, 3), count_col="_g")
+    flags = ranked.select(group, (F.col("_r") < F.ceil(F.lit(test_share) * F.col("_g"))).alias("is_test"))
     return df.join(flags, group)
 
 
@@ -61,10 +59,11 @@ def stratified_group_folds(df: DataFrame, group: str, label: str = "y", k: int =
                                 F.sum(F.col(label).cast("long")).alias("_pos"))
            .withColumn("cls", F.when(F.col("_pos") * 2 >= F.col("size"), 1).otherwise(0))
            .withColumn("_h", group_order_key(group, seed)))
-    n_groups = g.count()
-    kk = max(1, min(k, n_groups))
+    # as many folds as groups at most
+    g = ordered_index(g, [], ["_h", group], "_x", chunk=F.substring("_h", 1, 3), count_col="_groups").drop("_x")
     r = ordered_index(g, ["cls"], [F.col("size").desc(), F.col("_h"), F.col(group)], "_r",
-                      size_bound=n_groups)
+                      chunk=F.struct(-F.col("size"), F.substring("_h", 1, 2)))
+    kk = F.least(F.col("_groups"), F.lit(k))
     cyc, idx = F.floor(F.col("_r") / kk), F.col("_r") % kk
     fold = F.when(cyc % 2 == 0, idx).otherwise(kk - 1 - idx) + 1
     return r.select(group, fold.cast("int").alias("fold"), "cls", "size")

@@ -1,272 +1,94 @@
-"""Ordered per-group operators that stay distributed when one group is huge.
-
-A ``Window.partitionBy(key)`` sends every row of a key to one task; if one
-aircraft or one receiver channel holds a third of the data, that task holds a
-third of the data.  The operators here instead:
-
-1. range-partition on ``(keys, order)`` — Spark samples the sort keys, so one
-   large group is cut into many consecutive partitions;
-2. sort each partition locally and walk it once with a vectorised Arrow
-   function (positions inside runs of equal keys, differences to the previous
-   row of the same key);
-3. repair the first run of every partition with a table holding at most one
-   row per partition (the count / last row of the same key in earlier
-   partitions).  That table's size is bounded by the partition count, not by
-   the data, so it is broadcast.
-
-The result equals ``row_number() - 1`` / ``x - lag(x)`` over
-``PARTITION BY keys ORDER BY order`` provided ``order`` is a total order inside
-each group (pass a unique tie-break column last).
+"""Positions and differences in order, inside groups of any size.
+
+A ``Window.partitionBy(key)`` sends every row of a key to one task.  Here a
+group is cut into chunks along its order instead: ``chunk`` is a column that
+never falls as the order rises (an hour of a timestamp, a range of sample
+counts).  Rows are numbered, or compared with the row before, inside
+``(keys, chunk)``; a summary with one row per chunk gives what lies before it,
+and is joined back on the same keys, so the rows are shuffled once.  The plan
+is the same at every size and starts no job while it is built.
+
+Chunks should hold what a task can sort.  NULL keys are a group, and NULLs
+come first in an order, as in Spark's own windows.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Sequence
+from typing import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from spoofscope.session import ensure_checkpoint_dir, ship_package
-
-_PID = "_part_id"
-_POS = "_part_pos"
-_RUN = "_run_pos"      # position inside the run of equal keys in this partition
-_FIRST = "_first_run"  # 1 when the row belongs to the partition's first run
-
-
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def _same_as_prev(cols: list[pa.Array]) -> np.ndarray:
-    """Boolean mask: row i has the same key as row i-1 (NULL equals NULL)."""
-    n = len(cols[0]) if cols else 0
-    same = np.ones(max(n - 1, 0), dtype=bool)
-    for a in cols:
-        cur, prev = a.slice(1), a.slice(0, n - 1)
-        eq = pc.fill_null(pc.equal(cur, prev), False)
-        both_null = pc.and_(pc.is_null(cur), pc.is_null(prev))
-        same &= np.asarray(pc.or_(eq, both_null).to_numpy(zero_copy_only=False), dtype=bool)
-    return same
-
-
-def _key_tuple(batch: pa.RecordBatch, keys: Sequence[str], i: int) -> tuple:
-    return tuple(batch.column(k)[i].as_py() for k in keys)
-
-
-def _order_cols(keys: Sequence[str], order: Sequence[Column | str]) -> list[Column]:
-    return [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-
-
-def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence, partitions: int | None) -> DataFrame:
-    return df.repartitionByRange(_partitions(df, partitions), *_order_cols(keys, order))
-
 
-def _walk(keys: Sequence[str], diff_cols: Sequence[str], out_fields: Iterable[str]):
-    """Arrow function run once per sorted partition."""
-    from pyspark import TaskContext
+_K, _C = "_key_{}", "_chunk"
 
-    diff_cols = list(diff_cols)
-    out_fields = list(out_fields)
 
-    def fn(batches):
-        pid = TaskContext.get().partitionId()
-        pos0 = 0
-        last_key = None
-        run_start = 0          # partition position where the current run began
-        first_run_open = True  # still inside the partition's first run
-        last_vals = {c: None for c in diff_cols}
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            same = _same_as_prev([b.column(k) for k in keys])
-            cont = last_key is not None and _key_tuple(b, keys, 0) == last_key
-            starts = np.empty(n, dtype=bool)
-            starts[0] = not cont
-            starts[1:] = ~same
-            pos = np.arange(pos0, pos0 + n, dtype=np.int64)
-            rs = np.where(starts, pos, -1)
-            if not starts[0]:
-                rs[0] = run_start
-            rs = np.maximum.accumulate(rs)
-            n_starts = np.cumsum(starts)
-            if pos0 == 0:
-                first_run = n_starts <= 1
-            else:
-                first_run = (n_starts == 0) & first_run_open
-            arrays = [b.column(f) for f in out_fields]
-            names = list(out_fields)
-            arrays += [pa.array(np.full(n, pid, dtype=np.int32)), pa.array(pos),
-                       pa.array(pos - rs), pa.array(first_run.astype(np.int32))]
-            names += [_PID, _POS, _RUN, _FIRST]
-            for c in diff_cols:
-                col = b.column(c)
-                v = np.asarray(col.to_numpy(zero_copy_only=False), dtype=np.float64).copy()
-                v[np.asarray(pc.is_null(col).to_numpy(zero_copy_only=False), dtype=bool)] = np.nan
-                prev = np.empty(n, dtype=np.float64)
-                prev[1:] = v[:-1]
-                prev[0] = last_vals[c] if (cont and last_vals[c] is not None) else np.nan
-                d = v - prev
-                d[starts] = np.nan
-                arrays.append(pa.array(d, mask=np.isnan(d)))
-                names.append(f"_d_{c}")
-                last_vals[c] = None if np.isnan(v[-1]) else float(v[-1])
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-            run_start = int(rs[-1])
-            first_run_open = bool(first_run[-1])
-            last_key = _key_tuple(b, keys, n - 1)
-            pos0 += n
+def value_chunk(c: Column, per_octave: int = 4096) -> Column:
+    """A chunk for values of unknown range: ``per_octave`` chunks for every
+    doubling of the magnitude, negative values in mirror order."""
+    v = c.cast("double")
+    place = F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0)) * per_octave) + 2000 * per_octave
+    return F.when(F.isnan(v), F.lit(1 << 62)).when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * place)
 
-    return fn
 
+def _as_column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-def _walked(ranged: DataFrame, keys: Sequence[str], order: Sequence, diff_cols: Sequence[str]) -> DataFrame:
-    ship_package(ranged.sparkSession)
-    fields = list(ranged.schema.fields)
-    extra = [T.StructField(_PID, T.IntegerType()), T.StructField(_POS, T.LongType()),
-             T.StructField(_RUN, T.LongType()), T.StructField(_FIRST, T.IntegerType())]
-    extra += [T.StructField(f"_d_{c}", T.DoubleType()) for c in diff_cols]
-    schema = T.StructType(fields + extra)
-    return (ranged.sortWithinPartitions(*_order_cols(keys, order))
-            .mapInArrow(_walk(keys, diff_cols, [f.name for f in fields]), schema))
 
+def _cut(df: DataFrame, keys: Sequence[str], chunk: Column | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with key and chunk columns that are never NULL (so one
+    equality join serves them), and the key columns' names."""
+    names = [_K.format(i) for i in range(len(keys))]
+    made = {n: F.struct(F.col(k).isNotNull(), F.col(k)) for n, k in zip(names, keys)}
+    made[_C] = F.struct(chunk.isNotNull(), chunk) if chunk is not None else F.struct(F.lit(True), F.lit(0))
+    return df.withColumns(made), names
 
-def _kstruct(keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(k) for k in keys])
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None = None, weight: Column | None = None,
+            before: str = "before", total: str | None = None) -> DataFrame:
+    """``df`` with the sum of ``weight`` (rows, unless given) over the rows
+    before each row of its group, and over the whole group as ``total``.
 
-# Groups up to this many rows are numbered with an ordinary window (one hash
-# exchange, whole group in one task).  Above it the range path is used.
-DEFAULT_HOT_ROWS = 4_000_000
-
-
-def table_rows(spark, path: str) -> int:
-    """Row count of a parquet table (answered from file footers)."""
-    return spark.read.parquet(path).count()
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key group (one aggregate, map-side combined)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def _use_range(df: DataFrame, keys: Sequence[str], hot_rows: int | None,
-               largest: int | None = None, size_bound: int | None = None) -> bool:
-    """Decide the path.  ``size_bound`` is any proven upper bound on the
-    input's row count (e.g. the source table's row count from parquet
-    metadata): no group can be larger, so below the limit the measuring
-    aggregate is skipped."""
-    limit = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
-    if largest is None and size_bound is not None and size_bound <= limit:
-        return False
-    if largest is None:
-        largest = largest_group(df, keys)
-    return largest > limit
-
-
-def _walked_checkpointed(df, keys, order, diff_cols, partitions) -> DataFrame:
-    """Range-partition, walk, and checkpoint once.
-
-    The checkpoint pins one partitioning: the boundary table and the rows are
-    both read from it (two evaluations of a sampled range exchange would
-    otherwise draw different bounds), and lineage is cut at a reliable copy in
-    ``spark.checkpoint.dir``.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return _walked(_ranged(df, keys, order, partitions), keys, order, diff_cols).checkpoint(eager=True)
-
-
-def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence,
-                  index_col: str = "rn", partitions: int | None = None,
-                  hot_rows: int | None = None, largest: int | None = None,
-                  count_col: str | None = None, size_bound: int | None = None) -> DataFrame:
-    """Add ``index_col``: 0-based position of the row inside its key group,
-    equal to ``row_number() - 1`` over ``PARTITION BY keys ORDER BY order``.
-
-    If the largest group exceeds ``hot_rows`` the range path is taken: one
-    range exchange, one checkpoint, and a broadcast table of at most one row
-    per partition.  ``count_col`` also adds the group size (same exchange on
-    the window path; an aggregate joined back on the range path).  Pass
-    ``largest`` when the caller already knows the largest group size.
+    ``order`` must be a total order inside a group.  Without ``chunk`` a group
+    is one chunk, which suits groups of a known bound.
     """
-    if not keys:  # one global group
-        return ordered_index(df.withColumn("_all", F.lit(0)), ["_all"], order, index_col,
-                             partitions, hot_rows, largest, count_col, size_bound).drop("_all")
-    if not _use_range(df, keys, hot_rows, largest, size_bound):
-        w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
-        out = df.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
-        if count_col:
-            out = out.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        return out
-    walked = _walked_checkpointed(df, keys, order, [], partitions)
-    b = walked.groupBy(_PID).agg(
-        F.min_by(_kstruct(keys), F.col(_POS)).alias("first_key"),
-        F.max_by(F.struct(_kstruct(keys).alias("k"), (F.col(_RUN) + 1).alias("c")),
-                 F.col(_POS)).alias("last"))
-    # Rows of key K in partitions before p exist only where K was the *last*
-    # key of that partition, so the offset of p's first run is the sum of the
-    # last-run lengths of earlier partitions whose last key equals p's first key.
-    ends = b.select(F.col("last.k").alias("k"), F.col(_PID),
-                    F.col("last.c").alias("w"), F.lit(1).alias("kind"))
-    starts = b.select(F.col("first_key").alias("k"), F.col(_PID),
-                      F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("kind"))
-    w = Window.partitionBy("k").orderBy(_PID, "kind").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = (ends.unionByName(starts)
-               .withColumn("off", F.sum("w").over(w))
-               .filter(F.col("kind") == 0)
-               .select(F.col(_PID), F.col("off")))
-    out = walked.join(F.broadcast(offsets), _PID, "left")
-    rn = F.col(_RUN) + F.when(F.col(_FIRST) == 1, F.coalesce(F.col("off"), F.lit(0))).otherwise(0)
-    out = out.withColumn(index_col, rn.cast("bigint")).drop(_PID, _POS, _RUN, _FIRST, "off")
-    if count_col:
-        sizes = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(count_col))
-        cond = None
-        for k in keys:
-            c = F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-            cond = c if cond is None else cond & c
-        out = out.join(sizes, cond).drop(*[f"_g_{k}" for k in keys])
-    return out
-
-
-def ordered_diff(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
-                 prefix: str = "delta_", partitions: int | None = None,
-                 hot_rows: int | None = None, size_bound: int | None = None) -> DataFrame:
-    """Add ``prefix + c`` = ``c - lag(c) OVER (PARTITION BY keys ORDER BY order)``.
-
-    NULL for the first row of a group or when either value is NULL.  Large
-    groups take the range path: the first row of every partition is repaired
-    from a broadcast table with at most one row per partition (the previous
-    partition's last row).
+    cut, names = _cut(df, keys, chunk)
+    inside = Window.partitionBy(*names, _C).orderBy(*[_as_column(o) for o in order])
+    if weight is None:
+        own = F.row_number().over(inside) - 1
+    else:
+        own = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = cut.groupBy(*names, _C).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
+    group = Window.partitionBy(*names)
+    earlier = F.sum("_n").over(group.orderBy(_C).rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.select(*names, _C, F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_total"))
+    out = cut.withColumn("_own", own).join(chunks, [*names, _C])
+    extra = [(F.col("_before") + F.col("_own")).cast("bigint").alias(before)] + ([F.col("_total").alias(total)] if total else [])
+    return out.select(*[c for c in df.columns if c not in (before, total)], *extra)
+
+
+def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence, index_col: str = "rn",
+                  chunk: Column | None = None, count_col: str | None = None) -> DataFrame:
+    """Add ``index_col``, equal to ``row_number() - 1`` over ``PARTITION BY
+    keys ORDER BY order``, and the group's size as ``count_col``."""
+    return running(df, keys, order, chunk, before=index_col, total=count_col)
+
+
+def ordered_diff(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                 prefix: str = "delta_", chunk: Column | None = None) -> DataFrame:
+    """Add ``prefix + c`` = ``c - lag(c) OVER (PARTITION BY keys ORDER BY
+    order)``, of the type that the subtraction has.
+
+    NULL for the first row of a group or when either value is NULL.
+    ``order`` are column names, ascending.
     """
     cols = list(cols)
-    if not _use_range(df, keys, hot_rows, size_bound=size_bound):
-        w = Window.partitionBy(*keys).orderBy(*_order_cols([], order))
-        for c in cols:
-            df = df.withColumn(prefix + c, F.col(c) - F.lag(c).over(w))
-        return df
-    walked = _walked_checkpointed(df, keys, order, cols, partitions)
-    b = walked.groupBy(_PID).agg(
-        F.min_by(_kstruct(keys), F.col(_POS)).alias("first_key"),
-        F.max_by(F.struct(_kstruct(keys).alias("k"), *[F.col(c) for c in cols]),
-                 F.col(_POS)).alias("last"))
-    w = Window.orderBy(_PID)  # at most one row per partition: bounded, one task is fine
-    fix = b.select(F.col(_PID), F.lag("last").over(w).alias("prev"), F.col("first_key")) \
-           .select(F.col(_PID), F.col("prev.k").eqNullSafe(F.col("first_key")).alias("_cont"),
-                   *[F.col(f"prev.{c}").cast("double").alias(f"_p_{c}") for c in cols])
-    out = walked.join(F.broadcast(fix), _PID, "left")
-    is_first = F.col(_POS) == 0
-    for c in cols:
-        repaired = F.when(is_first & F.col("_cont"), F.col(c) - F.col(f"_p_{c}")) \
-                    .when(is_first, F.lit(None).cast("double")) \
-                    .otherwise(F.col(f"_d_{c}"))
-        out = out.withColumn(prefix + c, repaired)
-    drop = [_PID, _POS, _RUN, _FIRST, "_cont"] + [f"_d_{c}" for c in cols] + [f"_p_{c}" for c in cols]
-    return out.drop(*drop)
+    cut, names = _cut(df, keys, chunk)
+    inside = Window.partitionBy(*names, _C).orderBy(*order)
+    last = F.max_by(F.struct(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(cols)]), F.struct(*order))
+    chunks = cut.groupBy(*names, _C).agg(last.alias("_last"))
+    chunks = chunks.select(*names, _C, F.lag("_last").over(Window.partitionBy(*names).orderBy(_C)).alias("_prev"))
+    out = cut.withColumns({"_first": F.row_number().over(inside) == 1} | {f"_l{i}": F.lag(c).over(inside) for i, c in enumerate(cols)})
+    out = out.join(chunks, [*names, _C])
+    kept = [c for c in df.columns if c not in {prefix + c for c in cols}]
+    return out.select(*kept, *[(F.col(c) - F.when(F.col("_first"), F.col(f"_prev._p{i}")).otherwise(F.col(f"_l{i}"))).alias(prefix + c)
+                               for i, c in enumerate(cols)])

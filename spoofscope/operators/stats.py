@@ -7,10 +7,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoofscope.operators.ordered import ordered_index
-
-# Count tables up to this many rows are broadcast when joined back.
-BROADCAST_ROWS = 2_000_000
+from spoofscope.operators.ordered import running, value_chunk
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -23,45 +20,30 @@ def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
             .filter(F.col("_v").isNotNull()))
 
 
-def long_percentiles(long: DataFrame, keys: Sequence[str], ps: Mapping[str, float],
-                     hot_rows: int | None = None) -> DataFrame:
-    """Exact percentiles per (keys, _c) of a long table: one row per group
-    and percentile name (``_p``, ``_val``)."""
-    gk = list(keys) + ["_c"]
-    sizes = long.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"))
-    st = sizes.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
-    largest, ngroups = int(st["m"] or 0), int(st["g"] or 0)
-    ranked = ordered_index(long, gk, ["_v"], "_r", hot_rows=hot_rows, largest=largest)
-    sized = F.broadcast(sizes) if ngroups <= BROADCAST_ROWS else sizes  # size checked above
-    ranked = ranked.join(sized, gk)
-    outs = []
-    for name, p in ps.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        outs.append(ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
-                    .groupBy(*gk)
-                    .agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
-                         F.first(pos - lo).alias("_f"))
-                    .select(*gk, F.lit(name).alias("_p"),
-                            (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("_val")))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+def percentile_at(before: str, n: str, total: str, value: str, p: float) -> list:
+    """Aggregates (low, high, part) of a table of distinct values, each with
+    its count and the count before: the values at the two ranks around
+    ``p * (total - 1)`` and how far between them the percentile lies."""
+    pos = F.lit(float(p)) * (F.col(total) - 1)
+    holds = lambda r: (F.col(before) <= r) & (r < F.col(before) + F.col(n))
+    return [F.max(F.when(holds(F.floor(pos)), F.col(value))), F.max(F.when(holds(F.ceil(pos)), F.col(value))), F.max(pos - F.floor(pos))]
 
 
-def grouped_percentiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                        ps: Mapping[str, float], hot_rows: int | None = None) -> DataFrame:
-    """Exact linear-interpolation percentiles (``percentile_cont``) per group.
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], ps: Mapping[str, float]) -> DataFrame:
+    """Exact linear-interpolation percentiles (``percentile_cont``) per group:
+    ``keys + [f"{col}_{name}"]`` for groups with at least one value.
 
-    ``percentile``/``median`` buffer every value of a group in one task; for
-    groups that can be arbitrarily large this ranks the values instead
-    (``ordered_index``, skew-safe), keeps the two ranks around ``p*(n-1)`` and
-    interpolates.  Returns ``keys + [f"{col}_{name}" for col, name]`` for
-    groups with at least one value.
+    Values are counted first (``(keys, column, value) -> n``, combined before
+    the shuffle), so ties cost nothing; the distinct values' running counts
+    come from ``running`` in value chunks.
     """
-    keys = list(keys)
-    res = long_percentiles(unpivot(df, keys, cols), keys, ps, hot_rows)
-    res = res.withColumn("_name", F.concat_ws("_", "_c", "_p"))
-    names = [f"{c}_{n}" for c in cols for n in ps]
-    return res.groupBy(*keys).pivot("_name", names).agg(F.first("_val"))
+    gk = [*keys, "_c"]
+    counts = unpivot(df, keys, cols).groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, gk, ["_v"], value_chunk(F.col("_v")), F.col("_n"), "_before", "_total")
+    aggs = []
+    for name, p in ps.items():
+        low, high, part = percentile_at("_before", "_n", "_total", "_v", p)
+        aggs.append((low + (high - low) * part).alias(name))
+    one = ranked.groupBy(*gk).agg(*aggs)
+    flat = one.select(*keys, F.explode(F.array(*[F.struct(F.concat("_c", F.lit(f"_{n}")).alias("name"), F.col(n).alias("v")) for n in ps])).alias("x"))
+    return flat.groupBy(*keys).pivot("x.name", [f"{c}_{n}" for c in cols for n in ps]).agg(F.first("x.v"))

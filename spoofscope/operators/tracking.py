@@ -74,20 +74,29 @@ def clean_tracking(df: DataFrame, coerce: bool = True) -> DataFrame:
               .withColumn("prn", F.col("PRN").cast("int")))
 
 
+#: Sample counts per chunk: about 86 s of a channel at 25 MS/s.
+CHUNK_SAMPLES = 1 << 31
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, chunk_samples: int) -> DataFrame:
+    """Rows with ``rn``, their position in the channel, and ``group_rows``, the channel's rows."""
+    chunk = F.floor(F.col("PRN_start_sample_count") / F.lit(chunk_samples))
+    return ordered_index(df, list(keys), list(order), "rn", chunk=chunk, count_col="group_rows")
+
+
 def tracking_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
                      keys: Sequence[str] = GROUP_KEYS,
                      order: Sequence = ("PRN_start_sample_count",),
-                     hot_rows: int | None = None, size_bound: int | None = None) -> DataFrame:
+                     chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
     """Emit each row once per overlapping window that contains it.
 
     Windows start at 0, step, 2*step, ... within each key group (rows numbered
     by ``order``) and span ``size`` rows.  Adds ``rn`` (row position) and
-    ``window_id``.  Row numbering is skew-safe (see ``ordered_index``); the
-    explode is a narrow operation, so the later ``groupBy`` is the only other
-    shuffle and it combines map-side.
+    ``window_id``.  Rows are numbered in chunks of ``chunk_samples`` sample
+    counts (``ordered_index``), so a long recording is spread over tasks.
     """
     copies = math.ceil(size / step)
-    df = ordered_index(df, list(keys), list(order), "rn", hot_rows=hot_rows, size_bound=size_bound)
+    df = numbered(df, keys, order, chunk_samples)
     last = F.floor(F.col("rn") / F.lit(step))
     # plain array + filter (code-generated) rather than a lambda filter
     cands = F.array(*[last - F.lit(j) for j in range(copies)])
@@ -200,7 +209,8 @@ def _finish(feats: DataFrame, windows_src: DataFrame, keys: Sequence[str], step:
     if min_group_rows > min_rows:
         # Only needed when a group gate is stricter than the window gate;
         # otherwise a kept window already proves its file and PRN are big enough.
-        sizes = windows_src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        # Rows are there once per window, so the gate reads the channel's own count.
+        sizes = windows_src.groupBy(*keys).agg(F.max("group_rows").alias("_n"))
         feats = feats.join(sizes, list(keys)).filter(F.col("_n") >= min_group_rows).drop("_n")
     is_clear = F.col("label") == F.lit(CLEAR_LABEL)
     start = F.col("window_id") * F.lit(step)
@@ -327,8 +337,8 @@ def block_features(rows: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_
 
 
 def signal_features(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
-                    order: Sequence = ("PRN_start_sample_count",), hot_rows: int | None = None,
-                    size_bound: int | None = None, keys: Sequence[str] = GROUP_KEYS, **kw) -> DataFrame:
+                    order: Sequence = ("PRN_start_sample_count",), chunk_samples: int = CHUNK_SAMPLES,
+                    keys: Sequence[str] = GROUP_KEYS, **kw) -> DataFrame:
     """Clean -> number rows -> per-window features (the E1 feature stage).
 
     Rows are copied into the ``k = ceil(size/step)`` windows that hold them
@@ -341,10 +351,9 @@ def signal_features(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_S
     """
     clean = clean_tracking(df)
     if size % step == 0 and size // step > BLOCK_MERGE_MIN_COPIES:
-        rows = ordered_index(clean, list(keys), list(order), "rn", hot_rows=hot_rows, size_bound=size_bound)
+        rows = numbered(clean, keys, order, chunk_samples)
         return block_features(rows, size=size, step=step, keys=keys, **kw)
-    win = tracking_windows(clean, size=size, step=step, keys=keys, order=order, hot_rows=hot_rows,
-                           size_bound=size_bound)
+    win = tracking_windows(clean, size=size, step=step, keys=keys, order=order, chunk_samples=chunk_samples)
     return window_features(win, keys=keys, step=step, **kw)
 
 

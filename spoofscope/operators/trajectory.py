@@ -97,20 +97,22 @@ def _rate(d: Column, dt: Column) -> Column:
 
 def trajectory_features(states: DataFrame, key: str = "icao24", order: Sequence[str] = ("time", "seq"),
                         wrap_heading: bool = False, zero_fill_ages: bool = False,
-                        hot_rows: int | None = None, size_bound: int | None = None) -> DataFrame:
+                        chunk_seconds: int = 86_400) -> DataFrame:
     """Per-aircraft deltas (time, lat, lon, velocity, heading, altitudes),
     geo-baro altitude difference, contact delay, planar position change (in
     degrees) and change rates; then every numeric column's NULL/NaN/Inf -> 0.
 
     Rows are ordered by ``order`` inside each aircraft (pass a unique arrival
-    sequence last).  Rows without an aircraft id get no deltas.  The lag is
-    skew-safe (``ordered_diff``).  Position/contact ages keep NULL unless
+    sequence last).  Rows without an aircraft id get no deltas.  An aircraft's
+    rows are compared in chunks of ``chunk_seconds`` of its ``order[0]``
+    (``ordered_diff``).  Position/contact ages keep NULL unless
     ``zero_fill_ages``.
     """
     order = [c for c in order if c in states.columns]
     df = states.withColumn("_t", F.col("time").cast("double"))
     cols = ["_t"] + DELTA_COLUMNS[1:]
-    df = ordered_diff(df, [key], order, cols, prefix="_d_", hot_rows=hot_rows, size_bound=size_bound)
+    df = ordered_diff(df, [key], order, cols, prefix="_d_",
+                      chunk=F.floor(F.col(order[0]).cast("double") / chunk_seconds))
     keyed = F.col(key).isNotNull()
     deltas = {f"delta_{c}": F.when(keyed, F.col(f"_d_{'_t' if c == 'time' else c}")) for c in DELTA_COLUMNS}
     df = df.withColumns(deltas).drop(*[f"_d_{c}" for c in cols], "_t")

@@ -86,17 +86,16 @@ def q_track_split(spark, sf_dir):
 @register("even_downsample", oracle=f"""WITH {_TRACK}
 SELECT device_id, is_spoofed, seq, rn, n FROM down""")
 def q_even_downsample(spark, sf_dir):
-    d = gp.even_downsample(gp.split_all_spoofed(track(spark, sf_dir)),
-                          size_bound=ad.source_rows(spark, sf_dir, "events"))
+    d = gp.even_downsample(gp.split_all_spoofed(track(spark, sf_dir)))
     return d.select("device_id", "is_spoofed", "seq", "rn", "n")
 
 
 @register("track_path", oracle=f"""WITH {_TRACK}
 SELECT device_id, path_index, seq, is_spoofed, round(lat, 6) AS lat, round(lon, 6) AS lon, {_EPOCH},
-       true AS is_marker
+       (path_index - 1) % 5 = 0 OR path_index = count(*) OVER (PARTITION BY device_id) AS is_marker
 FROM path""")
 def q_track_path(spark, sf_dir):
-    p = gp.track_path(track(spark, sf_dir), size_bound=ad.source_rows(spark, sf_dir, "events"))
+    p = gp.track_path(track(spark, sf_dir), marker_every=5)
     return rounded(p.select("device_id", "path_index", "seq", "is_spoofed", "lat", "lon",
                             F.unix_timestamp("timestamp").alias("epoch_seconds"), "is_marker"))
 
@@ -111,7 +110,7 @@ SELECT device_id, path_index AS from_index, path_index + 1 AS to_index,
             ELSE 'red' END AS color
 FROM seg WHERE nxt IS NOT NULL""")
 def q_track_segments(spark, sf_dir):
-    return gp.track_segments(gp.track_path(track(spark, sf_dir), size_bound=ad.source_rows(spark, sf_dir, "events")))
+    return gp.track_segments(gp.track_path(track(spark, sf_dir)))
 
 
 @register("track_markers", oracle=f"""WITH {_TRACK}
@@ -121,7 +120,7 @@ SELECT device_id, round(arg_min(lat, path_index), 6) AS start_lat, round(arg_min
        round(arg_max(lat, path_index), 6) AS end_lat, round(arg_max(lon, path_index), 6) AS end_lon
 FROM path GROUP BY device_id""")
 def q_track_markers(spark, sf_dir):
-    m = gp.track_markers(gp.track_path(track(spark, sf_dir), size_bound=ad.source_rows(spark, sf_dir, "events")))
+    m = gp.track_markers(gp.track_path(track(spark, sf_dir)))
     return rounded(m.select("device_id", F.col("start.lat").alias("start_lat"), F.col("start.lon").alias("start_lon"),
                             F.col("first_spoof.lat").alias("first_spoof_lat"),
                             F.col("first_spoof.lon").alias("first_spoof_lon"),
@@ -131,7 +130,7 @@ def q_track_markers(spark, sf_dir):
 @register("map_center", oracle=f"""WITH {_TRACK}
 SELECT round(avg(lat), 6) AS center_lat, round(avg(lon), 6) AS center_lon FROM path""")
 def q_map_center(spark, sf_dir):
-    return rounded(gp.map_center(gp.track_path(track(spark, sf_dir), size_bound=ad.source_rows(spark, sf_dir, "events"))))
+    return rounded(gp.map_center(gp.track_path(track(spark, sf_dir))))
 
 
 def pretty_name(stem):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import tracking as trk
-from spoofscope.operators.stats import long_percentiles, unpivot
+from spoofscope.operators.stats import percentile_at, unpivot
 from spoofscope.plans.registry import register, round_half_away, rounded
 from spoofscope.sources import adapters as ad
 
@@ -101,9 +101,7 @@ def tracking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one tracking row per lineitem row: no (file, PRN) group can be larger
-    bound = ad.source_rows(spark, sf_dir, "lineitem")
-    return trk.signal_features(tracking_rows(spark, sf_dir), size_bound=bound, order=ad.TRACKING_ORDER)
+    return trk.signal_features(tracking_rows(spark, sf_dir), order=ad.TRACKING_ORDER)
 
 
 @register("tracking_clean", oracle=f"""WITH {_TRACK_CTE},{_CLEAN}
@@ -124,8 +122,7 @@ SELECT source_file, tracking_file, prn, window_id, window_id * 250 AS window_sta
        min(PRN_start_sample_count) AS first_sample, max(PRN_start_sample_count) AS last_sample
 FROM win GROUP BY source_file, tracking_file, prn, window_id HAVING count(*) >= 300""")
 def q_tracking_windows(spark, sf_dir):
-    w = trk.tracking_windows(trk.clean_tracking(tracking_rows(spark, sf_dir)), order=ad.TRACKING_ORDER,
-                             size_bound=ad.source_rows(spark, sf_dir, "lineitem"))
+    w = trk.tracking_windows(trk.clean_tracking(tracking_rows(spark, sf_dir)), order=ad.TRACKING_ORDER)
     return (w.groupBy("source_file", "tracking_file", "prn", "window_id")
              .agg(F.count(F.lit(1)).alias("window_size"), F.min("rn").alias("first_row"),
                   F.max("rn").alias("last_row"),
@@ -156,36 +153,36 @@ REPORT_EXCLUDE = {"tracking_valid", "is_spoofed", "prn", "window_id", "window_st
 REPORT_COLS = ["n_epochs", "window_size"] + [c for c in trk.FEATURE_COLUMNS if c != "n_epochs"]
 
 
-def report_per_file(feats: DataFrame, hot_rows: int | None = None, digits: int | None = None) -> DataFrame:
+def report_per_file(feats: DataFrame, digits: int | None = None) -> DataFrame:
     """Per dataset file: window count, distinct PRNs and mean/std/median/min/max
     of every numeric window column.
 
-    Computed in long form — one row per (file, column, value) — so four
-    narrow aggregates and one exact, distributed median cover all columns,
-    and a single pivot restores the wide report.  Medians rank values with the
-    skew-safe index instead of buffering a whole file in one task.
+    The windows are read once, in long form.  Values are counted per (file,
+    column, value) — combined before the shuffle, so ties are one row — and
+    everything else comes from these counts: the median from their running
+    sums, windows and PRNs from the counts of the ``prn`` column.
     """
-    # The window table (one row per ~250 input rows) feeds several passes;
-    # materialise it once in the checkpoint directory.
-    feats = feats.checkpoint(eager=True)
-    counts = feats.groupBy(*REPORT_KEYS).agg(F.count("window_id").alias("n_windows"),
-                                             F.countDistinct("prn").alias("n_prns"))
-    long = unpivot(feats, REPORT_KEYS, REPORT_COLS)
-    gk = REPORT_KEYS + ["_c"]
-    basic = long.groupBy(*gk).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
-                                  F.min("_v").alias("min"), F.max("_v").alias("max"))
-    med = (long_percentiles(long, REPORT_KEYS, {"median": 0.5}, hot_rows=hot_rows)
-           .select(*gk, F.col("_val").alias("median")))
-    stats = basic.join(med, gk, "left")
+    gk = [*REPORT_KEYS, "_c"]
+    counts = unpivot(feats, REPORT_KEYS, [*REPORT_COLS, "prn"]).groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*gk)  # the distinct values of one column of one file
+    mean = F.sum(F.col("_v") * F.col("_n")).over(group) / F.sum("_n").over(group)
+    ranked = counts.select(*gk, "_v", "_n", mean.alias("_mean"), F.sum("_n").over(group).alias("_total"),
+                           F.coalesce(F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    low, high, part = percentile_at("_before", "_n", "_total", "_v", 0.5)
+    spread = F.sum(F.col("_n") * (F.col("_v") - F.col("_mean")) ** 2)
+    total = F.max("_total")
+    stats = ranked.groupBy(*gk).agg(
+        F.max("_mean").alias("mean"), F.when(total > 1, F.sqrt(spread / (total - 1))).alias("std"),
+        (low + (high - low) * part).alias("median"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        total.alias("rows"), F.count(F.lit(1)).alias("distinct"))
     names = ("mean", "std", "median", "min", "max")
     if digits is not None:  # round in long form: five expressions, not one per wide column
-        stats = stats.select(*gk, *[round_half_away(F.col(n), digits).alias(n) for n in names])
-    wide = stats.groupBy(*REPORT_KEYS).pivot("_c", REPORT_COLS).agg(*[F.first(n).alias(n) for n in names])
-    order = ["n_windows", "n_prns"] + [f"{c}_{s}" for c in REPORT_COLS
-                                       for s in ("mean", "std", "median", "min", "max")]
-    out = counts.join(wide, REPORT_KEYS, "left")
-    return out.select(*REPORT_KEYS, *[F.col(c).cast("double").alias(c) if c not in ("n_windows", "n_prns")
-                                      else F.col(c) for c in order])
+        stats = stats.select(*gk, *[round_half_away(F.col(n), digits).alias(n) for n in names], "rows", "distinct")
+    wide = stats.groupBy(*REPORT_KEYS).pivot("_c", [*REPORT_COLS, "prn"]).agg(*[F.first(n).alias(n) for n in (*names, "rows", "distinct")])
+    # every window has a PRN and an epoch count; PRNs are counted without NULLs
+    out = wide.select(*REPORT_KEYS, F.col("n_epochs_rows").alias("n_windows"), F.coalesce("prn_distinct", F.lit(0)).alias("n_prns"),
+                      *[F.col(f"{c}_{n}").cast("double").alias(f"{c}_{n}") for c in REPORT_COLS for n in names])
+    return out
 
 
 def _report_sql() -> str:
@@ -279,23 +276,14 @@ def q_signal_label(spark, sf_dir):
     return tracking_rows(spark, sf_dir).select("label", *trk.signal_label(F.col("label"))).distinct()
 
 
-DATASETS = ["clear_sky", "spoof_1", "spoof_2", "spoof_4"]
-
-
 @register("all_features", oracle=_FEATURES_CTE + """
 SELECT source_file, label, binary_label, prn, window_id, n_epochs, round(prompt_abs_mean, 6) AS prompt_abs_mean
 FROM features""")
 def q_all_features(spark, sf_dir):
-    """Per-dataset feature extraction (each reads only its dataset: the label
-    filter is on the partition key of the adapter's window and moves below
-    it), then one concatenation."""
-    rows = tracking_rows(spark, sf_dir)
-    bound = ad.source_rows(spark, sf_dir, "lineitem")
-    frames = [trk.signal_features(rows.filter(F.col("label") == d), size_bound=bound, order=ad.TRACKING_ORDER)
-              for d in DATASETS]
-    u = trk.union_features(frames)
-    return rounded(u.select("source_file", "label", "binary_label", "prn", "window_id", "n_epochs",
-                            "prompt_abs_mean"))
+    """Features of all datasets in one scan: windows never mix files, so the
+    concatenation of per-dataset features is the features of all rows."""
+    return rounded(features(spark, sf_dir).select("source_file", "label", "binary_label", "prn", "window_id", "n_epochs",
+                                                  "prompt_abs_mean"))
 
 
 @register("ragged_arrays", oracle="""

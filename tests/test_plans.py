@@ -15,21 +15,45 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_window_features_one_hash_exchange(spark):
+def _static_plan(spark, make) -> str:
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = ad.read_table(spark, SF, "lineitem")
-        raw = spark.sql(ad.sql_for(ad.TRACKING_RAW, "spark"), lineitem=rows)
-        f = trk.signal_features(raw, order=ad.TRACKING_ORDER, size_bound=10)
-        plan = _plan(f)
-        # one hash exchange on the channel keys feeds both the row numbering
-        # and the per-window aggregate (the other exchange spreads the source)
-        assert plan.count("Exchange hashpartitioning") == 1, plan
-        assert "hashpartitioning(source_file" in plan
+        return _plan(make())
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_window_features_plan_is_the_same_at_every_size(spark):
+    import re
+
+    def shape(sf):
+        plan = _static_plan(spark, lambda: QUERIES["window_features"](spark, sf))
+        return re.findall(r"(Exchange|Window|SortMergeJoin|BroadcastHashJoin|HashAggregate|Generate|Scan parquet|MapInArrow)\b", plan)
+
+    small, large = shape(SF), shape("/root/testdata/sf0.1")
+    assert small == large and "MapInArrow" not in small
+    # rows go to their chunk once and to their window once; chunk summaries are the other exchanges
+    assert small.count("Exchange") <= 5, small
+
+
+@pytest.mark.parametrize("key", ["window_features", "track_path", "gps_normalize", "report_per_file", "roc_auc", "even_downsample",
+                                 "trajectory_features", "all_features", "group_split"])
+def test_building_a_query_starts_no_job(spark, key):
+    QUERIES[key](spark, SF)  # reading a schema may start one
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build-{key}", key)
+    try:
+        for t in {"lineitem", "events", "embeddings"}:
+            ad.read_table(spark, SF, t)
+        before = len(tracker.getJobIdsForGroup(f"build-{key}"))
+        reads = 3
+        QUERIES[key](spark, SF)
+        after = len(tracker.getJobIdsForGroup(f"build-{key}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert after - before <= reads, (key, before, after)
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_no_cartesian_or_nested_loop_join(spark, key):
     plan = _plan(QUERIES[key](spark, SF))
