@@ -24,41 +24,30 @@ FS = 25e6
 PSD_NPERSEG = 4096
 SPEC_NPERSEG = 2048
 SPEC_OVERLAP = 1024
-SPEC_MAX_SAMPLES = 300_000
 HIST_BINS = 200
-HIST_SAMPLES = 100_000
 INT16_MAX, INT16_MIN = 32767, -32768
 DB_FLOOR = 1e-12
 
 
-# Per-recording tables (one row per recording) are broadcast when the number
-# of recordings is at most this; it is counted on the key column alone.
-BROADCAST_RECORDINGS = 100_000
-
-
 def _amp2(i: Column, q: Column) -> Column:
     return i * i + q * q
 
 
-def _per_recording(samples: DataFrame, table: DataFrame, keys) -> DataFrame:
-    """``table`` (one row per recording) broadcast behind a checked size."""
-    n = samples.select(*keys).distinct().count()
-    return F.broadcast(table) if n <= BROADCAST_RECORDINGS else table
-
-
 def _exact_moments(i: Column, q: Column) -> list[Column]:
     """Exact integer sums of int16 samples: order-independent, so results do
-    not depend on partitioning.  Fourth powers are summed as DECIMAL(38, 0)."""
+    not depend on partitioning.  Squares (up to 2^31) and fourth powers (up to
+    2^62) are summed as DECIMAL: a BIGINT sum of squares would overflow at
+    2^32 samples."""
     li, lq = i.cast("bigint"), q.cast("bigint")
     p = li * li + lq * lq
-    dp = p.cast("decimal(38,0)")
+    wide = lambda c: F.sum(c.cast("decimal(20,0)"))
     return [F.count(F.lit(1)).alias("_n"), F.sum(li).alias("_si"), F.sum(lq).alias("_sq"),
-            F.sum(li * li).alias("_sii"), F.sum(lq * lq).alias("_sqq"), F.sum(p).alias("_sp"),
-            F.sum(dp * dp).alias("_spp"), F.max(p).alias("_pmax")]
+            wide(li * li).alias("_sii"), wide(lq * lq).alias("_sqq"), wide(p).alias("_sp"),
+            wide(p * p).alias("_spp"), F.max(p).alias("_pmax")]
 
 
 def _mean(s: str) -> Column:
-    return F.col(s).cast("double") / F.col("_n")
+    return F.col(s).cast("double") / F.col("_n").cast("double")
 
 
 def _pop_std(s1: str, s2: str) -> Column:
@@ -90,7 +79,7 @@ def dc_removed(df: DataFrame, keys=("source",)) -> DataFrame:
     """Subtract each recording's mean I and Q (two passes: the per-source
     means are one row per source)."""
     m = recording_means(df, keys)
-    return (df.join(_per_recording(df, m, keys), list(keys))
+    return (df.join(m, list(keys))
               .withColumn("i_dc", F.col("i") - F.col("_mi")).withColumn("q_dc", F.col("q") - F.col("_mq")))
 
 
@@ -119,13 +108,12 @@ def iq_quality(df: DataFrame, keys=("source",)) -> DataFrame:
         F.greatest(_mean("_sp") - (mi * mi + mq * mq), F.lit(0.0)).alias("average_power"))
 
 
-def iq_histogram(df: DataFrame, bins: int = HIST_BINS, prefix: int = HIST_SAMPLES,
-                 keys=("source",)) -> DataFrame:
-    """Equal-width histogram of DC-removed I over the first ``prefix``
-    samples; the maximum falls in the last bin."""
-    d = dc_removed(df, keys).filter(F.col("idx") < prefix).drop("_mi", "_mq")
+def iq_histogram(df: DataFrame, bins: int = HIST_BINS, keys=("source",)) -> DataFrame:
+    """Equal-width histogram of DC-removed I of whole recordings; the maximum
+    falls in the last bin."""
+    d = dc_removed(df, keys).drop("_mi", "_mq")
     r = d.groupBy(*keys).agg(F.min("i_dc").alias("_mn"), F.max("i_dc").alias("_mx"))
-    j = d.join(_per_recording(df, r, keys), list(keys))
+    j = d.join(r, list(keys))
     width = (F.col("_mx") - F.col("_mn")) / bins
     b = F.least(F.floor((F.col("i_dc") - F.col("_mn")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     b = F.coalesce(b, F.lit(0)).cast("int")
@@ -158,17 +146,15 @@ def tukey_periodic(n: int, alpha: float = 0.25) -> np.ndarray:
     return w[:n]
 
 
-def segments(df: DataFrame, nperseg: int, hop: int, keys=("source",), max_samples: int | None = None) -> DataFrame:
+def segments(df: DataFrame, nperseg: int, hop: int, keys=("source",)) -> DataFrame:
     """Full segments of ``nperseg`` samples starting every ``hop``: one row
     per (recording, segment) with the I and Q arrays in sample order."""
-    if max_samples:
-        df = df.filter(F.col("idx") < max_samples)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     copies = math.ceil(nperseg / hop)
     last = F.floor(F.col("idx") / hop)
     segs = F.filter(F.sequence(last - (copies - 1), last),
                     lambda s: (s >= 0) & (F.col("idx") < s * hop + nperseg))
-    x = (df.join(_per_recording(df, n, keys), list(keys))
+    x = (df.join(n, list(keys))
            .withColumn("seg", F.explode(segs))
            .filter(F.col("seg") * hop + nperseg <= F.col("_n")))
     g = x.groupBy(*keys, "seg").agg(
@@ -212,12 +198,12 @@ def welch_psd(df: DataFrame, nperseg: int = PSD_NPERSEG, hop: int | None = None,
 
 
 def spectrogram(df: DataFrame, nperseg: int = SPEC_NPERSEG, overlap: int = SPEC_OVERLAP, fs: float = FS,
-                max_samples: int = SPEC_MAX_SAMPLES, keys=("source",)) -> DataFrame:
+                keys=("source",)) -> DataFrame:
     """Per segment and frequency: PSD in dB (periodic Tukey 0.25 window,
     constant detrend, density scaling); ``time_s`` is the segment centre."""
     ship_package(df.sparkSession)
     hop = nperseg - overlap
-    seg = segments(df, nperseg, hop, keys, max_samples)
+    seg = segments(df, nperseg, hop, keys)
     pg = _periodogram_udf(tukey_periodic(nperseg), fs)
     p = seg.select(*keys, "seg", F.posexplode(pg("si", "sq")).alias("k", "p"))
     return p.select(*keys, "seg", ((F.col("seg") * hop + nperseg / 2) / F.lit(fs)).alias("time_s"),

@@ -55,7 +55,8 @@ def normalize_states(raw: DataFrame) -> DataFrame:
     d = lambda c: F.col(c).try_cast("double")
     snap = F.col("api_time").cast("bigint")
     return raw.select(
-        snap.alias("snapshot_time"), snap.alias("time"), F.col("icao24"),
+        snap.alias("snapshot_time"), snap.alias("time"),
+        F.date_format(F.timestamp_seconds(snap), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("snapshot_utc"), F.col("icao24"),
         d("latitude").alias("lat"), d("longitude").alias("lon"), d("velocity").alias("velocity"),
         d("true_track").alias("heading"), d("vertical_rate").alias("vertrate"),
         F.trim(F.coalesce(F.col("callsign"), F.lit(""))).alias("callsign"),
@@ -169,6 +170,11 @@ def bbox_filter(df: DataFrame, lamin: float, lomin: float, lamax: float, lomax:
     return df.filter(F.col("lat").between(lamin, lamax) & F.col("lon").between(lomin, lomax))
 
 
+def aircraft_filter(df: DataFrame, icao24: str) -> DataFrame:
+    """One aircraft's rows; ids compare trimmed and in lower case."""
+    return df.filter(F.lower(F.trim("icao24")) == icao24.strip().lower())
+
+
 def latest_snapshot(df: DataFrame, time_col: str = "time") -> DataFrame:
     """Rows of the newest poll: ``time = max(time)`` (scalar subquery)."""
     m = df.agg(F.max(time_col).alias("_m"))

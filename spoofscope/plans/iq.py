@@ -61,7 +61,7 @@ def q_iq_quality(spark, sf_dir):
 
 
 @register("iq_histogram", oracle=f"""WITH {_DC},
-p AS (SELECT * FROM dc WHERE idx < 100000),
+p AS (SELECT * FROM dc),
 r AS (SELECT source, min(i_dc) AS mn, max(i_dc) AS mx FROM p GROUP BY source),
 b AS (SELECT p.source, mn, mx,
              cast(coalesce(least(floor((i_dc - mn) / nullif((mx - mn) / 200, 0)), 199), 0) AS integer) AS bin
@@ -72,7 +72,7 @@ def q_iq_histogram(spark, sf_dir):
     return rounded(iq.iq_histogram(samples(spark, sf_dir)))
 
 
-PREFIX = 10_000  # samples shown in the time-domain view
+PREFIX = 1_000  # samples shown in the time-domain view
 
 
 @register("iq_prefix", oracle=f"""WITH {_IQ}
@@ -110,6 +110,29 @@ def q_welch_psd(spark, sf_dir):
     return rounded(iq.welch_psd(samples(spark, sf_dir), nperseg=PSD_SEG, hop=PSD_HOP))
 
 
-@register("spectrogram")
+SG, SH = iq.SPEC_NPERSEG, iq.SPEC_NPERSEG - iq.SPEC_OVERLAP
+# the periodic Tukey window (0.25) at m / nperseg, and the density scale
+_TUKEY = f"""CASE WHEN 8 * m < {SG} THEN 0.5 * (1 + cos(pi() * (8.0 * m / {SG} - 1)))
+                 WHEN 8 * m > 7 * {SG} THEN 0.5 * (1 + cos(pi() * (8.0 * m / {SG} - 7))) ELSE 1.0 END"""
+_SPEC_SCALE = repr(iq.FS * float((iq.tukey_periodic(SG) ** 2).sum()))
+
+
+@register("spectrogram", oracle=f"""WITH {_IQ},
+n AS (SELECT source, count(*) AS nn FROM iq GROUP BY source),
+segs AS (SELECT source, idx, cast(i AS double) AS i, cast(q AS double) AS q,
+                unnest([idx // {SH}, idx // {SH} - 1]) AS seg FROM iq),
+valid AS (SELECT s.source, seg, idx - seg * {SH} AS m, i, q FROM segs s JOIN n USING (source)
+          WHERE seg >= 0 AND seg * {SH} + {SG} <= nn AND idx < seg * {SH} + {SG}),
+dm AS (SELECT source, seg, m, i - avg(i) OVER (PARTITION BY source, seg) AS i,
+              q - avg(q) OVER (PARTITION BY source, seg) AS q, {_TUKEY} AS w FROM valid),
+dft AS (SELECT source, seg, k,
+               sum(w * (i * cos(2 * pi() * ((k * m) % {SG}) / {SG}) + q * sin(2 * pi() * ((k * m) % {SG}) / {SG}))) AS re,
+               sum(w * (q * cos(2 * pi() * ((k * m) % {SG}) / {SG}) - i * sin(2 * pi() * ((k * m) % {SG}) / {SG}))) AS im
+        FROM dm, range(0, {SG}) t(k) GROUP BY source, seg, k)
+SELECT source, seg, {R(f'(seg * {SH} + {SG} / 2.0) / 25e6', 'time_s')},
+       cast((k + {SG // 2}) % {SG} AS integer) AS freq_index,
+       {R(f'CASE WHEN k < {SG // 2} THEN k ELSE k - {SG} END * (25e6 / {SG})', 'freq_hz')},
+       {R(f'10 * log10((re * re + im * im) / {_SPEC_SCALE} + 1e-12)', 'psd_db')}
+FROM dft""")
 def q_spectrogram(spark, sf_dir):
     return rounded(iq.spectrogram(samples(spark, sf_dir)))

@@ -107,6 +107,7 @@ def snapshot_documents(raw: DataFrame) -> DataFrame:
 
 @register("snapshot_explode", oracle=f"""WITH {_RAW}
 SELECT max(time) OVER (PARTITION BY snap) AS snapshot_time, max(time) OVER (PARTITION BY snap) AS time,
+       strftime(make_timestamp(max(time) OVER (PARTITION BY snap) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS snapshot_utc,
        icao24, lat, lon, TRY_CAST(velocity AS DOUBLE) AS velocity, heading, vertrate,
        trim(coalesce(callsign, '')) AS callsign, onground, spi, squawk, baroaltitude, geoaltitude,
        lastposupdate, lastcontact,

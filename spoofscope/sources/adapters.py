@@ -180,8 +180,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # GPS track rows (device logs with mixed normal/spoofed segments).
 GPS_TRACK = """
-SELECT event_id AS seq, 'AV-GPS-dev' || cast(user_id % 10 AS string) AS device_id,
-       'AV-GPS-dev' || cast(user_id % 10 AS string) || '.csv' AS source_file, ts,
+SELECT event_id AS seq, 'device_' || cast(user_id % 10 AS string) AS device_id,
+       'device_' || cast(user_id % 10 AS string) || '.csv' AS source_file, ts,
        CASE WHEN event_id % 53 = 0 THEN NULL
             ELSE cast(48.5 AS double) + cast(event_id * 7919 % 11000 AS double) / cast(1037.1923 AS double) END AS lat,
        CASE WHEN event_id % 53 = 0 THEN NULL
