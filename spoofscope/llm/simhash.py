@@ -262,5 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(linked(distinct.select("print"), "print", distance), "a", "b")
     # a fingerprint without links is its own component
     own = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "low", F.coalesce("root", "print").alias("root"))
-    smallest = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(own.select("print", "root"), "print").join(smallest, "root").select("doc_id", "print", "component_id")
+    # written, the one-row-per-component side leaves a large component's rows free to be split; so does the last join
+    own = staged(own)
+    smallest = staged(own.groupBy("root").agg(F.min("low").alias("component_id")))
+    return rows.join(staged(own.join(smallest, "root").select("print", "component_id")), "print").select("doc_id", "print", "component_id")
