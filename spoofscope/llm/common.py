@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.session import ensure_checkpoint_dir, ship_package
+from spoofscope.session import ensure_checkpoint_dir
+from spoofscope.session import ship_package as _ship
 
 #: Words of the documents: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +29,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents that a Python task gets at a time, unless the session says how many.
+BATCH_ROWS = 2000
+
+
+def ship_package(spark: SparkSession) -> None:
+    """What operators with Python tasks need: the package on the executors,
+    and batches of texts small enough for two tasks beside a full heap."""
+    _ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

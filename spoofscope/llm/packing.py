@@ -18,6 +18,7 @@ than one task's pieces.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,6 +38,15 @@ END_ID = 1
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+@lru_cache(maxsize=2)
+def whole(name: str):
+    """The ``.json`` tokenizer, loaded once a text needs it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str):
     """text -> ids of the public tokenizer.  The bulk is encoded from its rank
@@ -45,17 +55,16 @@ def encoder(name: str):
     ``.json`` tokenizer, which gives that token its own id."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole(name).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
