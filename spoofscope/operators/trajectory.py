@@ -117,6 +117,12 @@ def trajectory_features(states: DataFrame, key: str = "icao24", order: Sequence[
     keyed = F.col(key).isNotNull()
     deltas = {f"delta_{c}": F.when(keyed, F.col(f"_d_{'_t' if c == 'time' else c}")) for c in DELTA_COLUMNS}
     df = df.withColumns(deltas).drop(*[f"_d_{c}" for c in cols], "_t")
+    return derived_features(df, wrap_heading, zero_fill_ages)
+
+
+def derived_features(df: DataFrame, wrap_heading: bool = False, zero_fill_ages: bool = False) -> DataFrame:
+    """What follows from the deltas, batch or stream: altitude difference,
+    contact delay, position change, change rates, then NULL/NaN/Inf -> 0."""
     if wrap_heading:
         df = df.withColumn("delta_heading", F.pmod(F.col("delta_heading") + 180.0, F.lit(360.0)) - 180.0)
     df = df.withColumns({

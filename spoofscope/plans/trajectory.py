@@ -139,6 +139,19 @@ def q_trajectory_deltas(spark, sf_dir):
     return rounded(f.select("seq", "icao24", "time", *[f"delta_{c}" for c in tr.DELTA_COLUMNS]))
 
 
+@register("live_predictions", oracle=f"""WITH {_FEAT},
+scored AS (SELECT *, 0.6 * least(abs(coalesce(d_velocity, 0)) / 100, 1) + 0.4 * least(abs(coalesce(d_heading, 0)) / 180, 1) AS p
+           FROM feat WHERE snap = (SELECT max(snap) FROM feat))
+SELECT seq, icao24, time, {_DELTA_OUT}, round(p, 6) AS attack_probability, CASE WHEN p >= 0.3 THEN 1 ELSE 0 END AS predicted_anomaly
+FROM scored""")
+def q_live_predictions(spark, sf_dir):
+    """The newest poll, scored over real features by a fixed formula in the model's place."""
+    f = tr.latest_snapshot(features(spark, sf_dir), "snap")
+    p = 0.6 * F.least(F.abs("delta_velocity") / 100, F.lit(1.0)) + 0.4 * F.least(F.abs("delta_heading") / 180, F.lit(1.0))
+    s = f.withColumn("attack_probability", p).withColumn("predicted_anomaly", F.when(p >= tr.ANOMALY_THRESHOLD, 1).otherwise(0))
+    return rounded(s.select("seq", "icao24", "time", *[f"delta_{c}" for c in tr.DELTA_COLUMNS], "attack_probability", "predicted_anomaly"))
+
+
 _RATES = ["velocity_change_rate", "heading_change_rate", "altitude_change_rate"]
 
 

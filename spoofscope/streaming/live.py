@@ -1,8 +1,8 @@
 """Structured Streaming version of the live pipeline.
 
 Landed poll documents (one JSON file per poll) -> state rows -> keyed
-per-aircraft deltas with state (arrival order, late rows flagged) -> scoring
-and per-batch sinks.  Sinks are written per micro-batch id, so a replayed
+per-aircraft deltas with state (arrival order, late rows flagged) -> features
+-> scoring of the newest poll and per-batch sinks.  Sinks are written per micro-batch id, so a replayed
 batch overwrites its own output (idempotent); progress lives in the query's
 checkpoint location on shared storage.
 """
@@ -24,9 +24,7 @@ SNAPSHOT_SCHEMA = "value STRING"
 DEDUP_KEYS = ["icao24", "lastposupdate", "lat", "lon"]
 STATE_TTL = "10 minutes"
 DELTA_STATE_COLS = ["time", "lat", "lon", "velocity", "heading", "baroaltitude", "geoaltitude"]
-DELTA_OUT_SCHEMA = ("icao24 string, seq long, time long, delta_time double, delta_lat double, "
-                    "delta_lon double, delta_velocity double, delta_heading double, "
-                    "delta_baroaltitude double, delta_geoaltitude double, late int")
+DELTA_OUT_SCHEMA = "row string, late int, " + ", ".join(f"delta_{c} double" for c in DELTA_STATE_COLS)
 STATE_SCHEMA = ("time long, lat double, lon double, velocity double, heading double, "
                 "baroaltitude double, geoaltitude double")
 
@@ -48,49 +46,67 @@ def dedup_stream(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
     return states.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(DEDUP_KEYS)
 
 
-def _delta_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per aircraft: differences to the previous report in time order.
-
-    The previous report of earlier micro-batches lives in the group state; a
-    report older than the state's time is emitted with ``late = 1`` and no
-    deltas, and does not move the state.  State expires when the watermark
-    passes its time plus the TTL (vanished aircraft).  Vectorised per group.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["time", "seq"], kind="stable")
-    prev = pd.Series(state.get, index=DELTA_STATE_COLS, dtype="float64") if state.exists else None
-    late = (pdf["time"] < prev["time"]) if prev is not None else pd.Series(False, index=pdf.index)
-    ok = pdf[~late]
-    vals = ok[DELTA_STATE_COLS].astype("float64")
-    before = vals.shift(1)
-    if prev is not None and len(vals):
-        before.iloc[0] = prev.values
-    out = pd.DataFrame({"icao24": key[0], "seq": pdf["seq"], "time": pdf["time"],
-                        "late": late.astype("int32")})
-    for c in DELTA_STATE_COLS:
-        d = (vals[c] - before[c]).astype("float64")
-        out[f"delta_{c}"] = d.reindex(pdf.index)        # late rows: no deltas
-        out[f"delta_{c}"] = out[f"delta_{c}"].astype(object).where(out[f"delta_{c}"].notna(), None)
-    if len(vals):
-        last = vals.iloc[-1]
-        state.update(tuple(None if pd.isna(last[c]) else (int(last[c]) if c == "time" else float(last[c]))
-                           for c in DELTA_STATE_COLS))
-        state.setTimeoutTimestamp(int(last["time"]) * 1000 + 600_000)
-    yield out[["icao24", "seq", "time"] + [f"delta_{c}" for c in DELTA_STATE_COLS] + ["late"]]
+def ttl_ms(watermark: str) -> int:
+    return int(pd.Timedelta(watermark).total_seconds() * 1000)
+
+
+def _delta_fn(ttl: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Per aircraft: differences to the previous report in time order.
+
+        The previous report of earlier micro-batches lives in the group state; a
+        report older than the state's time is emitted with ``late = 1`` and no
+        deltas, and does not move the state.  State expires when the watermark
+        passes its time plus the TTL (vanished aircraft).  Reports without an
+        id have no deltas and leave no state.  Vectorised per group.
+        """
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["time", "seq"], kind="stable")
+        named = not key[0].startswith("\0")
+        prev = pd.Series(state.get, index=DELTA_STATE_COLS, dtype="float64") if named and state.exists else None
+        late = (pdf["time"] < prev["time"]) if prev is not None else pd.Series(False, index=pdf.index)
+        ok = pdf[~late]
+        vals = ok[DELTA_STATE_COLS].astype("float64")
+        before = vals.shift(1)
+        if prev is not None and len(vals):
+            before.iloc[0] = prev.values
+        out = pd.DataFrame({"row": pdf["row"], "late": late.astype("int32")})
+        for c in DELTA_STATE_COLS:
+            d = (vals[c] - before[c]).reindex(pdf.index) if named else pd.Series(float("nan"), index=pdf.index)
+            out[f"delta_{c}"] = d.astype(object).where(d.notna(), None)  # late rows: no deltas
+        if named and len(vals):
+            last = vals.iloc[-1]
+            state.update(tuple(None if pd.isna(last[c]) else (int(last[c]) if c == "time" else float(last[c]))
+                               for c in DELTA_STATE_COLS))
+            state.setTimeoutTimestamp(int(last["time"]) * 1000 + ttl)
+        yield out[["row", "late"] + [f"delta_{c}" for c in DELTA_STATE_COLS]]
+    return fn
 
 
 def stateful_deltas(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
-    """X3/X9: keyed per-aircraft deltas across micro-batches (equals the
-    batch ``trajectory_features`` deltas when polls arrive in time order)."""
+    """X3/X9: every report with its per-aircraft deltas across micro-batches
+    (those of the batch ``trajectory_features`` when polls arrive in time
+    order) and the ``late`` flag.  Reports without an id stay, each a group of
+    its own; the other columns travel as text and come back typed."""
     ship_package(states.sparkSession)
-    cols = ["icao24", "seq"] + DELTA_STATE_COLS
-    s = states.filter(F.col("icao24").isNotNull()).withWatermark("event_time", watermark)
-    s = s.withColumn("time", F.col("time").cast("long"))
-    return (s.select(*cols, "event_time").groupBy("icao24")
-             .applyInPandasWithState(_delta_fn, DELTA_OUT_SCHEMA, STATE_SCHEMA, "append",
-                                     GroupStateTimeout.EventTimeTimeout))
+    kept = [f for f in states.schema.fields if f.name != "event_time"]
+    s = states.withWatermark("event_time", watermark).select(
+        F.coalesce("icao24", F.concat(F.lit("\0"), F.col("seq").cast("string"))).alias("_key"), "seq",
+        F.to_json(F.struct(*[f.name for f in kept]), {"ignoreNullFields": "false"}).alias("row"),
+        F.col("time").cast("long").alias("time"), *DELTA_STATE_COLS[1:], "event_time")
+    out = s.groupBy("_key").applyInPandasWithState(_delta_fn(ttl_ms(watermark)), DELTA_OUT_SCHEMA, STATE_SCHEMA, "append",
+                                                   GroupStateTimeout.EventTimeTimeout)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return out.select(F.from_json("row", schema).alias("_r"), "late", *[f"delta_{c}" for c in DELTA_STATE_COLS]).select(
+        "_r.*", "late", *[f"delta_{c}" for c in DELTA_STATE_COLS])
+
+
+def live_features(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
+    """X5: the model's features of every report, with the deltas fed from
+    keyed state; the stream twin of ``trajectory_features``."""
+    return tr.derived_features(stateful_deltas(states, watermark))
 
 
 TAIL_OUT_SCHEMA = ("icao24 string, point_index int, n_points int, time long, seq long, "
@@ -98,7 +114,7 @@ TAIL_OUT_SCHEMA = ("icao24 string, point_index int, n_points int, time long, seq
 TAIL_STATE_SCHEMA = "times array<long>, seqs array<long>, lats array<double>, lons array<double>"
 
 
-def _tail_fn(points: int):
+def _tail_fn(points: int, ttl: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Keep the newest ``points`` positions of one aircraft in state
         (bounded) and emit its current tail when it has at least two."""
@@ -113,7 +129,7 @@ def _tail_fn(points: int):
         tail = new.sort_values(["time", "seq"], kind="stable").tail(points).reset_index(drop=True)
         state.update((tail["time"].astype("int64").tolist(), tail["seq"].astype("int64").tolist(),
                       tail["lat"].astype(float).tolist(), tail["lon"].astype(float).tolist()))
-        state.setTimeoutTimestamp(int(tail["time"].iloc[-1]) * 1000 + 600_000)
+        state.setTimeoutTimestamp(int(tail["time"].iloc[-1]) * 1000 + ttl)
         if len(tail) < 2:
             return
         n = len(tail)
@@ -133,30 +149,38 @@ def stateful_tails(states: DataFrame, points: int = tr.TRAJECTORY_POINTS, waterm
         "icao24", F.col("time").cast("long").alias("time"), F.col("seq").cast("long").alias("seq"),
         "lat", "lon", "event_time")
     return pts.groupBy("icao24").applyInPandasWithState(
-        _tail_fn(points), TAIL_OUT_SCHEMA, TAIL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        _tail_fn(points, ttl_ms(watermark)), TAIL_OUT_SCHEMA, TAIL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def score_newest(features: DataFrame, model=None, threshold: float = tr.ANOMALY_THRESHOLD) -> DataFrame:
+    """The newest poll's reports with attack_probability and
+    predicted_anomaly beside all their features.  Without a model the
+    probability is 0."""
+    newest = tr.latest_snapshot(features, "snapshot_time" if "snapshot_time" in features.columns else "time")
+    if model is None:
+        scored = newest.withColumn("attack_probability", F.lit(0.0))
+    else:
+        from pyspark.ml.functions import vector_to_array
+        own = [c for c in newest.columns if c not in tr.MODEL_FEATURES]
+        kept = model.transform(tr.model_input(newest, keep=own))
+        scored = kept.withColumn("attack_probability", vector_to_array("probability")[1]).select(*own, *tr.MODEL_FEATURES, "attack_probability")
+    return scored.withColumn("predicted_anomaly", F.when(F.col("attack_probability") >= threshold, 1).otherwise(0))
 
 
 def live_batch_writer(out_dir: str, model=None, threshold: float = tr.ANOMALY_THRESHOLD,
                       high_risk: float = tr.HIGH_RISK_THRESHOLD):
-    """X5-X8 in ``foreachBatch``: score the batch (model optional), write the
-    latest predictions, high-risk alerts and the batch summary under
-    ``batch_id=N`` (overwrite: replays are idempotent)."""
+    """X5-X8 in ``foreachBatch`` over a stream of ``live_features``: score the
+    newest poll once, then write its predictions (features included),
+    high-risk alerts and summary under ``batch_id=N`` (overwrite: replays are
+    idempotent)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        if model is not None:
-            feats = tr.trajectory_features(batch)
-            scored = model.transform(tr.model_input(feats, keep=["icao24", "callsign", "time", "seq"]))
-            from pyspark.ml.functions import vector_to_array
-            scored = scored.withColumn("attack_probability", vector_to_array("probability")[1])
-        else:
-            scored = batch.withColumn("attack_probability", F.lit(0.0))
-        scored = scored.withColumn("predicted_anomaly",
-                                   F.when(F.col("attack_probability") >= threshold, 1).otherwise(0))
-        keep = [c for c in ("icao24", "callsign", "time", "seq", "attack_probability", "predicted_anomaly")
-                if c in scored.columns]
-        scored = scored.select(*keep)
-        base = f"{out_dir.rstrip('/')}"
-        scored.write.mode("overwrite").parquet(f"{base}/predictions/batch_id={batch_id}")
-        tr.high_risk(scored, high_risk).write.mode("overwrite").parquet(f"{base}/alerts/batch_id={batch_id}")
-        mt.prediction_summary(scored).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{base}/summary/batch_id={batch_id}")
+        base = out_dir.rstrip("/")
+        scored = score_newest(batch, model, threshold).persist()  # three sinks read it
+        try:
+            scored.write.mode("overwrite").parquet(f"{base}/predictions/batch_id={batch_id}")
+            tr.high_risk(scored, high_risk).write.mode("overwrite").parquet(f"{base}/alerts/batch_id={batch_id}")
+            mt.prediction_summary(scored).withColumn("batch_id", F.lit(batch_id)) \
+                .write.mode("overwrite").parquet(f"{base}/summary/batch_id={batch_id}")
+        finally:
+            scored.unpersist()
     return write

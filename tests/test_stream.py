@@ -28,46 +28,80 @@ def _land(spark, base):
     return len(docs)
 
 
-def test_stateful_deltas_match_batch(spark):
+def _batch_features(spark, base):
+    """The batch twin over the same documents."""
+    rows = tr.snapshot_rows(spark.read.text(base, wholetext=True))
+    states = tr.prepare_states(tr.normalize_states(rows.withColumn("_seq", F.col("api_time") * 1_000_000 + F.col("state_index"))))
+    return tr.trajectory_features(states)
+
+
+def _forest(features):
+    from spoofscope.operators import ml
+    labelled = ml.class_balanced_weights(features.withColumn("y", (F.col("seq") % 2).cast("int")))
+    return ml.forest_pipeline(tr.MODEL_FEATURES, "y", n_trees=5, max_depth=5).fit(labelled)
+
+
+def _rows(df, cols):
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect()), key=repr)
+
+
+def test_live_features_equal_the_batch_column_by_column(spark):
+    """One poll per micro-batch: every aircraft has one row a batch, so all
+    deltas come from state."""
     base = tempfile.mkdtemp(prefix="polls-")
-    n_docs = _land(spark, base)
-    assert n_docs > 3
-    out = tempfile.mkdtemp(prefix="stream-out-")
-    ckpt = tempfile.mkdtemp(prefix="stream-ckpt-")
-    states = live.snapshot_stream(spark, base, max_files_per_trigger=2)
-    q = (live.stateful_deltas(states).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    assert _land(spark, base) > 3
+    out, ckpt = tempfile.mkdtemp(prefix="stream-out-"), tempfile.mkdtemp(prefix="stream-ckpt-")
+    feats = live.live_features(live.snapshot_stream(spark, base, max_files_per_trigger=1), watermark="2000 days")
+    q = (feats.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(600)
-    got = spark.read.parquet(out)
-    # batch twin over the same documents
-    docs = spark.read.text(base, wholetext=True)
-    b = tr.prepare_states(tr.normalize_states(tr.snapshot_rows(docs)))
-    b = b.filter(F.col("icao24").isNotNull())
-    assert got.count() == b.count()
+    got, want = spark.read.parquet(out), _batch_features(spark, base)
     assert got.filter("late = 1").count() == 0
-    # per aircraft, the sum of time deltas is last time - first time in both
-    s_stream = got.groupBy("icao24").agg(F.sum("delta_time").alias("s")).orderBy("icao24").collect()
-    s_batch = (b.groupBy("icao24").agg((F.max("time") - F.min("time")).cast("double").alias("s"))
-                .orderBy("icao24").collect())
-    assert [(r[0], r[1] or 0.0) for r in s_stream] == [(r[0], r[1]) for r in s_batch]
+    assert want.filter("icao24 is null").count() > 0 and want.filter("delta_velocity <> 0").count() > 0
+    cols = [c for c in want.columns if c in got.columns]
+    assert set(tr.MODEL_FEATURES) <= set(cols) and set(want.columns) == set(cols)
+    assert _rows(got, cols) == _rows(want, cols)
 
 
-def test_dedup_and_batch_sinks(spark):
+def test_live_scores_alerts_and_summary_of_the_newest_poll(spark):
     base = tempfile.mkdtemp(prefix="polls-")
-    _land(spark, base)
-    out = tempfile.mkdtemp(prefix="live-out-")
-    ckpt = tempfile.mkdtemp(prefix="live-ckpt-")
-    states = live.dedup_stream(live.snapshot_stream(spark, base, max_files_per_trigger=4))
-    q = (states.writeStream.foreachBatch(live.live_batch_writer(out)).option("checkpointLocation", ckpt)
+    n = _land(spark, base)
+    want = _batch_features(spark, base)
+    model = _forest(want)
+    out, ckpt = tempfile.mkdtemp(prefix="live-out-"), tempfile.mkdtemp(prefix="live-ckpt-")
+    feats = live.live_features(live.snapshot_stream(spark, base, max_files_per_trigger=2), watermark="2000 days")
+    q = (feats.writeStream.foreachBatch(live.live_batch_writer(out, model, high_risk=0.5)).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination(600)
     preds = spark.read.parquet(os.path.join(out, "predictions"))
-    summary = spark.read.parquet(os.path.join(out, "summary"))
-    assert preds.count() > 0
+    # a batch of two polls scores the later one alone
+    times = sorted({r.snapshot_time for r in want.select("snapshot_time").distinct().collect()})
+    assert len(times) == n
+    assert {r.snapshot_time for r in preds.select("snapshot_time").distinct().collect()} == set(times[1::2]) | {times[-1]}
+    scored = live.score_newest(want, model)
+    last = preds.filter(F.col("snapshot_time") == times[-1])
+    cols = ["seq", *tr.MODEL_FEATURES, "attack_probability", "predicted_anomaly"]
+    assert _rows(last, cols) == _rows(scored, cols) and last.count() > 0
+    alerts, summary = (spark.read.parquet(os.path.join(out, k)) for k in ("alerts", "summary"))
+    assert _rows(alerts, ["seq", "attack_probability"]) == _rows(preds.filter("attack_probability > 0.5"), ["seq", "attack_probability"])
     assert summary.agg(F.sum("total_aircraft")).first()[0] == preds.count()
-    # streaming dedup never emits the same (aircraft, position time, position) twice
-    dup = preds.groupBy("icao24", "time", "seq").count().filter("count > 1").count()
-    assert dup == 0
+    assert summary.agg(F.sum("predicted_anomalies")).first()[0] == preds.filter("predicted_anomaly = 1").count()
+
+
+def test_state_expires_by_the_watermark_argument():
+    assert live.ttl_ms("10 minutes") == 600_000 and live.ttl_ms("90 seconds") == 90_000
+
+
+def test_dedup_drops_re_sent_reports(spark):
+    base = tempfile.mkdtemp(prefix="polls-")
+    _land(spark, base)
+    out, ckpt = tempfile.mkdtemp(prefix="dedup-out-"), tempfile.mkdtemp(prefix="dedup-ckpt-")
+    states = live.dedup_stream(live.snapshot_stream(spark, base, max_files_per_trigger=4))
+    q = (states.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    got = spark.read.parquet(out)
+    assert got.count() > 0 and got.groupBy(*live.DEDUP_KEYS).count().filter("count > 1").count() == 0
 
 
 def test_stateful_tails_match_batch(spark):
