@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import metrics as mt
-from spoofscope.operators.ordered import ordered_index
+from spoofscope.operators.ordered import ordered_index, running
 
 # The forest configuration and validation scheme.
 N_TREES = 300
@@ -104,13 +104,24 @@ def forest_pipeline(features: Sequence[str], label: str = "y", weight: str | Non
     stages.append(VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                 maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                subsamplingRate=1.0, bootstrap=True)
+                                subsamplingRate=1.0, bootstrap=True,
+                                maxMemoryInMB=1024)  # deep trees: more nodes are split in one pass
     if weight:
         rf = rf.setWeightCol(weight)
     stages.append(rf)
     return Pipeline(stages=stages)
 
 
+def fit_rows(train: DataFrame, group: str, most: int, seed: int = SEED) -> DataFrame:
+    """At most ``most`` rows to fit on: whole groups in md5 order, up to the
+    bound.  Nothing else but the fit is bounded: scores, metrics and weights'
+    classes come from all rows of the table they are given."""
+    sizes = train.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", group_order_key("_g", seed))
+    upto = running(sizes, [], ["_h", "_g"], F.substring("_h", 1, 3), F.col("_n"), "_before")
+    kept = upto.filter((F.col("_before") == 0) | (F.col("_before") + F.col("_n") <= most)).select("_g")
+    return train.join(kept, F.col(group) == F.col("_g"), "left_semi")
+
+
 def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     """Features present with at least one non-NULL value (an all-NULL column
     cannot be imputed and is dropped)."""

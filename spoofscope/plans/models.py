@@ -18,11 +18,8 @@ from spoofscope.plans import trajectory as trp
 from spoofscope.plans.registry import register, rounded
 from spoofscope.sources import adapters as ad
 
-# Forest size for the registered queries (kept small so the whole query set
-# runs in minutes on one machine); the library default is the
-# reference's 300 trees.
-QUERY_TREES = 100
-QUERY_DEPTH = 10
+#: Rows that a forest is fitted on, at most (whole groups, see ``ml.fit_rows``).
+FIT_ROWS = 2_000
 N_EMB = 64
 EMB_FEATURES = [f"e{i}" for i in range(N_EMB)]
 
@@ -84,12 +81,31 @@ def q_holdout_fold(spark, sf_dir):
 
 
 # -------------------------------------------------------- model fits (R)
+_FITTED: dict = {}
+
+
+def once(name: str, spark, sf_dir: str, make):
+    """One fit serves every query of an application that reports on it; its
+    scored rows are in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def fitted(train: DataFrame, group: str, features, label: str = "y", impute: bool = False):
+    """The forest (300 trees of depth 30) on at most ``FIT_ROWS`` training
+    rows, class-balanced by the weights of those rows."""
+    rows = ml.class_balanced_weights(ml.fit_rows(train, group, FIT_ROWS), label)
+    return ml.forest_pipeline(features, label, impute=impute).fit(rows)
+
+
 def cross_validate(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
-                   n_trees: int = QUERY_TREES, max_depth: int = QUERY_DEPTH, threshold: float = 0.5):
+                   threshold: float = 0.5):
     """Fit and score one forest per fold; returns (cv table, folds)."""
     # k fits reuse the rows: materialise them once (reliable checkpoint, so
     # a lost executor does not force recomputing the feature pipeline)
-    rows = ml.class_balanced_weights(rows, label).checkpoint(eager=True)
+    rows = rows.checkpoint(eager=True)
     folds = ml.stratified_group_folds(rows, group, label)
     summary = ml.fold_table(rows, folds, group, label)
     j = rows.join(folds.select(group, "fold"), group)
@@ -97,9 +113,7 @@ def cross_validate(rows: DataFrame, group: str, features, label: str = "y", impu
     k = folds.agg(F.max("fold")).first()[0]
     for f in range(1, k + 1):
         train, test = j.filter(F.col("fold") != f), j.filter(F.col("fold") == f)
-        model = ml.forest_pipeline(features, label, impute=impute, n_trees=n_trees,
-                                   max_depth=max_depth).fit(train)
-        ev = ml.evaluate(ml.score(model, test, threshold), label)
+        ev = ml.evaluate(ml.score(fitted(train, group, features, label, impute), test, threshold), label)
         out.append(ev.select(F.lit(f).alias("fold"), "accuracy", F.col("f1"), "roc_auc"))
     res = out[0]
     for o in out[1:]:
@@ -107,16 +121,30 @@ def cross_validate(rows: DataFrame, group: str, features, label: str = "y", impu
     return summary.join(res, "fold"), folds
 
 
+@register("fold_table", oracle=f"""WITH {_FOLDS},
+rows AS (SELECT e.vec_id % 20 AS group_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings e)
+SELECT fold, (SELECT count(*) FROM rows) - count(*) AS train_rows, count(*) AS test_rows,
+       (SELECT count(*) FROM folds) - count(DISTINCT r.group_id) AS train_groups, count(DISTINCT r.group_id) AS test_groups,
+       cast(count_if(y = 0) AS bigint) AS test_clean, cast(count_if(y = 1) AS bigint) AS test_spoofed
+FROM rows r JOIN folds f USING (group_id) GROUP BY fold""")
+def q_fold_table(spark, sf_dir):
+    """What the cross validation is made of: sizes, groups and classes of every fold."""
+    rows = ml_rows(spark, sf_dir)
+    return ml.fold_table(rows, ml.stratified_group_folds(rows, "group_id"), "group_id")
+
+
+def embedding_cv(spark, sf_dir) -> DataFrame:
+    return once("cv", spark, sf_dir, lambda: cross_validate(ml_rows(spark, sf_dir), "group_id", EMB_FEATURES)[0].checkpoint(eager=True))
+
+
 @register("cv_results")
 def q_cv_results(spark, sf_dir):
-    cv, _ = cross_validate(ml_rows(spark, sf_dir), "group_id", EMB_FEATURES)
-    return rounded(cv.orderBy("fold"))
+    return rounded(embedding_cv(spark, sf_dir).orderBy("fold"))
 
 
 @register("cv_summary")
 def q_cv_summary(spark, sf_dir):
-    cv, _ = cross_validate(ml_rows(spark, sf_dir), "group_id", EMB_FEATURES)
-    return rounded(cv.agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"),
+    return rounded(embedding_cv(spark, sf_dir).agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"),
                           F.avg("roc_auc").alias("roc_auc")))
 
 
@@ -126,74 +154,120 @@ def signal_rows(spark, sf_dir) -> DataFrame:
             .withColumn("y", F.col("is_spoofed"))
 
 
-def holdout_model(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
-                  threshold: float = 0.5, n_trees: int = QUERY_TREES, max_depth: int = QUERY_DEPTH):
-    """Fold nearest 25 % with both classes as test; fit on the rest."""
-    rows = ml.class_balanced_weights(rows, label).checkpoint(eager=True)
+def holdout_split(rows: DataFrame, group: str, label: str = "y") -> tuple[DataFrame, DataFrame]:
+    """(train, test): the fold nearest 25 % of the rows with both classes is the test set; without one, an error."""
+    rows = rows.checkpoint(eager=True)
     folds = ml.stratified_group_folds(rows, group, label)
-    summary = ml.fold_table(rows, folds, group, label)
-    pick = ml.holdout_fold(summary, rows.count()).first()
+    pick = ml.holdout_fold(ml.fold_table(rows, folds, group, label), rows.count()).first()
+    if pick is None:
+        raise ValueError("no fold holds both classes")
     j = rows.join(folds.select(group, "fold"), group)
-    if pick is None:  # no fold holds both classes: every row is training data
-        train, test = j, j.limit(0)
-    else:
-        train, test = j.filter(F.col("fold") != pick["fold"]), j.filter(F.col("fold") == pick["fold"])
-    model = ml.forest_pipeline(features, label, impute=impute, n_trees=n_trees, max_depth=max_depth).fit(train)
-    return model, train, ml.score(model, test, threshold)
+    return j.filter(F.col("fold") != pick["fold"]), j.filter(F.col("fold") == pick["fold"])
+
+
+def holdout_model(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
+                  threshold: float = 0.5):
+    """Model, training rows and the scored test rows, written once: metrics and reports read the same scores."""
+    train, test = holdout_split(rows, group, label)
+    model = fitted(train, group, features, label, impute)
+    return model, train, ml.score(model, test, threshold).checkpoint(eager=True)
 
 
 def summary_record(name: str, threshold: float, train: DataFrame, scored: DataFrame, label: str = "y",
-                   with_auc: bool = True) -> DataFrame:
+                   with_auc: bool = True, task: str = "binary classification",
+                   validation: str = "grouped holdout", normal: str = "normal", attack: str = "attack") -> DataFrame:
+    """One row with the fields of a published model summary."""
     ev = ml.evaluate(scored, label)
-    cols = [F.lit(name).alias("model"), F.lit(float(threshold)).alias("threshold"), "accuracy",
+    cols = [F.lit(name).alias("model_name"), F.lit("RandomForest").alias("model_type"), F.lit(task).alias("task"),
+            F.lit(validation).alias("validation_method"), F.lit(float(threshold)).alias("selected_threshold"), "accuracy",
             F.col("precision").alias("attack_precision"), F.col("recall").alias("attack_recall"),
             F.col("f1").alias("attack_f1")]
     if with_auc:
         cols.append("roc_auc")
     cnt = scored.agg(F.count(F.lit(1)).alias("test_rows"),
-                     F.count_if(F.col(label) == 0).alias("test_normal"),
-                     F.count_if(F.col(label) == 1).alias("test_attack"))
+                     F.count_if(F.col(label) == 0).alias(f"test_{normal}"),
+                     F.count_if(F.col(label) == 1).alias(f"test_{attack}"))
     tr_n = train.agg(F.count(F.lit(1)).alias("train_rows"))
     one = F.lit(1).alias("_one")
     return (ev.select(*cols, one).join(tr_n.select("*", one), "_one")
-              .join(cnt.select("*", one), "_one").drop("_one"))  # all one-row frames
+              .join(cnt.select("*", one), "_one").drop("_one")  # all one-row frames
+              .withColumn("description", F.lit(f"{name}: random forest, {validation}, threshold {threshold}")))
+
+
+def signal_holdout(spark, sf_dir):
+    def make():
+        rows = signal_rows(spark, sf_dir)
+        feats = ml.usable_features(rows, trk.FEATURE_COLUMNS)
+        return (*holdout_model(rows, "group_id", feats, impute=True, threshold=0.5), feats)
+    return once("signal", spark, sf_dir, make)
 
 
 @register("train_signal")
 def q_train_signal(spark, sf_dir):
-    rows = signal_rows(spark, sf_dir)
-    feats = ml.usable_features(rows, trk.FEATURE_COLUMNS)
-    model, train, scored = holdout_model(rows, "group_id", feats, impute=True, threshold=0.5)
-    return rounded(summary_record("signal", 0.5, train, scored))
+    _, train, scored, _ = signal_holdout(spark, sf_dir)
+    return rounded(summary_record("signal", 0.5, train, scored, normal="clear_sky", attack="spoofed"))
+
+
+@register("holdout_eval")
+def q_holdout_eval(spark, sf_dir):
+    """Everything said about one fitted model, from the same scored rows:
+    metrics, confusion matrix, accuracy per label and per group, and the most
+    confident mistakes, in long form (part, name, metric, value)."""
+    _, _, scored, _ = signal_holdout(spark, sf_dir)
+    return rounded(evaluation_long(scored))
+
+
+def evaluation_long(scored: DataFrame, label: str = "y", prob: str = "spoof_probability") -> DataFrame:
+    s = scored.withColumn("correct", (F.col(label) == F.col("y_pred")).cast("int"))
+    ev = ml.evaluate(s, label)
+    metrics = ev.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ev.columns])).alias("x"))
+    parts = [metrics.select(F.lit("metrics").alias("part"), F.lit("all").alias("name"), "x.metric", "x.value")]
+    cells = s.groupBy(label, "y_pred").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    parts.append(cells.select(F.lit("confusion"), F.concat(F.lit("true_"), F.col(label)), F.concat(F.lit("predicted_"), F.col("y_pred")), "value"))
+    for part, by in (("label", "label"), ("group", "group_id")):
+        g = s.groupBy(F.col(by).alias("name")).agg(F.avg("correct").alias("accuracy"), F.count(F.lit(1)).cast("double").alias("rows"))
+        parts.append(g.select(F.lit(part), "name", F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).alias("v")) for c in ("accuracy", "rows")])).alias("x"))
+                     .select("*", "x.m", "x.v").drop("x"))
+    sure = F.greatest(F.col(prob), 1 - F.col(prob))
+    worst = s.filter("correct = 0").orderBy(sure.desc(), "source_file", "tracking_file", "prn", "window_id").limit(20)
+    parts.append(worst.select(F.lit("mistake"), F.concat_ws("/", "source_file", "tracking_file", "prn", "window_id"), F.concat(F.lit("true_"), F.col(label)), prob))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def trajectory_rows(spark, sf_dir) -> DataFrame:
-    f = tr.binary_label(trp.features(spark, sf_dir)).filter(F.col("icao24").isNotNull())
-    return f.withColumn("y", F.col("binary_label"))
+    """All rows; those without an aircraft id are one group."""
+    f = tr.binary_label(trp.features(spark, sf_dir))
+    return f.withColumn("y", F.col("binary_label")).withColumn("group_id", F.coalesce("icao24", F.lit("")))
+
+
+def trajectory_holdout(spark, sf_dir):
+    def make():
+        split = ml.group_split(trajectory_rows(spark, sf_dir), "group_id").checkpoint(eager=True)
+        train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+        model = fitted(train, "group_id", tr.MODEL_FEATURES)
+        return model, train, ml.score(model, test, tr.ANOMALY_THRESHOLD).checkpoint(eager=True)
+    return once("trajectory", spark, sf_dir, make)
 
 
 @register("train_trajectory")
 def q_train_trajectory(spark, sf_dir):
-    rows = ml.class_balanced_weights(trajectory_rows(spark, sf_dir), "y")
-    split = ml.group_split(rows, "icao24")
-    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    model = ml.forest_pipeline(tr.MODEL_FEATURES, "y", n_trees=QUERY_TREES, max_depth=QUERY_DEPTH).fit(train)
-    scored = ml.score(model, test, tr.ANOMALY_THRESHOLD)
-    return rounded(summary_record("trajectory", tr.ANOMALY_THRESHOLD, train, scored, with_auc=False))
+    _, train, scored = trajectory_holdout(spark, sf_dir)
+    return rounded(summary_record("trajectory", tr.ANOMALY_THRESHOLD, train, scored, with_auc=False, validation="grouped split"))
 
 
 @register("score")
 def q_score(spark, sf_dir):
-    rows = signal_rows(spark, sf_dir)
-    feats = ml.usable_features(rows, trk.FEATURE_COLUMNS)
-    _, _, scored = holdout_model(rows, "group_id", feats, impute=True)
+    _, _, scored, _ = signal_holdout(spark, sf_dir)
     s = scored.withColumn("correct", F.col("y") == F.col("y_pred"))
     return rounded(s.select("label", "source_file", "tracking_file", "prn", "window_id", "window_start_row",
                             "window_end_row", F.col("y").alias("y_true"), "y_pred", "spoof_probability",
                             "correct"))
 
 
-# Short explanations shown next to the most important features.
+# Short explanations shown next to the most important features.
 FEATURE_DESCRIPTIONS = {
     "cn0_original_mean": "Mean carrier-to-noise density reported by the receiver.",
     "cn0_est_prompt": "C/N0 estimated from prompt correlator power moments.",
@@ -208,6 +282,14 @@ FEATURE_DESCRIPTIONS = {
     "position_change": "Planar position jump between consecutive reports.",
     "velocity_change_rate": "Speed change per second.",
     "altitude_diff": "Geometric minus barometric altitude.",
+    "contact_delay": "Seconds between the last position and the last contact.",
+    "velocity": "Reported ground speed.",
+    "heading": "Reported track angle.",
+    "heading_change_rate": "Turn per second.",
+    "altitude_change_rate": "Geometric altitude change per second.",
+    **{f"delta_{c}": f"Change of {c} since the aircraft's report before." for c in tr.DELTA_COLUMNS},
+    **{f"prompt_abs_{k}": f"{v} of the prompt correlator's magnitude inside the window."
+       for k, v in {"mean": "Mean", "std": "Spread", "median": "Median", "min": "Smallest value", "max": "Largest value"}.items()},
 }
 DEFAULT_DESCRIPTION = "Feature used by the model to score the anomaly probability."
 
@@ -224,15 +306,41 @@ def describe_features(importance: DataFrame, top: int = 10) -> DataFrame:
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    rows = signal_rows(spark, sf_dir)
-    feats = ml.usable_features(rows, trk.FEATURE_COLUMNS)
-    model, _, _ = holdout_model(rows, "group_id", feats, impute=True)
-    imp = ml.feature_importance(model, feats, spark)
-    return rounded(describe_features(imp, 20))
+    model, _, _, feats = signal_holdout(spark, sf_dir)
+    return rounded(describe_features(ml.feature_importance(model, feats, spark), 20))
 
 
-@register("model_overview")
-def q_model_overview(spark, sf_dir):
+def _description_sql() -> str:
+    """Features of both models by their number of values, and their descriptions."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    d = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in FEATURE_DESCRIPTIONS.items())
+    counts = lambda name, table, cols: " UNION ALL ".join(
+        f"SELECT '{name}' AS model_name, '{c}' AS feature, count({c}) AS n_values FROM {table}" for c in cols)
+    return (sig._FEATURES_CTE + f", d(feature, description) AS (VALUES {d}), n AS (" + counts("signal", "features", trk.FEATURE_COLUMNS)
+            + f") SELECT model_name, n.feature, n_values, coalesce(description, {quoted(DEFAULT_DESCRIPTION)}) AS description FROM n LEFT JOIN d USING (feature)")
+
+
+@register("feature_descriptions", oracle=_description_sql())
+def q_feature_descriptions(spark, sf_dir):
+    """Every feature of the signal model, how many windows have it, and its description."""
+    f = sig.features(spark, sf_dir)
+    one = f.agg(*[F.count(c).alias(c) for c in trk.FEATURE_COLUMNS])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values")) for c in trk.FEATURE_COLUMNS])).alias("x"))
+    d = spark.createDataFrame(list(FEATURE_DESCRIPTIONS.items()), "feature string, description string")
+    return (long.select(F.lit("signal").alias("model_name"), "x.feature", "x.n_values").join(F.broadcast(d), "feature", "left")  # a fixed, small table
+            .select("model_name", "feature", "n_values", F.coalesce("description", F.lit(DEFAULT_DESCRIPTION)).alias("description")))
+
+
+@register("model_summary")
+def q_model_summary(spark, sf_dir):
+    """The published record of both models, side by side."""
     a = q_train_trajectory(spark, sf_dir)
     b = q_train_signal(spark, sf_dir)
     return a.unionByName(b, allowMissingColumns=True)
+
+
+@register("model_overview")
+def q_model_overview(spark, sf_dir):
+    """The comparison of both models: names, thresholds and headline metrics."""
+    return q_model_summary(spark, sf_dir).select("model_name", "model_type", "selected_threshold", "validation_method", "accuracy",
+                                                 "attack_precision", "attack_recall", "attack_f1", "roc_auc", "train_rows", "test_rows")

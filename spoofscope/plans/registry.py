@@ -54,10 +54,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from spoofscope.plans import signal  # noqa: F401
-    for mod in ("trajectory", "quality", "gps", "models", "iq", "live"):
-        try:
-            __import__(f"spoofscope.plans.{mod}")
-        except ModuleNotFoundError as e:  # plan module not written yet
-            if e.name != f"spoofscope.plans.{mod}":
-                raise
+    from spoofscope.plans import gps, iq, models, quality, signal, trajectory  # noqa: F401

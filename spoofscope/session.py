@@ -48,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that value is
-    always used.  Only when it is unset (local tests) a private folder under
-    the system temp directory is created.
+    always used.  Only when it is unset on a ``local`` master (tests) a
+    private folder under the system temp directory is created; elsewhere that
+    folder would be a different one on every machine, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,22 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="spoofscope-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -1,6 +1,6 @@
 """Every registered query against its DuckDB oracle (the driver's check, run
-locally on the smallest scale factor).  Rows-only queries (model fits,
-spectrogram) run only with SPOOFSCOPE_SLOW=1."""
+locally on the smallest scale factor).  Rows-only queries (model fits)
+run here only with SPOOFSCOPE_SLOW=1."""
 
 import os
 
@@ -15,6 +15,7 @@ ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
 # Recordings shorter than one 2048-sample segment have no spectrogram rows
 # (sf0.001 has 500 samples per recording).
 EMPTY_OK = {"spectrogram"}
+# tests/test_models.py checks what these return, at a scale that has both classes.
 
 
 @pytest.fixture(scope="module")
