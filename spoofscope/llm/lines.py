@@ -15,12 +15,17 @@ occurrences on the other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoofscope.llm.common import fresh, staged
+from spoofscope.llm.common import fresh, ship_package, staged
 
 WINDOW = 3
+#: White space of lines that count as blank.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def visible_lines(text: Column) -> Column:
@@ -48,8 +53,11 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     text are one document: each of them gets the same result.  Rows that
     share an id but not the text are different documents.
     """
-    h, key, at, seen_at, every = (fresh(docs.columns, x) for x in ("text_hash", "id_key", "covered", "lines_at", "every_line"))
-    base = docs.withColumn(h, F.xxhash64(text)).withColumn(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    ship_package(docs.sparkSession)
+    made = ("n_lines", "n_removed", "removed_at")
+    columns = [c for c in docs.columns if c not in made]
+    h, key, at = (fresh(columns, x) for x in ("text_hash", "id_key", "covered"))
+    base = docs.select(*columns).withColumn(h, F.xxhash64(text)).withColumn(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     seen = (base.select(F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(h).alias("hash"), visible_lines(F.col(text)).alias("lines"))
             .select("id", "key", "hash", F.explode(windows(F.col("lines"), size)).alias("w"))
             .select("id", "key", "hash", "w.h1", "w.h2", "w.at"))
@@ -58,15 +66,24 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     first = staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                    .filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"))
     later = seen.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    three = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.col("at") + k)
-    covered = (later.groupBy(F.col("key").alias(key), F.col("hash").alias(h))
-               .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(three)))).alias(at)))
-    places = F.transform(visible_lines(F.col(text)), lambda s: s["at"])
-    removed = F.coalesce(F.transform(F.col(at), lambda i: F.get(F.col(seen_at), i)), F.array().cast("array<int>"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), removed)
-    cleaned = F.when(F.col(at).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(every), i)), "\n"))
-    return (base.join(covered, [key, h], "left")
-            .withColumn(seen_at, places).withColumn(every, F.split(F.col(text), "\n", -1))
-            .select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns],
-                    F.coalesce(F.array_size(seen_at), F.lit(0)).cast("long").alias("n_lines"),
-                    F.array_size(removed).cast("long").alias("n_removed"), removed.alias("removed_at")))
+    covered = later.groupBy(F.col("key").alias(key), F.col("hash").alias(h)).agg(F.collect_set("at").alias(at))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, n, gone = [], [], []
+            for t, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                every = (t or "").split("\n")
+                places = [i for i, x in enumerate(every) if x.strip(BLANK)]
+                out = sorted({places[s + k] for s in starts or () for k in range(size)})
+                drop = set(out)
+                kept.append("\n".join([x for i, x in enumerate(every) if i not in drop]) if out else t)
+                n.append(len(places))
+                gone.append(out)
+            columns_ = dict(zip(rest, b.columns[2:])) | {text: pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_arrays([*[columns_[c] for c in columns], pa.array(n, pa.int64()), pa.array([len(g) for g in gone], pa.int64()),
+                                              pa.array(gone, pa.list_(pa.int32()))], names=[*columns, *made])
+
+    rest = [c for c in columns if c != text]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + "n_lines bigint, n_removed bigint, removed_at array<int>"
+    return base.join(covered, [key, h], "left").select(text, at, *rest).mapInArrow(clean, schema)
