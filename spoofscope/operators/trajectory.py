@@ -205,36 +205,12 @@ def state_dedup(df: DataFrame, subset: Sequence[str] = ("icao24", "lastposupdate
     return df.groupBy(*subset).agg(agg).select(*subset, "_last.*").select(*df.columns)
 
 
-# take-ordered merges (k x tasks) candidate rows in one task; above this many
-# the candidates are first cut down by an approximate rank cutoff.
-TOP_K_MERGE_ROWS = 20_000_000
-
-
-def history_cap(df: DataFrame, n: int = HISTORY_ROWS, arrival: str = "seq",
-                merge_rows: int = TOP_K_MERGE_ROWS, rel_error: float = 1e-5) -> DataFrame:
-    """The newest ``n`` rows by arrival (exact).
-
-    Small inputs: Spark's take-ordered (every task keeps its top n, one task
-    merges them).  When n x tasks would exceed ``merge_rows``: an approximate
-    percentile (rank error <= rel_error * N, deterministic) gives a cutoff
-    below which fewer than N - n rows can lie; only rows at or above it are
-    kept (<= n + 2 * rel_error * N), the count is verified, and those
-    candidates are coalesced to a few partitions before the take-ordered.
-    """
-    desc = F.col(arrival).desc()
-    if n * df.rdd.getNumPartitions() <= merge_rows:
-        return df.orderBy(desc).limit(n)
-    total = df.count()
-    if total <= n:
-        return df
-    q = max(0.0, (total - n - 2 * rel_error * total) / total)
-    cut = df.agg(F.percentile_approx(arrival, q, int(1 / rel_error)).alias("c")).first()["c"]
-    cand = df.filter(F.col(arrival) >= F.lit(cut))
-    n_cand = cand.count()
-    if n_cand < n:  # cannot happen within the sketch's bound; stay exact anyway
-        return df.orderBy(desc).limit(n)
-    parts = max(1, min(df.rdd.getNumPartitions(), merge_rows // max(n, 1), -(-n_cand // max(n, 1))))
-    return cand.coalesce(parts).orderBy(desc).limit(n)
+def history_cap(df: DataFrame, n: int = HISTORY_ROWS, arrival: str = "seq") -> DataFrame:
+    """The newest ``n`` rows by arrival: a top-n whose size the caller sets.
+    Every task keeps its own newest ``n`` and one task merges them, so ``n``
+    is for a bounded recent history; keep a whole one by time instead (the
+    streaming state's TTL)."""
+    return df.orderBy(F.col(arrival).desc()).limit(n)
 
 
 def trajectory_tail(df: DataFrame, points: int = TRAJECTORY_POINTS, key: str = "icao24",

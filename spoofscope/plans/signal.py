@@ -71,9 +71,9 @@ SELECT source_file, tracking_file, label,
   avg(CASE WHEN carrier_lock_test = 1 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS pll_lock_ratio,
   {_s('carr_error_hz', 'carrier_error', ['mean', 'std', 'abs_mean'])},
   cast(stddev_samp(acc_carrier_phase_rad) AS double) AS carrier_phase_std,
-  {_NULL} AS carrier_error_filt_mean, {_NULL} AS carrier_error_filt_std,
+  {_s('carr_error_filt_hz', 'carrier_error_filt', ['mean', 'std'])},
   {_s('code_error_chips', 'code_error', ['mean', 'std', 'abs_mean'])},
-  {_NULL} AS code_error_filt_mean, {_NULL} AS code_error_filt_std, {_NULL} AS code_error_filt_abs_mean,
+  {_s('code_error_filt_chips', 'code_error_filt', ['mean', 'std', 'abs_mean'])},
   {_s('code_freq_chips', 'code_freq', ['mean', 'std'])},
   {_s('_bal', 'early_late_balance', ['mean', 'std', 'median', 'min', 'max'])},
   {_s('_asym', 'early_late_asymmetry', ['mean', 'std', 'median', 'p95', 'max'])},

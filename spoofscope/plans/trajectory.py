@@ -268,10 +268,13 @@ def q_state_dedup(spark, sf_dir):
     return rounded(d.select("seq", "icao24", "time", "lastposupdate", "lat", "lon"))
 
 
+HISTORY = 5_000  # fewer rows than the sf0.01 table has
+
+
 @register("history_cap", oracle=f"""WITH {_STATES}
-SELECT seq, icao24, time FROM states ORDER BY seq DESC LIMIT {tr.HISTORY_ROWS}""")
+SELECT seq, icao24, time FROM states ORDER BY seq DESC LIMIT {HISTORY}""")
 def q_history_cap(spark, sf_dir):
-    return tr.history_cap(states(spark, sf_dir), tr.HISTORY_ROWS).select("seq", "icao24", "time")
+    return tr.history_cap(states(spark, sf_dir), HISTORY).select("seq", "icao24", "time")
 
 
 _PAL = ", ".join(f"'{c}'" for c in tr.PALETTE)

@@ -45,7 +45,7 @@ SELECT seq, snap, icao24, time, lat, lon, velocity, heading, vertrate,
        onground, spi, squawk, baroaltitude, geoaltitude, lastposupdate,
        lastcontact, callsign, origin_country, position_source, category, label
 FROM (
-  SELECT event_id AS seq,
+  SELECT 2 * event_id AS seq,
          cast(floor(event_id / 200) AS bigint) AS snap,
          CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'u' || cast(user_id AS string) END AS icao24,
          UX AS time,
@@ -74,7 +74,7 @@ FROM (
   FROM {{events}}
 ) base
 UNION ALL
-SELECT event_id + 100000000 AS seq,
+SELECT 2 * event_id + 401 AS seq,
        cast(floor(event_id / 200) AS bigint) + 1 AS snap,
        CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'u' || cast(user_id AS string) END AS icao24,
        UX + 60 AS time,
@@ -127,6 +127,8 @@ SELECT CASE l_suppkey % 4 WHEN 0 THEN 'clear_sky' WHEN 1 THEN 'spoof_1'
             ELSE cast(0 AS double) END AS carrier_lock_test,
        (l_discount - cast(0.05 AS double)) * cast(103.719237331 AS double) AS carr_error_hz,
        (l_tax - cast(0.04 AS double)) * {_DA} AS code_error_chips,
+       CASE WHEN l_linenumber = 7 THEN NULL ELSE (l_discount - cast(0.05 AS double)) * cast(51.859618665 AS double) END AS carr_error_filt_hz,
+       CASE WHEN l_linenumber = 6 THEN NULL ELSE (l_tax - cast(0.03 AS double)) * {_DA} END AS code_error_filt_chips,
        cast(l_partkey % 12000 - 6000 AS double) * {_DA} AS carrier_doppler_hz,
        cast(l_orderkey % 997 AS double) * {_DA} AS acc_carrier_phase_rad,
        cast(1023000 AS double) + cast(l_partkey % 101 - 50 AS double) * {_DA} AS code_freq_chips

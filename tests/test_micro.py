@@ -32,7 +32,7 @@ def test_window_bounds(spark, n, ids):
 
 
 def test_window_bounds_range_path(spark):
-    f = trk.signal_features(_tracking(spark, 1050), hot_rows=0)
+    f = trk.signal_features(_tracking(spark, 1050), chunk_samples=100)
     assert sorted(r["window_id"] for r in f.collect()) == [0, 1, 2, 3]
 
 
@@ -105,13 +105,12 @@ def test_iso_time(spark):
     assert got == [1704067200, 1704067200, 0, 0, 1704067200]
 
 
-@pytest.mark.parametrize("hot", [None, 0])
-def test_auc_with_ties(spark, hot):
+def test_auc_with_ties(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)],
                                "spoof_probability double, y_true int")
-    assert mt.roc_auc(df, hot_rows=hot).first()[0] == pytest.approx(0.75)
+    assert mt.roc_auc(df).first()[0] == pytest.approx(0.75)
     neg = df.withColumn("spoof_probability", -F.col("spoof_probability"))
-    assert mt.roc_auc(neg, hot_rows=hot).first()[0] == pytest.approx(0.25)
+    assert mt.roc_auc(neg).first()[0] == pytest.approx(0.25)
 
 
 def test_single_class_auc(spark):
@@ -174,13 +173,13 @@ def test_confusion_always_2x2(spark):
     assert cm == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
 
 
-@pytest.mark.parametrize("hot", [None, 0])
-def test_block_path_equals_explode_path(spark, hot):
+@pytest.mark.parametrize("chunk", [trk.CHUNK_SAMPLES, 200])
+def test_block_path_equals_explode_path(spark, chunk):
     from spoofscope.sources import adapters as ad
     rows = trk.clean_tracking(ad.tracking_raw(spark, "/root/testdata/sf0.001"))
-    idx = trk.ordered_index(rows, trk.GROUP_KEYS, ad.TRACKING_ORDER, "rn", hot_rows=hot)
+    idx = trk.numbered(rows, trk.GROUP_KEYS, ad.TRACKING_ORDER, chunk)
     a = trk.block_features(idx)                                                     # block merge
-    b = trk.window_features(trk.tracking_windows(rows, order=ad.TRACKING_ORDER, hot_rows=hot))  # explode
+    b = trk.window_features(trk.tracking_windows(rows, order=ad.TRACKING_ORDER, chunk_samples=chunk))  # explode
     key = ["source_file", "tracking_file", "prn", "window_id"]
     pa, pb = a.toPandas().sort_values(key).reset_index(drop=True), b.toPandas().sort_values(key).reset_index(drop=True)
     assert len(pa) == len(pb) > 0
@@ -192,12 +191,10 @@ def test_block_path_equals_explode_path(spark, hot):
             assert (pa[c] == pb[c]).all(), c
 
 
-def test_history_cap_cutoff_path_is_exact(spark):
-    df = spark.range(0, 200_000, numPartitions=16).withColumnRenamed("id", "seq") \
-              .withColumn("seq", (F.col("seq") * 7919) % 1_000_003)
-    want = sorted((r[0] for r in df.orderBy(F.col("seq").desc()).limit(5000).collect()), reverse=True)
-    got = tr.history_cap(df, 5000, merge_rows=1000, rel_error=1e-3)   # forces the cutoff path
-    assert sorted((r[0] for r in got.collect()), reverse=True) == want
+def test_history_cap_keeps_the_newest(spark):
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("seq"))
+    want = sorted((r.seq for r in df.collect()), reverse=True)[:5000]
+    assert sorted((r.seq for r in tr.history_cap(df, 5000).collect()), reverse=True) == want
 
 
 def test_gps_label_from_file_name_and_aliases(spark):

@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def got(spark):
+    """Results of the queries; the fits read fewer rows here, the forests are whole."""
     cache = {}
+    models.FIT_ROWS = 300
 
     def run(name):
         if name not in cache:
