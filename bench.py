@@ -6,7 +6,8 @@ collected).  Timings are steady-state: before timing, every headline query
 runs once, untimed, on the smallest scale factor (different, tiny data —
 Spark caches no results across queries), so JVM class loading, JIT and
 expression compilation are not billed to the first timed query.
-Set BENCH_WARMUP=0 to time cold starts instead.
+Set BENCH_WARMUP=0 to time cold starts instead, and BENCH_QUERIES=all for
+every query that has an oracle.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from spoofscope.plans.registry import QUERIES, load_all  # noqa: E402
+from spoofscope.plans.registry import ORACLES, QUERIES, load_all  # noqa: E402
 from spoofscope.session import get_session  # noqa: E402
 
 HEADLINE = [
@@ -37,7 +38,8 @@ def main() -> None:
     load_all()
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
-    names = only or HEADLINE
+    # "all": every query but the model fits
+    names = sorted(ORACLES) if only == ["all"] else only or HEADLINE
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if os.environ.get("BENCH_WARMUP", "1") != "0" and os.path.isdir(warm_dir):
         for q in names:
