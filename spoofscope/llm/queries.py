@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import decontaminate, licenses, lines, packing, quality, sharding, simhash, substrings, toxicity, urls
+from spoofscope.llm import decontaminate, licenses, lines, packing, quality, secrets, sharding, simhash, substrings, toxicity, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -195,3 +195,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that documents share, by similarity 0.8."""
     return substrings.shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the given patterns, and dear values in credential context."""
+    spans = F.col("spans")
+    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter(spans, lambda s: s["kind"] != "guess")
+    return secrets.found(table(spark, sf_dir, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(spans).alias("spans"))

@@ -113,13 +113,15 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark):
 
 
 def test_the_entry_works_without_the_corpus_folders(tmp_path):
-    """A copy of the repository without them imports, and keeps the other queries."""
+    """A copy of the repository without the two folders (the pipeline's file
+    stays) imports, keeps the other queries and runs one."""
     import shutil
 
-    for name in ("spoofscope", "__spark_entry__.py"):
+    for name in ("spoofscope", "__spark_entry__.py", "corpus_pipeline.py"):
         src = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name, **({"ignore": shutil.ignore_patterns("llm", "__pycache__")} if os.path.isdir(src) else {}))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'window_features' in q and not [k for k in q if k.startswith('op') or k == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
+    code += f"\nfrom spoofscope.session import get_session; assert q['corpus_counts'](get_session('local[2]', 2), {SF!r}).count()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
@@ -127,5 +129,5 @@ def test_the_entry_works_without_the_corpus_folders(tmp_path):
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op4_quality_rules", "op5_license_scan", "op8_line_dedup"}
