@@ -8,12 +8,12 @@ sys.path.insert(0, "/root/repo")
 sys.path.insert(0, "/root/repo/tests")
 
 from oracle import compare, duck  # noqa: E402
-from spoofscope.plans.registry import ORACLES, QUERIES, load_all  # noqa: E402
+import __spark_entry__  # noqa: E402
 from spoofscope.session import get_session  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 keys = sys.argv[2:]
-load_all()
+QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 spark = get_session("local[8]", 8)
 con = duck(sf)
 bad = 0
