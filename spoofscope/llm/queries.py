@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import decontaminate, licenses, lines, packing, quality, secrets, sharding, simhash, substrings, toxicity, urls
+from spoofscope.llm import decontaminate, licenses, lines, packing, prefixtree, quality, secrets, sharding, simhash, substrings, toxicity, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -206,3 +206,44 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(table(spark, sf_dir, "documents")).select(
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(spans).alias("spans"))
+
+
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+x AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, length(text) AS chars,
+    sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY part, pos)) AS key
+  FROM r
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM x GROUP BY key, d),
+e AS (
+  SELECT key, d, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends
+  FROM x JOIN (SELECT conv_id, max(d) AS d FROM x GROUP BY conv_id) USING (conv_id, d) GROUP BY key, d),
+p AS (
+  SELECT n.key, n.d, m.key AS parent_key, m.conv_id AS parent_conv_id
+  FROM n JOIN x ON x.conv_id = n.conv_id AND x.d = n.d - 1 JOIN n m ON m.key = x.key AND m.d = x.d),
+k AS (SELECT parent_key AS key, d - 1 AS d, count(*) AS n_children FROM p GROUP BY parent_key, d),
+s AS (
+  SELECT x.key, x.d, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (k.n_children IS NULL) AS leaves
+  FROM n LEFT JOIN k USING (key, d) JOIN x ON x.conv_id = n.conv_id AND x.d <= n.d GROUP BY x.key, x.d)
+SELECT n.conv_id, n.d AS depth, p.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s USING (key, d) LEFT JOIN p USING (key, d) LEFT JOIN k USING (key, d) LEFT JOIN e USING (key, d)
+"""
+
+
+@query(oracle=_TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with what storing shared turns once saves."""
+    return prefixtree.prefix_tree(table(spark, sf_dir, "conversations"))

@@ -130,4 +130,4 @@ def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
-    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op4_quality_rules", "op5_license_scan", "op8_line_dedup"}
+    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op4_quality_rules", "op5_license_scan", "op8_line_dedup", "op12_prefix_trie", "op13_hard_negatives"}
