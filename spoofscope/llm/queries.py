@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoofscope.llm import decontaminate, licenses, lines, packing, prefixtree, quality, secrets, sharding, simhash, substrings, toxicity, urls
+from spoofscope.llm import decontaminate, licenses, lines, negatives, packing, prefixtree, quality, secrets, sharding, simhash, substrings, toxicity, urls
 from spoofscope.llm.common import staged, table, text_or_empty
 
 QUERIES: dict = {}
@@ -247,3 +247,29 @@ FROM n JOIN s USING (key, d) LEFT JOIN p USING (key, d) LEFT JOIN k USING (key,
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations, with what storing shared turns once saves."""
     return prefixtree.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query(oracle=_NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its five positives, the five hardest negatives within a fifth of the positive's score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    index = negatives.indexed(table(spark, sf_dir, "embeddings"), "embedding", label)
+    return negatives.hard_negatives(index, F.col("vec_id") % 100 == 0)
