@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from spoofscope.functions.coerce import NUMERIC_TEXT, bool_flag, coerce_numeric
 from spoofscope.functions.timefmt import iso_epoch
 from spoofscope.operators import trajectory as tr
 from spoofscope.plans.registry import register, rounded
+from spoofscope.session import ensure_checkpoint_dir
 from spoofscope.sources import adapters as ad
+from spoofscope.sources.committed import BatchTables
+from spoofscope.streaming import live
 
 _RAW = ad.cte("adsb_raw", ad.ADSB_RAW)
 _NUM = lambda c: (f"CASE WHEN regexp_matches(trim({c}), '{NUMERIC_TEXT}') "
@@ -146,12 +151,53 @@ SELECT seq, icao24, time, {_DELTA_OUT}, round(p, 6) AS attack_probability, CASE
 FROM scored""")
 def q_live_predictions(spark, sf_dir):
     """The newest poll, scored over real features by a fixed formula in the model's place."""
-    f = tr.latest_snapshot(features(spark, sf_dir), "snap")
-    p = 0.6 * F.least(F.abs("delta_velocity") / 100, F.lit(1.0)) + 0.4 * F.least(F.abs("delta_heading") / 180, F.lit(1.0))
-    s = f.withColumn("attack_probability", p).withColumn("predicted_anomaly", F.when(p >= tr.ANOMALY_THRESHOLD, 1).otherwise(0))
+    s = formula_scores(tr.latest_snapshot(features(spark, sf_dir), "snap"))
     return rounded(s.select("seq", "icao24", "time", *[f"delta_{c}" for c in tr.DELTA_COLUMNS], "attack_probability", "predicted_anomaly"))
 
 
+def formula_scores(f):
+    p = 0.6 * F.least(F.abs("delta_velocity") / 100, F.lit(1.0)) + 0.4 * F.least(F.abs("delta_heading") / 180, F.lit(1.0))
+    return f.withColumn("attack_probability", p).withColumn("predicted_anomaly", F.when(p >= tr.ANOMALY_THRESHOLD, 1).otherwise(0))
+
+
+#: Batches that the committed tables of a query are made in.
+COMMITTED_BATCHES = 3
+
+
+def committed_polls(spark, sf_dir):
+    """All polls, scored and committed in a few batches of consecutive polls; the last batch is the newest poll."""
+    s = formula_scores(features(spark, sf_dir)).select("seq", "icao24", "time", "snap", "attack_probability", "predicted_anomaly").checkpoint(eager=True)
+    tables = BatchTables(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/committed-{uuid.uuid4().hex}")
+    low, high = s.agg(F.min("snap"), F.max("snap")).first()
+    if low is None:
+        live.commit_scored(tables, s, 0)
+        return tables
+    part = F.when(F.col("snap") == high, COMMITTED_BATCHES - 1).otherwise(((F.col("snap") - low) * (COMMITTED_BATCHES - 1) / F.lit(max(high - low, 1))).cast("int"))
+    for k in range(COMMITTED_BATCHES):
+        live.commit_scored(tables, s.filter(F.coalesce(part, F.lit(0)) == k), k)
+    return tables
+
+
+@register("latest_predictions", oracle=f"""WITH {_FEAT},
+scored AS (SELECT *, 0.6 * least(abs(coalesce(d_velocity, 0)) / 100, 1) + 0.4 * least(abs(coalesce(d_heading, 0)) / 180, 1) AS p
+           FROM feat WHERE snap = (SELECT max(snap) FROM feat))
+SELECT seq, icao24, time, round(p, 6) AS attack_probability, CASE WHEN p >= 0.3 THEN 1 ELSE 0 END AS predicted_anomaly FROM scored""")
+def q_latest_predictions(spark, sf_dir):
+    """The newest committed batch, named by the commit log."""
+    return rounded(committed_polls(spark, sf_dir).read("predictions").select("seq", "icao24", "time", "attack_probability", "predicted_anomaly"))
+
+
+@register("running_summary", oracle=f"""WITH {_FEAT},
+scored AS (SELECT 0.6 * least(abs(coalesce(d_velocity, 0)) / 100, 1) + 0.4 * least(abs(coalesce(d_heading, 0)) / 180, 1) AS p FROM feat)
+SELECT count(*) AS total_aircraft, cast(coalesce(sum(CASE WHEN p >= 0.3 THEN 1 ELSE 0 END), 0) AS bigint) AS predicted_anomalies,
+       round(coalesce(avg(CASE WHEN p >= 0.3 THEN 1.0 ELSE 0.0 END), 0), 6) AS anomaly_rate,
+       round(coalesce(avg(p), 0), 6) AS average_attack_probability, round(coalesce(max(p), 0), 6) AS max_attack_probability
+FROM scored""")
+def q_running_summary(spark, sf_dir):
+    """The summary of all polls, merged batch by batch."""
+    return rounded(live.running_summary(committed_polls(spark, sf_dir).read("running")))
+
+
 _RATES = ["velocity_change_rate", "heading_change_rate", "altitude_change_rate"]
 
 

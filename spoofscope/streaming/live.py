@@ -2,9 +2,9 @@
 
 Landed poll documents (one JSON file per poll) -> state rows -> keyed
 per-aircraft deltas with state (arrival order, late rows flagged) -> features
--> scoring of the newest poll and per-batch sinks.  Sinks are written per micro-batch id, so a replayed
-batch overwrites its own output (idempotent); progress lives in the query's
-checkpoint location on shared storage.
+-> scoring of the newest poll and per-batch sinks.  A micro-batch's tables
+become visible by one commit, and a replayed batch changes nothing; progress
+lives in the query's checkpoint location on shared storage.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spoofscope.operators import metrics as mt
 from spoofscope.operators import trajectory as tr
 from spoofscope.session import ship_package
+from spoofscope.sources.committed import BatchTables
 
 SNAPSHOT_SCHEMA = "value STRING"
 DEDUP_KEYS = ["icao24", "lastposupdate", "lat", "lon"]
@@ -167,20 +168,57 @@ def score_newest(features: DataFrame, model=None, threshold: float = tr.ANOMALY_
     return scored.withColumn("predicted_anomaly", F.when(F.col("attack_probability") >= threshold, 1).otherwise(0))
 
 
+RUNNING_TOP = 20
+
+
+def summary_partial(scored: DataFrame) -> DataFrame:
+    """One row that sums up scored rows, and can be merged with others."""
+    p = F.col("attack_probability")
+    return scored.agg(F.count(F.lit(1)).alias("total_aircraft"), F.coalesce(F.sum("predicted_anomaly"), F.lit(0)).cast("bigint").alias("predicted_anomalies"),
+                      F.count(p).alias("n_probabilities"), F.coalesce(F.sum(p), F.lit(0.0)).alias("probability_sum"), F.max(p).alias("probability_max"))
+
+
+def merged_summary(partials: DataFrame) -> DataFrame:
+    """Any number of ``summary_partial`` rows as one."""
+    sums = ("total_aircraft", "predicted_anomalies", "n_probabilities", "probability_sum")
+    return partials.agg(*[F.sum(c).alias(c) for c in sums], F.max("probability_max").alias("probability_max"))
+
+
+def running_summary(partial: DataFrame) -> DataFrame:
+    """The columns of ``prediction_summary`` from one merged row."""
+    share = lambda c, n: F.coalesce(F.col(c).cast("double") / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
+    return partial.select("total_aircraft", "predicted_anomalies", share("predicted_anomalies", "total_aircraft").alias("anomaly_rate"),
+                          share("probability_sum", "n_probabilities").alias("average_attack_probability"),
+                          F.coalesce("probability_max", F.lit(0.0)).alias("max_attack_probability"))
+
+
+def commit_scored(tables: BatchTables, scored: DataFrame, batch_id: int, high_risk: float = tr.HIGH_RISK_THRESHOLD, top: int = RUNNING_TOP) -> bool:
+    """X6-X8: one batch's predictions, alerts and summary, and the running
+    summary and the ``top`` most suspicious reports of all batches so far,
+    committed together.  The running tables are those of the batch before,
+    merged with this batch's part, so they cost the same at every length of
+    the stream; a replayed batch is not counted twice."""
+    ranked = ["seq", "icao24", "attack_probability", "predicted_anomaly"]
+    running, best = summary_partial(scored), scored.select(*ranked)
+    before = tables.newest(batch_id)
+    if before is not None:
+        running = running.unionByName(tables.read("running", before))
+        best = best.unionByName(tables.read("running_top", before))
+    return tables.commit(batch_id, {
+        "predictions": scored, "alerts": tr.high_risk(scored, high_risk),
+        "summary": mt.prediction_summary(scored).withColumn("batch_id", F.lit(batch_id)),
+        "running": merged_summary(running), "running_top": mt.top_predictions(best, n=top, tie=("icao24", "seq"))})
+
+
 def live_batch_writer(out_dir: str, model=None, threshold: float = tr.ANOMALY_THRESHOLD,
                       high_risk: float = tr.HIGH_RISK_THRESHOLD):
     """X5-X8 in ``foreachBatch`` over a stream of ``live_features``: score the
-    newest poll once, then write its predictions (features included),
-    high-risk alerts and summary under ``batch_id=N`` (overwrite: replays are
-    idempotent)."""
+    newest poll once, then commit its tables (``commit_scored``) under
+    ``out_dir``, from which ``readers.read_predictions`` takes the newest."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        base = out_dir.rstrip("/")
-        scored = score_newest(batch, model, threshold).persist()  # three sinks read it
+        scored = score_newest(batch, model, threshold).persist()  # several tables read it
         try:
-            scored.write.mode("overwrite").parquet(f"{base}/predictions/batch_id={batch_id}")
-            tr.high_risk(scored, high_risk).write.mode("overwrite").parquet(f"{base}/alerts/batch_id={batch_id}")
-            mt.prediction_summary(scored).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("overwrite").parquet(f"{base}/summary/batch_id={batch_id}")
+            commit_scored(BatchTables(batch.sparkSession, out_dir), scored, batch_id, high_risk)
         finally:
             scored.unpersist()
     return write
