@@ -1,10 +1,11 @@
 """Raw IQ statistics, quality checks, histograms and spectra.
 
-Samples are rows ``(source, idx, i, q)``.  Statistics are single aggregates;
-spectra cut each recording into overlapping fixed-length segments (each
-sample is emitted into the ``ceil(nperseg/hop)`` segments that contain it, a
-narrow explode), gather one bounded segment per group, transform segments
-with a vectorised NumPy FFT in a pandas UDF and average per frequency bin.
+Samples are rows ``(source, idx, i, q)``.  Statistics are single aggregates.
+For spectra, samples are packed into binary blocks of one hop inside the task
+that reads them; only blocks are shuffled.  A span of consecutive blocks, with
+the few of the next span that its last segments reach into, is one bounded
+group: its overlapping segments are transformed together by a NumPy FFT, and
+for the PSD summed per frequency bin before they leave the task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spoofscope.session import ship_package
 
@@ -146,35 +146,95 @@ def tukey_periodic(n: int, alpha: float = 0.25) -> np.ndarray:
     return w[:n]
 
 
-def segments(df: DataFrame, nperseg: int, hop: int, keys=("source",)) -> DataFrame:
-    """Full segments of ``nperseg`` samples starting every ``hop``: one row
-    per (recording, segment) with the I and Q arrays in sample order."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    copies = math.ceil(nperseg / hop)
-    last = F.floor(F.col("idx") / hop)
-    segs = F.filter(F.sequence(last - (copies - 1), last),
-                    lambda s: (s >= 0) & (F.col("idx") < s * hop + nperseg))
-    x = (df.join(n, list(keys))
-           .withColumn("seg", F.explode(segs))
-           .filter(F.col("seg") * hop + nperseg <= F.col("_n")))
-    g = x.groupBy(*keys, "seg").agg(
-        F.sort_array(F.collect_list(F.struct("idx", F.col("i").cast("double").alias("i"),
-                                             F.col("q").cast("double").alias("q")))).alias("_s"))
-    return g.select(*keys, "seg", F.col("_s.i").alias("si"), F.col("_s.q").alias("sq"))
-
-
-def _periodogram_udf(window: np.ndarray, fs: float):
-    scale = 1.0 / (fs * float(np.sum(window ** 2)))
+#: Blocks of a span, which is one task's unit of work: 64 x 2,048 samples by default.
+SPAN_BLOCKS = 64
+_PACKED = {"tinyint": "<i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4"}
+
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def periodogram(si: pd.Series, sq: pd.Series) -> pd.Series:
-        x = np.stack(si.to_numpy()) + 1j * np.stack(sq.to_numpy())
-        x = x - x.mean(axis=1, keepdims=True)          # constant detrend
-        spec = np.fft.fft(x * window[None, :], axis=1)
-        p = (spec.real ** 2 + spec.imag ** 2) * scale
-        return pd.Series(list(p))
+def packed_blocks(df: DataFrame, block: int, keys=("source",)) -> DataFrame:
+    """Rows of samples -> keys, block, at, i, q: the samples of a block that
+    came in one Arrow batch, as binary arrays; at: their places in the block
+    (int32), or just the first place when they are consecutive.
 
-    return periodogram
+    A block is one row, or two where it lies across batches, when samples
+    come in order; in any other order it is more rows, not another result.
+    Samples with a NULL in idx, i or q are passed over.
+    """
+    ship_package(df.sparkSession)
+    kinds = dict(df.dtypes)
+    forms = {c: _PACKED.get(kinds[c], "<f8") for c in ("i", "q")}
+    names = [*keys, "block", "at", "i", "q"]
+
+    def pack(batches):
+        for b in batches:
+            rows = b.dropna(subset=["idx", "i", "q"])
+            rows = rows.assign(block=rows["idx"] // block).sort_values("idx", kind="stable")
+            out = []
+            for key, g in rows.groupby([*keys, "block"], sort=False, dropna=False):
+                at = (g["idx"].to_numpy() % block).astype("<i4")
+                if len(at) == at[-1] - at[0] + 1 and (np.diff(at) == 1).all():
+                    at = at[:1]
+                out.append((*[None if pd.isna(k) else k for k in key], at.tobytes(), *[g[c].to_numpy().astype(forms[c]).tobytes() for c in ("i", "q")]))
+            if out:
+                yield _frame(out, names)
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "block bigint", "at binary", "i binary", "q binary"])
+    return df.select(*keys, F.col("idx").cast("bigint").alias("idx"), "i", "q").mapInPandas(pack, schema)
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Plain objects, so that no column gets a type of its own when it is empty."""
+    return pd.DataFrame({c: pd.Series([r[j] for r in rows], dtype=object) for j, c in enumerate(names)})
+
+
+def _complex(rows: pd.DataFrame, first: int, blocks: int, block: int, forms: dict) -> np.ndarray:
+    """The samples of consecutive blocks; NaN where there is none."""
+    x = np.full(blocks * block, np.nan + 0j)
+    for b, at, i, q in zip(rows["block"], rows["at"], rows["i"], rows["q"]):
+        z = np.frombuffer(i, forms["i"]).astype(float) + 1j * np.frombuffer(q, forms["q"]).astype(float)
+        places = np.frombuffer(at, "<i4")
+        if len(places) < len(z):
+            places = places[0] + np.arange(len(z))
+        x[(b - first) * block + places] = z
+    return x
+
+
+def periodograms(df: DataFrame, window: np.ndarray, hop: int, fs: float, keys=("source",), summed: bool = False) -> DataFrame:
+    """keys, seg, n, power: the power of every full segment (``len(window)``
+    samples from ``seg * hop`` on; constant detrend, density scaling) as an
+    array over the raw FFT bins; or, ``summed``, one row per span with the sum
+    of its ``n`` segments.  Segments with a missing sample are not full."""
+    nperseg, kinds = len(window), dict(df.dtypes)
+    forms = {c: _PACKED.get(kinds[c], "<f8") for c in ("i", "q")}
+    reach = math.ceil(nperseg / hop) - 1  # blocks after its first that a segment needs
+    scale = 1.0 / (fs * float(np.sum(window ** 2)))
+    spans = F.array_distinct(F.array(F.floor(F.col("block") / SPAN_BLOCKS), F.floor((F.col("block") - reach) / SPAN_BLOCKS)))
+    if reach > SPAN_BLOCKS:
+        raise ValueError(f"a segment spans more than {SPAN_BLOCKS} hops")
+    blocks = packed_blocks(df, hop, keys).withColumn("span", F.explode(spans)).filter("span >= 0")
+
+    def transform(rows: pd.DataFrame) -> pd.DataFrame:
+        first = int(rows["span"].iloc[0]) * SPAN_BLOCKS
+        x = _complex(rows, first, SPAN_BLOCKS + reach, hop, forms)
+        held = np.concatenate([[0], np.cumsum(~np.isnan(x.real))])
+        starts = np.arange(SPAN_BLOCKS) * hop
+        starts = starts[held[starts + nperseg] - held[starts] == nperseg] if nperseg <= len(x) else starts[:0]
+        total, n, out = np.zeros(nperseg), 0, []
+        for part in np.array_split(starts, -(-len(starts) // 16) or 1):  # some at a time
+            z = x[part[:, None] + np.arange(nperseg)]
+            spec = np.fft.fft((z - z.mean(axis=1, keepdims=True)) * window[None, :], axis=1) if len(part) else z
+            power = (spec.real ** 2 + spec.imag ** 2) * scale
+            if summed:
+                total, n = total + power.sum(axis=0), n + len(part)
+            else:
+                out += [(first + s // hop, 1, p) for s, p in zip(part.tolist(), power)]
+        if summed and n:
+            out = [(first, n, total)]
+        own = [rows[k].iloc[0] for k in keys]
+        return _frame([(*own, *r) for r in out], [*keys, "seg", "n", "power"])
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "seg bigint", "n bigint", "power array<double>"])
+    return blocks.groupBy(*keys, "span").applyInPandas(transform, schema)
 
 
 def _freq_axis(nperseg: int, fs: float) -> Column:
@@ -186,12 +246,9 @@ def welch_psd(df: DataFrame, nperseg: int = PSD_NPERSEG, hop: int | None = None,
               keys=("source",)) -> DataFrame:
     """Two-sided Welch PSD (periodic Hann, constant detrend, density
     scaling), averaged over segments, in dB, frequency-ordered (shifted)."""
-    ship_package(df.sparkSession)
-    hop = hop or nperseg // 2
-    seg = segments(df, nperseg, hop, keys)
-    pg = _periodogram_udf(hann_periodic(nperseg), fs)
-    p = seg.select(*keys, "seg", F.posexplode(pg("si", "sq")).alias("k", "p"))
-    avg = p.groupBy(*keys, "k").agg(F.avg("p").alias("psd"))
+    sums = periodograms(df, hann_periodic(nperseg), hop or nperseg // 2, fs, keys, summed=True)
+    p = sums.select(*keys, "n", F.posexplode("power").alias("k", "p"))
+    avg = p.groupBy(*keys, "k").agg((F.sum("p") / F.sum("n")).alias("psd"))
     return avg.select(*keys, ((F.col("k") + nperseg // 2) % nperseg).cast("int").alias("freq_index"),
                       _freq_axis(nperseg, fs).alias("freq_hz"),
                       (F.lit(10.0) * F.log10(F.col("psd") + F.lit(DB_FLOOR))).alias("psd_db"))
@@ -201,11 +258,9 @@ def spectrogram(df: DataFrame, nperseg: int = SPEC_NPERSEG, overlap: int = SPEC_
                 keys=("source",)) -> DataFrame:
     """Per segment and frequency: PSD in dB (periodic Tukey 0.25 window,
     constant detrend, density scaling); ``time_s`` is the segment centre."""
-    ship_package(df.sparkSession)
     hop = nperseg - overlap
-    seg = segments(df, nperseg, hop, keys)
-    pg = _periodogram_udf(tukey_periodic(nperseg), fs)
-    p = seg.select(*keys, "seg", F.posexplode(pg("si", "sq")).alias("k", "p"))
+    each = periodograms(df, tukey_periodic(nperseg), hop, fs, keys)
+    p = each.select(*keys, "seg", F.posexplode("power").alias("k", "p"))
     return p.select(*keys, "seg", ((F.col("seg") * hop + nperseg / 2) / F.lit(fs)).alias("time_s"),
                     ((F.col("k") + nperseg // 2) % nperseg).cast("int").alias("freq_index"),
                     _freq_axis(nperseg, fs).alias("freq_hz"),

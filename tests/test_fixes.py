@@ -75,7 +75,7 @@ def test_histogram_and_spectrogram_read_whole_recordings(spark):
     df = spark.range(350_000).select(F.lit("s").alias("source"), F.col("id").alias("idx"), (F.col("id") % 100).cast("smallint").alias("i"),
                                      F.lit(1).cast("smallint").alias("q"))
     assert iq.iq_histogram(df).agg(F.sum("n")).first()[0] == 350_000
-    segs = iq.segments(df, iq.SPEC_NPERSEG, iq.SPEC_NPERSEG - iq.SPEC_OVERLAP)
+    segs = iq.periodograms(df, iq.tukey_periodic(iq.SPEC_NPERSEG), iq.SPEC_NPERSEG - iq.SPEC_OVERLAP, iq.FS)
     assert segs.agg(F.max("seg")).first()[0] == (350_000 - 2048) // 1024
 
 
