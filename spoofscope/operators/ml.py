@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import metrics as mt
-from spoofscope.operators.ordered import ordered_index, running
+from spoofscope.operators.ordered import ordered_index
 
 # The forest configuration and validation scheme.
 N_TREES = 300
@@ -112,14 +112,38 @@ def forest_pipeline(features: Sequence[str], label: str = "y", weight: str | Non
     return Pipeline(stages=stages)
 
 
-def fit_rows(train: DataFrame, group: str, most: int, seed: int = SEED) -> DataFrame:
-    """At most ``most`` rows to fit on: whole groups in md5 order, up to the
-    bound.  Nothing else but the fit is bounded: scores, metrics and weights'
-    classes come from all rows of the table they are given."""
-    sizes = train.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", group_order_key("_g", seed))
-    upto = running(sizes, [], ["_h", "_g"], F.substring("_h", 1, 3), F.col("_n"), "_before")
-    kept = upto.filter((F.col("_before") == 0) | (F.col("_before") + F.col("_n") <= most)).select("_g")
-    return train.join(kept, F.col(group) == F.col("_g"), "left_semi")
+def fit_rows(train: DataFrame, group: str, most: int, label: str = "y", key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
+    """At most ``most`` rows to fit on, from every class and, as far as the
+    bound allows, every group.
+
+    Each class gets the same share of ``most``; within a class every group
+    gives its first rows by a hash of ``key`` (all columns, unless given), up
+    to the highest number per group that keeps the class within its share.
+    With more groups than rows in the share, that many groups give a row
+    each.  A row that repeats with its key counts once.  Nothing else but the
+    fit is bounded: scores and metrics come from all rows.
+
+    Only hashes are shuffled, ``most`` per group and task at most; the hashes
+    that stay (``most`` of them) are broadcast to the rows.
+    """
+    cols = list(key or train.columns)
+    mark = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed))))
+    rows = train.select(F.col(label).alias("_y"), F.col(group).alias("_g"), mark.alias("_h")).distinct()
+    sizes = rows.groupBy("_y", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    by_size = sizes.groupBy("_y", "_n").agg(F.count(F.lit(1)).alias("_m"))  # a row per class and distinct size
+    rising = Window.partitionBy("_y").orderBy("_n")
+    filled = by_size.select("_y", "_n", F.coalesce(F.sum(F.col("_n") * F.col("_m")).over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
+                            F.sum("_m").over(rising.rowsBetween(0, Window.unboundedFollowing)).alias("_rest"))
+    share = sizes.agg(F.floor(F.lit(most) / F.countDistinct("_y")).alias("_share"), F.lit(1).alias("_one"))
+    over = (filled.withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one").filter(F.col("_below") + F.col("_rest") * F.col("_n") > F.col("_share"))  # one row
+            .groupBy("_y").agg(F.min_by(F.floor((F.col("_share") - F.col("_below")) / F.col("_rest")), "_n").alias("_level"), F.first("_share").alias("_share")))
+    first = Window.partitionBy("_y", "_g").orderBy("_h")
+    ranked = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most)
+    picked = ranked.join(F.broadcast(over), "_y", "left")  # a row per class
+    some = picked.filter((F.col("_level") > 0) & (F.col("_r") <= F.col("_level")) | F.col("_level").isNull()).select("_h")
+    lone = (picked.filter((F.col("_level") == 0) & (F.col("_r") == 1))
+            .withColumn("_k", F.row_number().over(Window.partitionBy("_y").orderBy("_h"))).filter((F.col("_k") <= most) & (F.col("_k") <= F.col("_share"))).select("_h"))
+    return train.withColumn("_h", mark).join(F.broadcast(some.union(lone)), "_h", "left_semi").drop("_h")  # ``most`` hashes
 
 
 def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
@@ -134,8 +158,9 @@ def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
           prob_col: str = "spoof_probability") -> DataFrame:
-    """Probability of class 1 and ``y_pred = p >= threshold``."""
-    s = model.transform(df).withColumn(prob_col, vector_to_array("probability")[1])
+    """Probability of class 1 and ``y_pred = p >= threshold``.  A model that
+    never saw class 1 gives 0."""
+    s = model.transform(df).withColumn(prob_col, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
     return s.withColumn("y_pred", F.when(F.col(prob_col) >= threshold, 1).otherwise(0)) \
             .drop("features", "rawPrediction", "probability", "prediction")
 

@@ -7,6 +7,9 @@ forest is not bit-identical to any other implementation.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,12 @@ from spoofscope.plans import signal as sig
 from spoofscope.plans import trajectory as trp
 from spoofscope.plans.registry import register, rounded
 from spoofscope.sources import adapters as ad
+from spoofscope.sources import readers as rd
 
-#: Rows that a forest is fitted on, at most (whole groups, see ``ml.fit_rows``).
+#: Rows that a forest is fitted on, at most (of every class and group, see ``ml.fit_rows``).
 FIT_ROWS = 2_000
+#: What names a window, for the sample to fit on.
+WINDOW_KEY = ["source_file", "tracking_file", "prn", "window_id"]
 N_EMB = 64
 EMB_FEATURES = [f"e{i}" for i in range(N_EMB)]
 
@@ -80,45 +86,74 @@ def q_holdout_fold(spark, sf_dir):
     return rounded(ml.holdout_fold(summary, rows.count()))
 
 
+#: Bound of the registered sample, small enough to bite on every table.
+SAMPLE_ROWS = 200
+
+
+@register("fit_sample", oracle=f"""WITH r AS (
+  SELECT vec_id AS seq, vec_id % 20 AS group_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, md5(cast(vec_id AS varchar) || ':42') AS h FROM embeddings),
+s AS (SELECT y, group_id, count(*) AS n FROM r GROUP BY y, group_id),
+per AS (SELECT y, n, count(*) AS m FROM s GROUP BY y, n),
+f AS (SELECT y, n, coalesce(sum(n * m) OVER (PARTITION BY y ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(m) OVER (PARTITION BY y ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM per),
+l AS (SELECT y, arg_min(floor((share - below) / rest), n) AS most
+      FROM f, (SELECT {SAMPLE_ROWS} // count(DISTINCT y) AS share FROM r) WHERE below + rest * n > share GROUP BY y),
+k AS (SELECT *, row_number() OVER (PARTITION BY y, group_id ORDER BY h) AS rk FROM r)
+SELECT y, group_id, count(*) AS n_rows, cast(sum(seq) AS bigint) AS seq_sum
+FROM k LEFT JOIN l USING (y) WHERE rk <= most OR most IS NULL GROUP BY y, group_id""")
+def q_fit_sample(spark, sf_dir):
+    """What a model is fitted on: rows of every class and group within a bound."""
+    rows = ml.fit_rows(ml_rows(spark, sf_dir), "group_id", SAMPLE_ROWS, key=["seq"])
+    return rows.groupBy("y", "group_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("seq").alias("seq_sum"))
+
+
 # -------------------------------------------------------- model fits (R)
 _FITTED: dict = {}
 
 
-def once(name: str, spark, sf_dir: str, make):
-    """One fit serves every query of an application that reports on it; its
-    scored rows are in the checkpoint folder."""
-    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
+def once(name: str, spark, sf_dir: str, source: str, make):
+    """One fit serves every query of an application that reports on it, for
+    as long as the files of its ``source`` table are the same; its scored
+    rows are in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, name, rd.file_versions(spark, f"{sf_dir.rstrip('/')}/{source}.parquet"))
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]
 
 
-def fitted(train: DataFrame, group: str, features, label: str = "y", impute: bool = False):
+def fitted(train: DataFrame, group: str, features, label: str = "y", impute: bool = False, key=None):
     """The forest (300 trees of depth 30) on at most ``FIT_ROWS`` training
     rows, class-balanced by the weights of those rows."""
-    rows = ml.class_balanced_weights(ml.fit_rows(train, group, FIT_ROWS), label)
+    rows = ml.class_balanced_weights(ml.fit_rows(train, group, FIT_ROWS, label, key), label)
     return ml.forest_pipeline(features, label, impute=impute).fit(rows)
 
 
+#: Folds that are fitted at the same time.
+FITS_AT_ONCE = 4
+
+
 def cross_validate(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
-                   threshold: float = 0.5):
-    """Fit and score one forest per fold; returns (cv table, folds)."""
+                   threshold: float = 0.5, key=None):
+    """Fit and score one forest per fold, several folds at a time; returns
+    (cv table, folds)."""
     # k fits reuse the rows: materialise them once (reliable checkpoint, so
     # a lost executor does not force recomputing the feature pipeline)
     rows = rows.checkpoint(eager=True)
     folds = ml.stratified_group_folds(rows, group, label)
     summary = ml.fold_table(rows, folds, group, label)
     j = rows.join(folds.select(group, "fold"), group)
-    out = []
-    k = folds.agg(F.max("fold")).first()[0]
-    for f in range(1, k + 1):
-        train, test = j.filter(F.col("fold") != f), j.filter(F.col("fold") == f)
-        ev = ml.evaluate(ml.score(fitted(train, group, features, label, impute), test, threshold), label)
-        out.append(ev.select(F.lit(f).alias("fold"), "accuracy", F.col("f1"), "roc_auc"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return summary.join(res, "fold"), folds
+
+    def one(f: int):
+        model = fitted(j.filter(F.col("fold") != f), group, features, label, impute, key)
+        r = ml.evaluate(ml.score(model, j.filter(F.col("fold") == f), threshold), label).first()  # a row of metrics
+        return f, r["accuracy"], r["f1"], r["roc_auc"]
+
+    k = folds.agg(F.max("fold")).first()[0] or 0
+    spark = rows.sparkSession
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(one), f) for f in range(1, k + 1)]
+        found = [r.result() for r in runs]
+    return summary.join(spark.createDataFrame(found, "fold int, accuracy double, f1 double, roc_auc double"), "fold"), folds
 
 
 @register("fold_table", oracle=f"""WITH {_FOLDS},
@@ -134,7 +169,8 @@ def q_fold_table(spark, sf_dir):
 
 
 def embedding_cv(spark, sf_dir) -> DataFrame:
-    return once("cv", spark, sf_dir, lambda: cross_validate(ml_rows(spark, sf_dir), "group_id", EMB_FEATURES)[0].checkpoint(eager=True))
+    return once("cv", spark, sf_dir, "embeddings",
+                lambda: cross_validate(ml_rows(spark, sf_dir), "group_id", EMB_FEATURES, key=["seq"])[0].checkpoint(eager=True))
 
 
 @register("cv_results")
@@ -166,10 +202,10 @@ def holdout_split(rows: DataFrame, group: str, label: str = "y") -> tuple[DataFr
 
 
 def holdout_model(rows: DataFrame, group: str, features, label: str = "y", impute: bool = False,
-                  threshold: float = 0.5):
+                  threshold: float = 0.5, key=None):
     """Model, training rows and the scored test rows, written once: metrics and reports read the same scores."""
     train, test = holdout_split(rows, group, label)
-    model = fitted(train, group, features, label, impute)
+    model = fitted(train, group, features, label, impute, key)
     return model, train, ml.score(model, test, threshold).checkpoint(eager=True)
 
 
@@ -198,8 +234,8 @@ def signal_holdout(spark, sf_dir):
     def make():
         rows = signal_rows(spark, sf_dir)
         feats = ml.usable_features(rows, trk.FEATURE_COLUMNS)
-        return (*holdout_model(rows, "group_id", feats, impute=True, threshold=0.5), feats)
-    return once("signal", spark, sf_dir, make)
+        return (*holdout_model(rows, "group_id", feats, impute=True, threshold=0.5, key=WINDOW_KEY), feats)
+    return once("signal", spark, sf_dir, "lineitem", make)
 
 
 @register("train_signal")
@@ -247,9 +283,9 @@ def trajectory_holdout(spark, sf_dir):
     def make():
         split = ml.group_split(trajectory_rows(spark, sf_dir), "group_id").checkpoint(eager=True)
         train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-        model = fitted(train, "group_id", tr.MODEL_FEATURES)
+        model = fitted(train, "group_id", tr.MODEL_FEATURES, key=["seq"])
         return model, train, ml.score(model, test, tr.ANOMALY_THRESHOLD).checkpoint(eager=True)
-    return once("trajectory", spark, sf_dir, make)
+    return once("trajectory", spark, sf_dir, "events", make)
 
 
 @register("train_trajectory")

@@ -14,6 +14,7 @@ from spoofscope.plans.registry import register, rounded
 from spoofscope.session import ensure_checkpoint_dir
 from spoofscope.sources import adapters as ad
 from spoofscope.sources.committed import BatchTables
+from spoofscope.sources.history import History
 from spoofscope.streaming import live
 
 _RAW = ad.cte("adsb_raw", ad.ADSB_RAW)
@@ -412,15 +413,33 @@ def q_null_profile(spark, sf_dir):
     return null_profile(states(spark, sf_dir), _PROFILE_COLS)
 
 
-@register("history_append", oracle=f"""WITH {_STATES},
+_HISTORY_SQL = f"""WITH {_STATES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY icao24, lastposupdate, lat, lon ORDER BY seq DESC) AS rk
            FROM states)
-SELECT icao24, count(*) AS n_rows, max(seq) AS last_seq FROM ranked WHERE rk = 1 GROUP BY icao24""")
+SELECT icao24, count(*) AS n_rows, max(seq) AS last_seq FROM ranked WHERE rk = 1 GROUP BY icao24"""
+
+
+@register("history_append", oracle=_HISTORY_SQL)
 def q_history_append(spark, sf_dir):
-    """History (older polls) + newest poll, then keep-last dedup."""
+    """History (all but the newest poll) + newest poll, then keep-last dedup."""
     s = states(spark, sf_dir)
-    newest = s.agg(F.max("snap")).first()[0]  # one scalar
-    hist = s.filter(F.col("snap") < F.lit(newest))
-    new = s.filter(F.col("snap") == F.lit(newest))
-    d = tr.state_dedup(hist.unionByName(new))
+    newest = F.broadcast(s.agg(F.max("snap").alias("_newest")))  # one row
+    polls = [s.join(newest, F.col("snap") == F.col("_newest"), how) for how in ("left_anti", "left_semi")]
+    d = tr.state_dedup(polls[0].unionByName(polls[1]))
     return d.groupBy("icao24").agg(F.count(F.lit(1)).alias("n_rows"), F.max("seq").alias("last_seq"))
+
+
+#: Appends that the history of a query is made in.
+HISTORY_APPENDS = 4
+
+
+@register("history_table", oracle=_HISTORY_SQL)
+def q_history_table(spark, sf_dir):
+    """The appendable history after a few appends of consecutive polls."""
+    s = states(spark, sf_dir).checkpoint(eager=True)
+    low, high = s.agg(F.min("snap"), F.max("snap")).first()
+    part = F.floor((F.col("snap") - (low or 0)) * HISTORY_APPENDS / F.lit((high or 0) - (low or 0) + 1))
+    table = History(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", buckets=16)
+    for k in range(HISTORY_APPENDS):
+        table.append(s.filter(F.coalesce(part, F.lit(0)) == k), k)
+    return table.read().groupBy("icao24").agg(F.count(F.lit(1)).alias("n_rows"), F.max("seq").alias("last_seq"))

@@ -27,7 +27,7 @@ class BatchTables:
         self._at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifest(self, batch_id: int) -> dict | None:
+    def manifest(self, batch_id: int) -> dict | None:
         """The batch's manifest; None without one, or if it is not whole."""
         at = self._at(_LOG, f"{batch_id:020d}.json")
         if not self._fs.exists(at):
@@ -47,36 +47,40 @@ class BatchTables:
 
     def newest(self, before: int | None = None) -> int | None:
         """The newest whole batch (of those before ``before``)."""
-        return next((b for b in reversed(self.batches()) if (before is None or b < before) and self._manifest(b)), None)
+        return next((b for b in reversed(self.batches()) if (before is None or b < before) and self.manifest(b)), None)
 
     def commit(self, batch_id: int, tables: dict[str, DataFrame]) -> bool:
         """Write the batch's tables and make them visible at once.  False, and
         nothing written, if the batch is there already (a replay)."""
-        if self._manifest(batch_id):
+        if self.manifest(batch_id):
             return False
         folders = {}
         for name, df in tables.items():
             folder = f"{name}/batch_id={batch_id}/attempt={uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{folder}")
             folders[name] = {"folder": folder, "schema": df.schema.json()}
+        self.publish(batch_id, {"tables": folders})
+        return True
+
+    def publish(self, batch_id: int, entries: dict) -> None:
+        """Put the batch's manifest in place, whole or not at all."""
         draft, final = self._at(_LOG, f".{uuid.uuid4().hex}"), self._at(_LOG, f"{batch_id:020d}.json")
         out = self._fs.create(draft, True)
         try:
-            out.write(json.dumps({"batch_id": batch_id, "tables": folders, "whole": True}).encode())
+            out.write(json.dumps({"batch_id": batch_id, **entries, "whole": True}).encode())
         finally:
             out.close()
         if self._fs.exists(final):  # a manifest that was not whole
             self._fs.delete(final, False)
         if not self._fs.rename(draft, final):
             raise OSError(f"batch {batch_id} could not be committed under {self.path}")
-        return True
 
     def read(self, table: str, batch_id: int | None = None) -> DataFrame | None:
         """One batch's rows: the newest whole batch unless ``batch_id`` names
         another; None if there is none."""
         batch_id = self.newest() if batch_id is None else batch_id
-        found = self._manifest(batch_id) if batch_id is not None else None
-        if not found or table not in found["tables"]:
+        found = self.manifest(batch_id) if batch_id is not None else None
+        if not found or table not in found.get("tables", {}):
             return None
         entry = found["tables"][table]
         return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(f"{self.path}/{entry['folder']}")
@@ -85,7 +89,7 @@ class BatchTables:
         """Drop all but the newest ``keep`` whole batches, and what older
         batches left behind; the dropped ids.  Manifests go first, so no
         reader finds a batch without its files."""
-        whole = [b for b in self.batches() if self._manifest(b)]
+        whole = [b for b in self.batches() if self.manifest(b)]
         gone, kept = whole[:-keep] if keep else whole, whole[-keep:] if keep else []
         for b in gone:
             self._fs.delete(self._at(_LOG, f"{b:020d}.json"), False)

@@ -164,7 +164,7 @@ def score_newest(features: DataFrame, model=None, threshold: float = tr.ANOMALY_
         from pyspark.ml.functions import vector_to_array
         own = [c for c in newest.columns if c not in tr.MODEL_FEATURES]
         kept = model.transform(tr.model_input(newest, keep=own))
-        scored = kept.withColumn("attack_probability", vector_to_array("probability")[1]).select(*own, *tr.MODEL_FEATURES, "attack_probability")
+        scored = kept.withColumn("attack_probability", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))).select(*own, *tr.MODEL_FEATURES, "attack_probability")
     return scored.withColumn("predicted_anomaly", F.when(F.col("attack_probability") >= threshold, 1).otherwise(0))
 
 

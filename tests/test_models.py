@@ -64,17 +64,66 @@ def test_importance(got):
     assert 0 < len(i) <= 20 and i.importance.is_monotonic_decreasing and i.description.str.len().min() > 0
 
 
+def sampled(spark, groups, most):
+    """groups: (group, class, rows); (class, group) -> rows of the sample."""
+    rows = spark.createDataFrame([(g, y, k) for g, y, n in groups for k in range(n)], "group_id int, y int, k int")
+    fit = ml.fit_rows(rows, "group_id", most)
+    assert fit.columns == rows.columns and fit.count() <= most and fit.distinct().count() == fit.count()
+    return {(r.y, r.group_id): r["count"] for r in fit.groupBy("y", "group_id").count().collect()}
+
+
+def test_the_fit_sample_holds_both_classes_and_all_groups(spark):
+    # groups of one class each, one of them or all larger than the bound
+    assert sampled(spark, [(0, 0, 3000), (1, 1, 3000)], 500) == {(0, 0): 250, (1, 1): 250}
+    assert sampled(spark, [(0, 0, 40), (1, 0, 900), (2, 0, 900), (3, 1, 5)], 600) == {(0, 0): 40, (0, 1): 130, (0, 2): 130, (1, 3): 5}
+    six = sampled(spark, [(g, g % 2, 1014) for g in range(6)], 2000)
+    assert set(six) == {(g % 2, g) for g in range(6)} and set(six.values()) == {333}
+    # within the bound all rows stay; with more groups than rows, as many groups as fit
+    assert sampled(spark, [(0, 0, 30), (1, 1, 20)], 2000) == {(0, 0): 30, (1, 1): 20}
+    many = sampled(spark, [(g, g % 2, 3) for g in range(90)], 20)
+    assert sorted(many.values()) == [1] * 20 and sum(y for y, _ in many) == 10
+
+
+def test_the_sample_does_not_depend_on_partitions_and_survives_odd_rows(spark):
+    rows = spark.createDataFrame([(g, g % 2, k) for g in range(5) for k in range(300)] + [(None, 1, 1), (None, None, 2)], "group_id int, y int, k int")
+    a, b = (sorted(map(str, ml.fit_rows(x, "group_id", 100, key=["group_id", "k"]).collect())) for x in (rows.repartition(7), rows.coalesce(1)))
+    assert a == b and 3 < len(a) <= 100
+    assert ml.fit_rows(rows.limit(0), "group_id", 100).count() == 0
+
+
 def test_weights_come_from_the_rows_that_are_fitted(spark):
     rows = spark.createDataFrame([(g, k, int(g < 3)) for g in range(10) for k in range(10 * g + 5)], "group_id int, k int, y int")
     for most in (60, 10_000):
-        fit = ml.fit_rows(rows, "group_id", most)
-        sizes = {r.group_id: r["count"] for r in fit.groupBy("group_id").count().collect()}
-        assert all(n == 10 * g + 5 for g, n in sizes.items())  # whole groups
-        assert sum(sizes.values()) <= max(most, max(sizes.values()))
-        w = ml.class_balanced_weights(fit).groupBy("y").agg(F.sum("weight").alias("w")).collect()
+        w = ml.class_balanced_weights(ml.fit_rows(rows, "group_id", most)).groupBy("y").agg(F.sum("weight").alias("w")).collect()
         assert len({round(r.w, 6) for r in w}) == 1
 
 
+def test_signal_groups_of_five_times_the_rows_fit_on_both_classes(spark):
+    """Every receiver file has one label; blown up, each is larger than the bound's share."""
+    rows = models.signal_rows(spark, SF).select("group_id", "y", *models.WINDOW_KEY)
+    blown = rows.crossJoin(spark.range(200).withColumnRenamed("id", "copy")).withColumn("window_id", F.col("window_id") * 200 + F.col("copy"))
+    sizes = blown.groupBy("group_id").count().agg(F.min("count")).first()[0]
+    fit = ml.fit_rows(blown, "group_id", 200, key=models.WINDOW_KEY).groupBy("y", "group_id").count().collect()
+    assert sizes > 200 and {r.y for r in fit} == {0, 1} and len(fit) == rows.select("group_id").distinct().count()
+
+
+@pytest.mark.parametrize("only", [0, 1])
+def test_a_model_of_one_class_scores(spark, only):
+    rows = spark.createDataFrame([(float(k), only) for k in range(30)], "x double, y int")
+    model = ml.forest_pipeline(["x"], weight=None, n_trees=3, max_depth=2).fit(rows)
+    assert {r.spoof_probability for r in ml.score(model, rows).collect()} == {float(only)}
+
+
+def test_a_changed_table_is_fitted_anew(spark, tmp_path):
+    made = []
+    def fit():
+        return models.once("t", spark, str(tmp_path), "embeddings", lambda: made.append(1) or len(made))
+    spark.range(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert (fit(), fit()) == (1, 1)
+    spark.range(6).write.mode("overwrite").parquet(str(tmp_path / "embeddings.parquet"))
+    assert (fit(), fit()) == (2, 2)
+
+
 def test_no_fold_with_both_classes_is_an_error(spark):
     rows = spark.createDataFrame([(g, 1) for g in range(8) for _ in range(3)], "group_id int, y int")
     with pytest.raises(ValueError):
