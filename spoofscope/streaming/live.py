@@ -9,25 +9,24 @@ lives in the query's checkpoint location on shared storage.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Any, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spoofscope.operators import metrics as mt
 from spoofscope.operators import trajectory as tr
 from spoofscope.session import ship_package
 from spoofscope.sources.committed import BatchTables
+from spoofscope.streaming.state import timer, use_rocksdb
 
 SNAPSHOT_SCHEMA = "value STRING"
 DEDUP_KEYS = ["icao24", "lastposupdate", "lat", "lon"]
 STATE_TTL = "10 minutes"
 DELTA_STATE_COLS = ["time", "lat", "lon", "velocity", "heading", "baroaltitude", "geoaltitude"]
-DELTA_OUT_SCHEMA = "row string, late int, " + ", ".join(f"delta_{c} double" for c in DELTA_STATE_COLS)
-STATE_SCHEMA = ("time long, lat double, lon double, velocity double, heading double, "
-                "baroaltitude double, geoaltitude double")
+_LAST_SCHEMA = "time bigint, " + ", ".join(f"{c} double" for c in DELTA_STATE_COLS[1:])
 
 
 def snapshot_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -47,61 +46,82 @@ def dedup_stream(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
     return states.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(DEDUP_KEYS)
 
 
-def ttl_ms(watermark: str) -> int:
-    return int(pd.Timedelta(watermark).total_seconds() * 1000)
+class _Keyed(StatefulProcessor):
+    """A processor with one timer per key: at the key's newest time.  The
+    watermark is behind the newest time of all keys by the allowed silence,
+    so the timer fires, and the state goes, when a key has been silent for
+    that long."""
 
+    def _start(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at bigint")
 
-def _delta_fn(ttl: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Per aircraft: differences to the previous report in time order.
+    def _silent_from(self, seconds: int) -> None:
+        before = self.due.get()[0] if self.due.exists() else None
+        at = max(seconds * 1000, before or seconds * 1000)
+        if at != before:
+            timer(self.handle, before, at)
+            self.due.update((at,))
 
-        The previous report of earlier micro-batches lives in the group state; a
-        report older than the state's time is emitted with ``late = 1`` and no
-        deltas, and does not move the state.  State expires when the watermark
-        passes its time plus the TTL (vanished aircraft).  Reports without an
-        id have no deltas and leave no state.  Vectorised per group.
-        """
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["time", "seq"], kind="stable")
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.due.clear()
+        self._forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Deltas(_Keyed):
+    """One aircraft's reports in time order, each with its differences to the
+    report before, which may be of an earlier micro-batch.
+
+    A report older than the state's is late: it comes out with ``late = 1``
+    and no differences, and does not move the state.  Reports without an id
+    have no differences and leave no state.
+    """
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+        self.out = Row(*names, "late", *[f"delta_{c}" for c in DELTA_STATE_COLS])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._start(handle)
+        self.last = handle.getValueState("last", _LAST_SCHEMA)
+
+    def _forget(self) -> None:
+        self.last.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         named = not key[0].startswith("\0")
-        prev = pd.Series(state.get, index=DELTA_STATE_COLS, dtype="float64") if named and state.exists else None
-        late = (pdf["time"] < prev["time"]) if prev is not None else pd.Series(False, index=pdf.index)
-        ok = pdf[~late]
-        vals = ok[DELTA_STATE_COLS].astype("float64")
-        before = vals.shift(1)
-        if prev is not None and len(vals):
-            before.iloc[0] = prev.values
-        out = pd.DataFrame({"row": pdf["row"], "late": late.astype("int32")})
-        for c in DELTA_STATE_COLS:
-            d = (vals[c] - before[c]).reindex(pdf.index) if named else pd.Series(float("nan"), index=pdf.index)
-            out[f"delta_{c}"] = d.astype(object).where(d.notna(), None)  # late rows: no deltas
-        if named and len(vals):
-            last = vals.iloc[-1]
-            state.update(tuple(None if pd.isna(last[c]) else (int(last[c]) if c == "time" else float(last[c]))
-                               for c in DELTA_STATE_COLS))
-            state.setTimeoutTimestamp(int(last["time"]) * 1000 + ttl)
-        yield out[["row", "late"] + [f"delta_{c}" for c in DELTA_STATE_COLS]]
-    return fn
+        before = self.last.get() if named and self.last.exists() else None
+        newest = None
+        for r in sorted(rows, key=lambda r: (r["time"], r["seq"])):
+            now = (int(r["time"]), *[r[c] for c in DELTA_STATE_COLS[1:]])
+            late = before is not None and now[0] < before[0]
+            known = named and not late and before is not None
+            deltas = [None if not known or a is None or b is None else float(b - a) for a, b in zip(before or now, now)]
+            yield self.out(*[r[n] for n in self.names], int(late), *deltas)
+            if named and not late:
+                before = newest = now
+        if newest is not None:
+            self.last.update(newest)
+            self._silent_from(newest[0])
 
 
 def stateful_deltas(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
     """X3/X9: every report with its per-aircraft deltas across micro-batches
     (those of the batch ``trajectory_features`` when polls arrive in time
     order) and the ``late`` flag.  Reports without an id stay, each a group of
-    its own; the other columns travel as text and come back typed."""
+    its own.  Columns keep their types; state is in RocksDB."""
+    use_rocksdb(states.sparkSession)
     ship_package(states.sparkSession)
     kept = [f for f in states.schema.fields if f.name != "event_time"]
+    names = [f.name for f in kept]
     s = states.withWatermark("event_time", watermark).select(
-        F.coalesce("icao24", F.concat(F.lit("\0"), F.col("seq").cast("string"))).alias("_key"), "seq",
-        F.to_json(F.struct(*[f.name for f in kept]), {"ignoreNullFields": "false"}).alias("row"),
-        F.col("time").cast("long").alias("time"), *DELTA_STATE_COLS[1:], "event_time")
-    out = s.groupBy("_key").applyInPandasWithState(_delta_fn(ttl_ms(watermark)), DELTA_OUT_SCHEMA, STATE_SCHEMA, "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return out.select(F.from_json("row", schema).alias("_r"), "late", *[f"delta_{c}" for c in DELTA_STATE_COLS]).select(
-        "_r.*", "late", *[f"delta_{c}" for c in DELTA_STATE_COLS])
+        F.coalesce("icao24", F.concat(F.lit("\0"), F.col("seq").cast("string"))).alias("_key"), *names, "event_time")
+    out = T.StructType([*kept, T.StructField("late", T.IntegerType()), *[T.StructField(f"delta_{c}", T.DoubleType()) for c in DELTA_STATE_COLS]])
+    return s.groupBy("_key").transformWithState(Deltas(names), out, "append", "EventTime")
 
 
 def live_features(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
@@ -112,45 +132,45 @@ def live_features(states: DataFrame, watermark: str = STATE_TTL) -> DataFrame:
 
 TAIL_OUT_SCHEMA = ("icao24 string, point_index int, n_points int, time long, seq long, "
                    "lat double, lon double, is_last boolean")
-TAIL_STATE_SCHEMA = "times array<long>, seqs array<long>, lats array<double>, lons array<double>"
-
-
-def _tail_fn(points: int, ttl: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Keep the newest ``points`` positions of one aircraft in state
-        (bounded) and emit its current tail when it has at least two."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(pdfs), ignore_index=True)[["time", "seq", "lat", "lon"]]
-        if state.exists:
-            t, q, la, lo = state.get
-            old = pd.DataFrame({"time": list(t), "seq": list(q), "lat": list(la), "lon": list(lo)})
-            new = pd.concat([old, new], ignore_index=True)
-        tail = new.sort_values(["time", "seq"], kind="stable").tail(points).reset_index(drop=True)
-        state.update((tail["time"].astype("int64").tolist(), tail["seq"].astype("int64").tolist(),
-                      tail["lat"].astype(float).tolist(), tail["lon"].astype(float).tolist()))
-        state.setTimeoutTimestamp(int(tail["time"].iloc[-1]) * 1000 + ttl)
-        if len(tail) < 2:
-            return
-        n = len(tail)
-        yield pd.DataFrame({"icao24": key[0], "point_index": range(1, n + 1), "n_points": n,
-                            "time": tail["time"].astype("int64"), "seq": tail["seq"].astype("int64"),
-                            "lat": tail["lat"], "lon": tail["lon"], "is_last": [i == n for i in range(1, n + 1)]})
-    return fn
+_POINT = ["time", "seq", "lat", "lon"]
+
+
+class Tails(_Keyed):
+    """The newest positions of one aircraft, a bounded list in state; its
+    current tail comes out whenever it has at least two."""
+
+    def __init__(self, points: int) -> None:
+        self.points = points
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._start(handle)
+        self.tail = handle.getListState("tail", "time bigint, seq bigint, lat double, lon double")
+
+    def _forget(self) -> None:
+        self.tail.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = [tuple(r) for r in self.tail.get()] if self.tail.exists() else []
+        tail = sorted(held + [tuple(r[c] for c in _POINT) for r in rows], key=lambda p: p[:2])[-self.points:]
+        self.tail.put(tail)
+        self._silent_from(tail[-1][0])
+        out = Row("icao24", "point_index", "n_points", *_POINT, "is_last")
+        if len(tail) > 1:
+            for i, p in enumerate(tail, 1):
+                yield out(key[0], i, len(tail), *p, i == len(tail))
 
 
 def stateful_tails(states: DataFrame, points: int = tr.TRAJECTORY_POINTS, watermark: str = STATE_TTL) -> DataFrame:
     """X4: per aircraft, the last ``points`` valid and fresh positions kept in
     bounded state; every update emits the aircraft's current tail (the last
     emission per aircraft equals the batch ``trajectory_tail``)."""
+    use_rocksdb(states.sparkSession)
     ship_package(states.sparkSession)
     pts = tr.fresh_positions(tr.valid_position(states)).filter(F.col("icao24").isNotNull())
     pts = pts.withWatermark("event_time", watermark).select(
         "icao24", F.col("time").cast("long").alias("time"), F.col("seq").cast("long").alias("seq"),
         "lat", "lon", "event_time")
-    return pts.groupBy("icao24").applyInPandasWithState(
-        _tail_fn(points, ttl_ms(watermark)), TAIL_OUT_SCHEMA, TAIL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return pts.groupBy("icao24").transformWithState(Tails(points), TAIL_OUT_SCHEMA, "append", "EventTime")
 
 
 def score_newest(features: DataFrame, model=None, threshold: float = tr.ANOMALY_THRESHOLD) -> DataFrame:
@@ -192,7 +212,8 @@ def running_summary(partial: DataFrame) -> DataFrame:
                           F.coalesce("probability_max", F.lit(0.0)).alias("max_attack_probability"))
 
 
-def commit_scored(tables: BatchTables, scored: DataFrame, batch_id: int, high_risk: float = tr.HIGH_RISK_THRESHOLD, top: int = RUNNING_TOP) -> bool:
+def commit_scored(tables: BatchTables, scored: DataFrame, batch_id: int, high_risk: float = tr.HIGH_RISK_THRESHOLD, top: int = RUNNING_TOP,
+                  more: dict[str, DataFrame] | None = None) -> bool:
     """X6-X8: one batch's predictions, alerts and summary, and the running
     summary and the ``top`` most suspicious reports of all batches so far,
     committed together.  The running tables are those of the batch before,
@@ -207,7 +228,7 @@ def commit_scored(tables: BatchTables, scored: DataFrame, batch_id: int, high_ri
     return tables.commit(batch_id, {
         "predictions": scored, "alerts": tr.high_risk(scored, high_risk),
         "summary": mt.prediction_summary(scored).withColumn("batch_id", F.lit(batch_id)),
-        "running": merged_summary(running), "running_top": mt.top_predictions(best, n=top, tie=("icao24", "seq"))})
+        "running": merged_summary(running), "running_top": mt.top_predictions(best, n=top, tie=("icao24", "seq")), **(more or {})})
 
 
 def live_batch_writer(out_dir: str, model=None, threshold: float = tr.ANOMALY_THRESHOLD,
@@ -218,7 +239,8 @@ def live_batch_writer(out_dir: str, model=None, threshold: float = tr.ANOMALY_TH
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = score_newest(batch, model, threshold).persist()  # several tables read it
         try:
-            commit_scored(BatchTables(batch.sparkSession, out_dir), scored, batch_id, high_risk)
+            late = {"late": batch.filter("late = 1")} if "late" in batch.columns else {}
+            commit_scored(BatchTables(batch.sparkSession, out_dir), scored, batch_id, high_risk, more=late)
         finally:
             scored.unpersist()
     return write

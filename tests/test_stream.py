@@ -1,9 +1,9 @@
 """Structured Streaming: landed poll documents -> stateful per-aircraft
 deltas, compared with the batch operator on the same rows."""
 
+import json
 import os
 import tempfile
-import time
 
 from pyspark.sql import functions as F
 
@@ -88,8 +88,54 @@ def test_live_scores_alerts_and_summary_of_the_newest_poll(spark):
     assert summary.agg(F.sum("predicted_anomalies")).first()[0] == preds.filter("predicted_anomaly = 1").count()
 
 
-def test_state_expires_by_the_watermark_argument():
-    assert live.ttl_ms("10 minutes") == 600_000 and live.ttl_ms("90 seconds") == 90_000
+def _reports(spark, base, k, rows):
+    """Land one poll of plain reports (icao24, time, velocity)."""
+    states = [[i, "CS", "X", t, t, 10.0, 50.0, 1000.0, False, v, 90.0, 0.0, None, 1000.0, "1000", False, 0] for i, t, v in rows]
+    path = os.path.join(base, f"poll_{k:05d}.json")
+    with open(path, "w") as fh:
+        json.dump({"time": max(t for _, t, _ in rows), "states": states}, fh)
+    os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+def _deltas(spark, base, out, ckpt, make=None, watermark="2 minutes"):
+    make = make or (lambda s: live.stateful_deltas(s, watermark))
+    q = (make(live.snapshot_stream(spark, base)).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    return spark.read.parquet(out)
+
+
+def test_a_restart_goes_on_from_state_and_late_reports_are_marked(spark):
+    base, out, ckpt = (tempfile.mkdtemp(prefix="live-") for _ in range(3))
+    _reports(spark, base, 0, [("aa", 1000, 100.0), ("bb", 1000, 50.0)])
+    _reports(spark, base, 1, [("aa", 1010, 110.0)])
+    _deltas(spark, base, out, ckpt)
+    _reports(spark, base, 2, [("aa", 1030, 125.0), ("bb", 1030, 40.0)])
+    _reports(spark, base, 3, [("bb", 1040, None)])
+    _reports(spark, base, 4, [("aa", 1020, 1.0)])  # a poll that arrives late
+    got = _deltas(spark, base, out, ckpt)
+    assert {(r.icao24, r.time): (r.late, r.delta_velocity, r.delta_time) for r in got.collect()} == {
+        ("aa", 1000): (0, None, None), ("bb", 1000): (0, None, None), ("aa", 1010): (0, 10.0, 10.0), ("aa", 1030): (0, 15.0, 20.0),
+        ("bb", 1030): (0, -10.0, 30.0), ("aa", 1020): (1, None, None), ("bb", 1040): (0, None, 10.0)}
+    types = dict(got.dtypes)
+    assert types["time"] == "bigint" and types["delta_time"] == "double" and types["late"] == "int"
+
+
+def test_a_vanished_aircraft_leaves_no_state_after_the_stated_time(spark):
+    for make, state in ((lambda s: live.stateful_deltas(s, "2 minutes"), "last"), (lambda s: live.stateful_tails(s, watermark="2 minutes"), "tail")):
+        base, out, ckpt = (tempfile.mkdtemp(prefix="live-") for _ in range(3))
+        _reports(spark, base, 0, [("aa", 1000, 1.0), ("bb", 1000, 1.0)])
+        _reports(spark, base, 1, [("aa", 1010, 1.0)])
+        _reports(spark, base, 2, [("bb", 1100, 1.0)])
+        _deltas(spark, base, out, ckpt, make)
+
+        def held(var):
+            df = spark.read.format("statestore").option("stateVarName", var).load(ckpt)
+            return {r[0] for r in df.select(F.col("key").getItem(0) if "array" in dict(df.dtypes)["key"] else "key.*").collect()}
+        assert held(state) == {"aa", "bb"}
+        _reports(spark, base, 3, [("bb", 1131, 1.0)])  # 2 minutes and a second after aa's last
+        _deltas(spark, base, out, ckpt, make)
+        assert held(state) == {"bb"} and held("due") == {"bb"}
 
 
 def test_dedup_drops_re_sent_reports(spark):
