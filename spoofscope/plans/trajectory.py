@@ -13,6 +13,7 @@ from spoofscope.operators import trajectory as tr
 from spoofscope.plans.registry import register, rounded
 from spoofscope.session import ensure_checkpoint_dir
 from spoofscope.sources import adapters as ad
+from spoofscope.sources.clustered import read_area, write_by_place
 from spoofscope.sources.committed import BatchTables
 from spoofscope.sources.history import History
 from spoofscope.streaming import live
@@ -244,9 +245,20 @@ def q_latest_snapshot(spark, sf_dir):
     return tr.latest_snapshot(states(spark, sf_dir)).select("seq", "icao24", "time")
 
 
-@register("bbox_filter", oracle=f"""WITH {_STATES}
+_AREA_SQL = f"""WITH {_STATES}
 SELECT seq, icao24, round(lat, 6) AS lat, round(lon, 6) AS lon FROM states
-WHERE lat BETWEEN 49.0 AND 55.0 AND lon BETWEEN 14.0 AND 24.0""")
+WHERE lat BETWEEN 49.0 AND 55.0 AND lon BETWEEN 14.0 AND 24.0"""
+
+
+@register("area_scan", oracle=_AREA_SQL)
+def q_area_scan(spark, sf_dir):
+    """The area read from states stored by place."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/places-{uuid.uuid4().hex}"
+    write_by_place(states(spark, sf_dir), path)
+    return rounded(read_area(spark, path, 49.0, 14.0, 55.0, 24.0).select("seq", "icao24", "lat", "lon"))
+
+
+@register("bbox_filter", oracle=_AREA_SQL)
 def q_bbox_filter(spark, sf_dir):
     s = tr.bbox_filter(states(spark, sf_dir), 49.0, 14.0, 55.0, 24.0)
     return rounded(s.select("seq", "icao24", "lat", "lon"))
