@@ -10,18 +10,20 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Plain decimal / scientific notation only.  Spark's cast would also accept
 # suffixed ('1d', '1f') and hexadecimal forms, which the feed never means.
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-_INF = float("inf")
+def is_finite(c: Column) -> Column:
+    """Neither NaN nor infinite: such numbers times 0 are NaN, all others 0.
+    ``c`` is evaluated once, which keeps generated code small."""
+    return c * F.lit(0.0) == F.lit(0.0)
 
 
 def finite_or_null(c: Column) -> Column:
     """NaN and +-Infinity -> NULL."""
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(_INF)), F.lit(None).cast("double")).otherwise(c)
+    return F.when(is_finite(c), c)
 
 
 def parse_double(c: Column) -> Column:
@@ -30,6 +32,14 @@ def parse_double(c: Column) -> Column:
     return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
 
 
+def numeric(c: Column, kind: str) -> Column:
+    """A column of type ``kind`` as DOUBLE; text is parsed leniently."""
+    return c.cast("double") if kind in _NUMBERS or kind.startswith("decimal") else parse_double(c)
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def coerce_numeric(c: Column) -> Column:
     """Any column -> DOUBLE with NULL for unparseable or non-finite values."""
     return finite_or_null(parse_double(c))
@@ -42,10 +52,7 @@ def coerce_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     for c in cols:
         if c not in types:
             continue
-        if isinstance(df.schema[c].dataType, T.NumericType):
-            out[c] = finite_or_null(F.col(c).cast("double"))
-        else:
-            out[c] = coerce_numeric(F.col(c))
+        out[c] = finite_or_null(numeric(F.col(c), types[c]))
     return df.withColumns(out) if out else df
 
 

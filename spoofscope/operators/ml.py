@@ -120,7 +120,8 @@ def fit_rows(train: DataFrame, group: str, most: int, label: str = "y", key: Seq
     gives its first rows by a hash of ``key`` (all columns, unless given), up
     to the highest number per group that keeps the class within its share.
     With more groups than rows in the share, that many groups give a row
-    each.  A row that repeats with its key counts once.  Nothing else but the
+    each.  A row that repeats with its key counts once, one
+    without a class not at all.  Nothing else but the
     fit is bounded: scores and metrics come from all rows.
 
     Only hashes are shuffled, ``most`` per group and task at most; the hashes
@@ -128,14 +129,15 @@ def fit_rows(train: DataFrame, group: str, most: int, label: str = "y", key: Seq
     """
     cols = list(key or train.columns)
     mark = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed))))
-    rows = train.select(F.col(label).alias("_y"), F.col(group).alias("_g"), mark.alias("_h")).distinct()
+    rows = train.select(F.col(label).alias("_y"), F.col(group).alias("_g"), mark.alias("_h")).filter(F.col("_y").isNotNull()).distinct()
     sizes = rows.groupBy("_y", "_g").agg(F.count(F.lit(1)).alias("_n"))
     by_size = sizes.groupBy("_y", "_n").agg(F.count(F.lit(1)).alias("_m"))  # a row per class and distinct size
     rising = Window.partitionBy("_y").orderBy("_n")
     filled = by_size.select("_y", "_n", F.coalesce(F.sum(F.col("_n") * F.col("_m")).over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
                             F.sum("_m").over(rising.rowsBetween(0, Window.unboundedFollowing)).alias("_rest"))
-    share = sizes.agg(F.floor(F.lit(most) / F.countDistinct("_y")).alias("_share"), F.lit(1).alias("_one"))
-    over = (filled.withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one").filter(F.col("_below") + F.col("_rest") * F.col("_n") > F.col("_share"))  # one row
+    classes = sizes.select("_y").distinct()
+    classes = classes.withColumn("_share", F.floor(F.lit(most) / F.count(F.lit(1)).over(Window.partitionBy())))  # over a row per class
+    over = (filled.join(F.broadcast(classes), "_y").filter(F.col("_below") + F.col("_rest") * F.col("_n") > F.col("_share"))
             .groupBy("_y").agg(F.min_by(F.floor((F.col("_share") - F.col("_below")) / F.col("_rest")), "_n").alias("_level"), F.first("_share").alias("_share")))
     first = Window.partitionBy("_y", "_g").orderBy("_h")
     ranked = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most)

@@ -44,26 +44,31 @@ def _cut(df: DataFrame, keys: Sequence[str], chunk: Column | None) -> tuple[Data
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None = None, weight: Column | None = None,
-            before: str = "before", total: str | None = None) -> DataFrame:
+            before: str = "before", total: str | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with the sum of ``weight`` (rows, unless given) over the rows
-    before each row of its group, and over the whole group as ``total``.
+    before each row of its group, and over the whole group as ``total``;
+    ``also`` names more sums over whole groups.
 
     ``order`` must be a total order inside a group.  Without ``chunk`` a group
     is one chunk, which suits groups of a known bound.
     """
+    also = also or {}
     cut, names = _cut(df, keys, chunk)
     inside = Window.partitionBy(*names, _C).orderBy(*[_as_column(o) for o in order])
     if weight is None:
         own = F.row_number().over(inside) - 1
     else:
         own = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = cut.groupBy(*names, _C).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
+    chunks = cut.groupBy(*names, _C).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"),
+                                         *[F.sum(c).alias(f"_sum_{k}") for k, c in also.items()])
     group = Window.partitionBy(*names)
     earlier = F.sum("_n").over(group.orderBy(_C).rowsBetween(Window.unboundedPreceding, -1))
-    chunks = chunks.select(*names, _C, F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_total"))
+    chunks = chunks.select(*names, _C, F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_total"),
+                           *[F.sum(f"_sum_{k}").over(group).alias(f"_sum_{k}") for k in also])
     out = cut.withColumn("_own", own).join(chunks, [*names, _C])
     extra = [(F.col("_before") + F.col("_own")).cast("bigint").alias(before)] + ([F.col("_total").alias(total)] if total else [])
-    return out.select(*[c for c in df.columns if c not in (before, total)], *extra)
+    extra += [F.col(f"_sum_{k}").alias(k) for k in also]
+    return out.select(*[c for c in df.columns if c not in (before, total, *also)], *extra)
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence, index_col: str = "rn",

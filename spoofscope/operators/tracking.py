@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoofscope.functions.coerce import coerce_columns
+from spoofscope.functions.coerce import coerce_columns, finite_or_null, is_finite, numeric
 from spoofscope.operators.ordered import ordered_index
 
 # Fixed values (receiver dump columns and defaults of the windowing scheme).
@@ -64,14 +64,20 @@ def clean_tracking(df: DataFrame, coerce: bool = True) -> DataFrame:
     missing = [c for c in REQUIRED_COLUMNS if c.lower() not in present]
     if missing:
         return df.limit(0).withColumn("prn", F.lit(None).cast("int"))
+    types = dict(df.dtypes)
+    parsed = {present[c.lower()]: numeric(F.col(c), types[present[c.lower()]]) if coerce else F.col(c)
+              for c in REQUIRED_COLUMNS + OPTIONAL_COLUMNS if c.lower() in present}
+    value = {c: parsed[present[c.lower()]] for c in REQUIRED_COLUMNS}
+    # The conditions stand on the raw columns, each read as few times as can
+    # be: the optimizer would copy whole coerced columns into them, and a
+    # filter of that size is too large for the JIT compiler.
+    valid = (value["PRN"] > 0) & (value["PRN_start_sample_count"] > 1) & (value["abs_P"] > 1) & ((F.abs(value["Prompt_I"]) > 1) | (F.abs(value["Prompt_Q"]) > 1))
+    for c in REQUIRED_COLUMNS:
+        valid = valid & (is_finite(value[c]) if coerce else value[c].isNotNull())
+    df = df.filter(valid)
     if coerce:
-        num = [present[c.lower()] for c in REQUIRED_COLUMNS + OPTIONAL_COLUMNS if c.lower() in present]
-        df = coerce_columns(df, num)
-    invalid = ((F.col("PRN") <= 0) | (F.col("PRN_start_sample_count") <= 1) | (F.col("abs_P") <= 1)
-               | ((F.abs("Prompt_I") <= 1) & (F.abs("Prompt_Q") <= 1)))
-    return (df.dropna(subset=REQUIRED_COLUMNS)
-              .filter(~invalid)
-              .withColumn("prn", F.col("PRN").cast("int")))
+        df = df.withColumns({c: finite_or_null(v) for c, v in parsed.items()})
+    return df.withColumn("prn", F.col("PRN").cast("int"))
 
 
 #: Sample counts per chunk: about 86 s of a channel at 25 MS/s.
@@ -130,23 +136,24 @@ def _stats(x: Column, prefix: str, which: Sequence[str]) -> list[Column]:
         "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c),
         "min": lambda c: F.min(c), "max": lambda c: F.max(c), "abs_mean": lambda c: F.avg(F.abs(c)),
     }
-    out = []
-    for w in which:
-        if w in _QUANTILES:
-            out.append(F.array_sort(F.collect_list(x)).alias(f"_sorted_{prefix}_{w}"))
-        else:
-            out.append(fns[w](x).cast("double").alias(f"{prefix}_{w}"))
+    out = [fns[w](x).cast("double").alias(f"{prefix}_{w}") for w in which if w not in _QUANTILES]
+    wanted = [w for w in which if w in _QUANTILES]
+    if wanted:  # one list serves all of a column's quantiles
+        out.append(F.collect_list(x).alias("_".join(["_list", *wanted, prefix])))
     return out
 
 
 def _finish_quantiles(df: DataFrame) -> DataFrame:
-    sorted_cols = [c for c in df.columns if c.startswith("_sorted_")]
+    """Quantiles from the collected lists, each sorted once."""
+    lists = [c for c in df.columns if c.startswith("_list_")]
+    df = df.withColumns({c: F.sort_array(c) for c in lists})
     exprs = {}
-    for c in sorted_cols:
-        name = c[len("_sorted_"):]
-        q = _QUANTILES[name.rsplit("_", 1)[1]]
-        exprs[name] = _sorted_quantile(F.col(c), q).cast("double")
-    return df.withColumns(exprs).drop(*sorted_cols)
+    for c in lists:
+        parts = c[len("_list_"):].split("_")
+        wanted = [w for w in parts if w in _QUANTILES]
+        prefix = "_".join(parts[len(wanted):])
+        exprs |= {f"{prefix}_{w}": _sorted_quantile(F.col(c), _QUANTILES[w]).cast("double") for w in wanted}
+    return df.withColumns(exprs).drop(*lists)
 
 
 def cn0_estimate(p: Column, tint: float = 1e-3) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoofscope.operators import tracking as trk
+from spoofscope.operators.ordered import running, value_chunk
 from spoofscope.operators.stats import percentile_at, unpivot
 from spoofscope.plans.registry import register, round_half_away, rounded
+from spoofscope.session import stored
 from spoofscope.sources import adapters as ad
 
 # ---------------------------------------------------------------- oracle SQL
@@ -157,32 +159,30 @@ def report_per_file(feats: DataFrame, digits: int | None = None) -> DataFrame:
     """Per dataset file: window count, distinct PRNs and mean/std/median/min/max
     of every numeric window column.
 
-    The windows are read once, in long form.  Values are counted per (file,
-    column, value) — combined before the shuffle, so ties are one row — and
-    everything else comes from these counts: the median from their running
-    sums, windows and PRNs from the counts of the ``prn`` column.
+    The windows are read in long form, and their values counted per (file,
+    column, value) — combined before the shuffle, so ties are one row.  The
+    median comes from the running counts of the distinct values in value
+    chunks, so a file with most of the windows is no task's alone; the mean
+    comes from the chunks' sums, and the spread from distances to it.
     """
     gk = [*REPORT_KEYS, "_c"]
+    v, n = F.col("_v"), F.col("_n")
     counts = unpivot(feats, REPORT_KEYS, [*REPORT_COLS, "prn"]).groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*gk)  # the distinct values of one column of one file
-    mean = F.sum(F.col("_v") * F.col("_n")).over(group) / F.sum("_n").over(group)
-    ranked = counts.select(*gk, "_v", "_n", mean.alias("_mean"), F.sum("_n").over(group).alias("_total"),
-                           F.coalesce(F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = running(counts, gk, ["_v"], value_chunk(v), n, "_before", "_total", also={"_sum": v * n})
     low, high, part = percentile_at("_before", "_n", "_total", "_v", 0.5)
-    spread = F.sum(F.col("_n") * (F.col("_v") - F.col("_mean")) ** 2)
-    total = F.max("_total")
+    mean, total = F.col("_sum") / F.col("_total"), F.max("_total")
     stats = ranked.groupBy(*gk).agg(
-        F.max("_mean").alias("mean"), F.when(total > 1, F.sqrt(spread / (total - 1))).alias("std"),
-        (low + (high - low) * part).alias("median"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        total.alias("rows"), F.count(F.lit(1)).alias("distinct"))
+        F.max(mean).alias("mean"), F.when(total > 1, F.sqrt(F.sum(n * (v - mean) ** 2) / (total - 1))).alias("std"),
+        (low + (high - low) * part).alias("median"), F.min("_v").alias("min"), F.max("_v").alias("max"), total.alias("rows"), F.count(F.lit(1)).alias("distinct"))
     names = ("mean", "std", "median", "min", "max")
     if digits is not None:  # round in long form: five expressions, not one per wide column
-        stats = stats.select(*gk, *[round_half_away(F.col(n), digits).alias(n) for n in names], "rows", "distinct")
-    wide = stats.groupBy(*REPORT_KEYS).pivot("_c", [*REPORT_COLS, "prn"]).agg(*[F.first(n).alias(n) for n in (*names, "rows", "distinct")])
+        stats = stats.select(*gk, *[round_half_away(F.col(c), digits).alias(c) for c in names], "rows", "distinct")
+    # a map of the (fixed) columns instead of an aggregate per column and statistic
+    wide = stats.groupBy(*REPORT_KEYS).agg(F.map_from_entries(F.collect_list(F.struct("_c", F.struct(*names, "rows", "distinct")))).alias("m"))
+    wide = wide.select(*REPORT_KEYS, *[F.col("m")[c].alias(c) for c in [*REPORT_COLS, "prn"]])
     # every window has a PRN and an epoch count; PRNs are counted without NULLs
-    out = wide.select(*REPORT_KEYS, F.col("n_epochs_rows").alias("n_windows"), F.coalesce("prn_distinct", F.lit(0)).alias("n_prns"),
-                      *[F.col(f"{c}_{n}").cast("double").alias(f"{c}_{n}") for c in REPORT_COLS for n in names])
-    return out
+    return wide.select(*REPORT_KEYS, F.col("n_epochs.rows").alias("n_windows"), F.coalesce("prn.distinct", F.lit(0)).alias("n_prns"),
+                       *[F.col(f"{c}.{s}").cast("double").alias(f"{c}_{s}") for c in REPORT_COLS for s in names])
 
 
 def _report_sql() -> str:
@@ -198,7 +198,8 @@ def _report_sql() -> str:
 
 @register("report_per_file", oracle=_report_sql())
 def q_report_per_file(spark, sf_dir):
-    return report_per_file(features(spark, sf_dir), digits=6)
+    # written once: windows are a small part of the rows they come from, and two branches of the report read them
+    return report_per_file(stored(features(spark, sf_dir)), digits=6)
 
 
 def corpus_counts(feats: DataFrame) -> DataFrame:

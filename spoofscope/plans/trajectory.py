@@ -11,7 +11,7 @@ from spoofscope.functions.coerce import NUMERIC_TEXT, bool_flag, coerce_numeric
 from spoofscope.functions.timefmt import iso_epoch
 from spoofscope.operators import trajectory as tr
 from spoofscope.plans.registry import register, rounded
-from spoofscope.session import ensure_checkpoint_dir
+from spoofscope.session import ensure_checkpoint_dir, stored
 from spoofscope.sources import adapters as ad
 from spoofscope.sources.clustered import read_area, write_by_place
 from spoofscope.sources.committed import BatchTables
@@ -168,7 +168,8 @@ COMMITTED_BATCHES = 3
 
 def committed_polls(spark, sf_dir):
     """All polls, scored and committed in a few batches of consecutive polls; the last batch is the newest poll."""
-    s = formula_scores(features(spark, sf_dir)).select("seq", "icao24", "time", "snap", "attack_probability", "predicted_anomaly").checkpoint(eager=True)
+    s = formula_scores(features(spark, sf_dir)).select("seq", "icao24", "time", "snap", "attack_probability", "predicted_anomaly")
+    s = stored(s)
     tables = BatchTables(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/committed-{uuid.uuid4().hex}")
     low, high = s.agg(F.min("snap"), F.max("snap")).first()
     if low is None:
@@ -448,7 +449,7 @@ HISTORY_APPENDS = 4
 @register("history_table", oracle=_HISTORY_SQL)
 def q_history_table(spark, sf_dir):
     """The appendable history after a few appends of consecutive polls."""
-    s = states(spark, sf_dir).checkpoint(eager=True)
+    s = stored(states(spark, sf_dir))
     low, high = s.agg(F.min("snap"), F.max("snap")).first()
     part = F.floor((F.col("snap") - (low or 0)) * HISTORY_APPENDS / F.lit((high or 0) - (low or 0) + 1))
     table = History(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", buckets=16)

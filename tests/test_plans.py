@@ -1,6 +1,8 @@
 """Physical-plan checks: shuffles and join strategies of the registered
 queries (SURVEY §5, item 5)."""
 
+import re
+
 import pytest
 
 from spoofscope.operators import tracking as trk
@@ -24,7 +26,6 @@ def _static_plan(spark, make) -> str:
 
 
 def test_window_features_plan_is_the_same_at_every_size(spark):
-    import re
 
     def shape(sf):
         plan = _static_plan(spark, lambda: QUERIES["window_features"](spark, sf))
@@ -36,7 +37,7 @@ def test_window_features_plan_is_the_same_at_every_size(spark):
     assert small.count("Exchange") <= 5, small
 
 
-@pytest.mark.parametrize("key", ["window_features", "track_path", "gps_normalize", "report_per_file", "roc_auc", "even_downsample",
+@pytest.mark.parametrize("key", ["window_features", "track_path", "gps_normalize", "roc_auc", "even_downsample",
                                  "trajectory_features", "all_features", "group_split"])
 def test_building_a_query_starts_no_job(spark, key):
     QUERIES[key](spark, SF)  # reading a schema may start one
@@ -82,3 +83,20 @@ def test_dedup_combines_copies_map_side(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     ex = plan.find("Exchange hashpartitioning(icao24")
     assert ex > 0 and "partial_max_by" in plan[ex:], plan
+
+
+def test_the_report_reads_stored_windows_and_no_window_spans_a_column(spark):
+    """Features are computed once and stored; ranks are taken inside value chunks."""
+    plan = _static_plan(spark, lambda: QUERIES["report_per_file"](spark, SF))
+    scans = re.findall(r"Scan parquet.*", plan)
+    assert scans and "lineitem" not in plan
+    for w in re.findall(r"Window \[.*?windowspecdefinition\((.*?), _v#", plan):
+        assert "_chunk" in w, w
+
+
+def test_validity_conditions_stay_small(spark):
+    """A filter made of coerced columns is too large to compile, and ten times slower."""
+    plan = _static_plan(spark, lambda: QUERIES["tracking_clean"](spark, SF))
+    condition = max(re.findall(r"Filter (.*)", plan), key=len)
+    assert "CASE" not in condition.split("abs_P")[0] or len(condition) < 4000
+    assert condition.count("l_shipdate") <= 4 and condition.count("unix_timestamp") <= 3
