@@ -25,12 +25,13 @@ def query(fn=None, *, oracle: str | None = None):
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on 40 shards through the slot map; law ``key``: the id and
-    the shard count decide, and a 41st shard takes rows only into itself."""
+    the shard count decide, and a 41st shard takes rows only into itself.  The
+    map, its growth and its rebalancing by the counted bytes are stored versions."""
     records = table(spark, sf_dir, "documents").select(
         "doc_id", sharding.record_size().alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
     return sharding.sharded(records, sharding.first_map(40)).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.col("position").alias("slot"), "grown_shard", "virtual_slot", "map_version")
+        F.col("position").alias("slot"), "grown_shard", "virtual_slot", "even_shard", "map_version", "grown_version", "even_version")
 
 
 _LINES_SQL = """

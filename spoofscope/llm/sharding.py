@@ -14,12 +14,13 @@ row per slot and task.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spoofscope.llm.common import fresh, staged, text_or_empty
+from spoofscope.llm.common import ensure_checkpoint_dir, fresh, staged, text_or_empty
 
 #: Virtual slots; a slot of a 100 TB corpus holds about 12 GB in 8,192 slots.
 SLOTS = 8192
@@ -116,6 +117,17 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(rows[0].version, rows[0].n_shards, tuple(r.shard for r in rows))
 
 
+def stored_versions(spark: SparkSession, path: str, m: SlotMap, slot_bytes: dict[int, int]) -> tuple[SlotMap, SlotMap, SlotMap]:
+    """The map, its growth by one shard and its rebalancing by the counted
+    bytes of the slots: written under ``path`` as three versions, and as they
+    are when read back."""
+    more = grown(m)
+    even = replace(rebalanced(m, slot_bytes), version=more.version + 1)
+    for x in (m, more, even):
+        save_map(spark, x, path)
+    return tuple(load_map(spark, path, x.version) for x in (m, more, even))
+
+
 def record_size(text: str = "text") -> Column:
     """UTF-8 bytes of the text (NULL: none) plus 16."""
     return (F.octet_length(text_or_empty(text)) + 16).cast("long")
@@ -127,9 +139,15 @@ def slot_totals(records: DataFrame, slot: str, size: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
 
 
-def sharded(records: DataFrame, m: SlotMap, key: str = "doc_id", size: str = "size") -> DataFrame:
+def sharded(records: DataFrame, m: SlotMap, key: str = "doc_id", size: str = "size", path: str | None = None) -> DataFrame:
     """``records`` with virtual_slot, shard, grown_shard (under one more
-    shard), map_version and position (gapless from 0 in each shard).
+    shard), even_shard (slots moved until the shards' bytes are even), the
+    versions of the maps that these come from (map_version, grown_version,
+    even_version) and position (gapless from 0 in each shard).
+
+    The maps are stored and read back under ``path``, in a folder of the
+    shared checkpoint folder unless given.  Slots that tie in bytes move in
+    the order of their numbers.
 
     Only small records should come in (ids and sizes, no texts).  Rows are
     numbered per part of a slot: a slot with many rows, or rows that share a
@@ -139,14 +157,16 @@ def sharded(records: DataFrame, m: SlotMap, key: str = "doc_id", size: str = "si
     rows.
     """
     spark, columns = records.sparkSession, records.columns
-    slots, more = len(m.shards), grown(m)
+    slots = len(m.shards)
     rid = fresh(columns, "rid")
     rows = staged(records.withColumn(rid, F.monotonically_increasing_id()).withColumn("virtual_slot", slot_of(F.col(key), slots)))
     # one row per virtual slot at most: bounded by the slot count
     totals = {r.slot: (r.n_rows, r.n_bytes) for r in slot_totals(rows, "virtual_slot", size).collect()}
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    m, more, even = stored_versions(spark, path, m, {slot: n_bytes or 0 for slot, (_, n_bytes) in totals.items()})
     layout = spark.createDataFrame(
-        [(i, s, more.shards[i], 1 + totals.get(i, (0, 0))[0] // ROWS_PER_WINDOW) for i, s in enumerate(m.shards)],
-        "virtual_slot int, shard int, grown_shard int, parts int")
+        [(i, s, more.shards[i], even.shards[i], 1 + totals.get(i, (0, 0))[0] // ROWS_PER_WINDOW) for i, s in enumerate(m.shards)],
+        "virtual_slot int, shard int, grown_shard int, even_shard int, parts int")
     rows = rows.join(F.broadcast(layout), "virtual_slot").withColumn(
         "part", F.pmod(F.xxhash64(rid), F.col("parts")).cast("int"))
     counts = rows.groupBy("shard", "virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -155,5 +175,6 @@ def sharded(records: DataFrame, m: SlotMap, key: str = "doc_id", size: str = "si
     offsets = counts.select("virtual_slot", "part", F.coalesce(before, F.lit(0)).alias("offset"))
     own = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy(rid))
     return (rows.withColumn("own", own).join(offsets, ["virtual_slot", "part"])
-            .select(*columns, "virtual_slot", "shard", "grown_shard", F.lit(m.version).alias("map_version"),
+            .select(*columns, "virtual_slot", "shard", "grown_shard", "even_shard", F.lit(m.version).alias("map_version"),
+                    F.lit(more.version).alias("grown_version"), F.lit(even.version).alias("even_version"),
                     (F.col("offset") + F.col("own") - 1).alias("position")))

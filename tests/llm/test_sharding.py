@@ -67,3 +67,29 @@ def test_query(spark):
         assert (r["size"], r.text_crc32) == (len(raw) + 16, zlib.crc32(raw)) and r.grown_shard in (r["shard"], 40)
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_slots_and_maps_recomputed(spark, docs_of, tmp_path):
+    """Every row's slot and its shards under all three stored maps, by plain Python."""
+    import struct
+
+    import xxhash
+    rows = [(i, "x" * (i * i % 900)) for i in range(-40, 400)]
+    df = docs_of(rows).select("doc_id", sharding.record_size().alias("size"))
+    got = {r.doc_id: r for r in sharding.sharded(df, sharding.first_map(5, 64), path=str(tmp_path / "m")).collect()}
+    slot = {i: xxhash.xxh64_intdigest(struct.pack("<q", i), 42) % 64 for i, _ in rows}  # 64 divides 2^64
+    load = {k: sum(len(t) + 16 for i, t in rows if slot[i] == k) for k in set(slot.values())}
+    first, more, even = (sharding.load_map(spark, str(tmp_path / "m"), v) for v in (1, 2, 3))
+    assert first == sharding.first_map(5, 64) and more.n_shards == 6 and even.n_shards == 5
+    for i, _ in rows:
+        r = got[i]
+        assert (r.virtual_slot, r["shard"], r.grown_shard, r.even_shard) == (slot[i], first.shards[slot[i]], more.shards[slot[i]], even.shards[slot[i]])
+        assert (r.map_version, r.grown_version, r.even_version) == (1, 2, 3)
+    held = lambda m: [sum(n for k, n in load.items() if m.shards[k] == s) for s in range(5)]
+    assert max(held(even)) - min(held(even)) < max(held(first)) - min(held(first))
+    assert sharding.load_map(spark, str(tmp_path / "m")) == even
+
+
+def test_ties_in_bytes_move_in_slot_order():
+    m = sharding.SlotMap(1, 2, (0, 0, 0, 0, 1))
+    assert sharding.rebalanced(m, {0: 10, 1: 10, 2: 10, 3: 10, 4: 0}) == sharding.SlotMap(2, 2, (1, 1, 0, 0, 1))
