@@ -200,7 +200,10 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
            fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> tuple[list[str], list[int], float | None]:
     """Texts and labels to fit on, and the share of toxic labels among all rows
     that may be learnt from.  An id with both labels counts as toxic; an id on
-    several documents gives one of them."""
+    several documents gives one of them.  At most ``fit_docs`` documents of a
+    label and ``fit_chars / 2`` characters are taken, in the order of a hash;
+    a text that is too long for what is left is passed over.  An empty table
+    gives no texts."""
     known = (labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
              .groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y")))
     known = staged(known)
@@ -210,14 +213,15 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # at most 2 x fit_docs rows are broadcast
     rows = staged(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(staged(picked)), "id")
                   .groupBy("id", "y").agg(F.min("text").alias("text")))
-    sizes = rows.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(order, "id").collect()
-    ids, total = [], 0
-    for r in sizes:
-        total += r.n
-        if total > fit_chars:
-            break
-        ids.append(r.id)
-    got = rows.orderBy(order, "id").limit(len(ids)).collect() if ids else []
+    sizes = rows.select("id", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(order, "id").collect()
+    ids, total = [], {0: 0, 1: 0}
+    for r in sizes:  # a text that does not fit is passed over; each label has half of the characters
+        if total[r.y] + r.n <= fit_chars // 2:
+            total[r.y] += r.n
+            ids.append((r.id,))
+    if not ids:
+        return [], [], prior
+    got = rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, f"id {dict(rows.dtypes)['id']}")), "id").orderBy(order, "id").collect()
     return [r.text for r in got], [r.y for r in got], prior
 
 

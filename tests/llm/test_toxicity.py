@@ -91,3 +91,14 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op9_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out and toxic is not null").toPandas()
     assert ((got.score >= 0) & (got.score <= 1)).all() and (got.predicted == (got.score >= 0.5)).all()
     assert (got.predicted == got.toxic).mean() > 0.9
+
+
+def test_a_very_long_labelled_text_is_passed_over(spark, docs_of):
+    """Wherever it stands in the hash order, the others are learnt from, of both labels."""
+    rows = [(i, ("foul " if i % 2 else "kind ") * 20) for i in range(1, 120)]
+    for long in (2, 3, 57):
+        docs = docs_of([(i, "word " * 50_000 if i == long else t) for i, t in rows])
+        labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+        texts, ys, _ = toxicity.sample(docs, labels, fit_chars=20_000)
+        assert 0 < sum(ys) < len(ys) and max(map(len, texts)) == 100 and sum(map(len, texts)) <= 20_000
+    assert toxicity.sample(docs.limit(0), labels)[:2] == ([], [])
