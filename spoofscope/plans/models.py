@@ -352,18 +352,25 @@ def _description_sql() -> str:
     d = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in FEATURE_DESCRIPTIONS.items())
     counts = lambda name, table, cols: " UNION ALL ".join(
         f"SELECT '{name}' AS model_name, '{c}' AS feature, count({c}) AS n_values FROM {table}" for c in cols)
-    return (sig._FEATURES_CTE + f", d(feature, description) AS (VALUES {d}), n AS (" + counts("signal", "features", trk.FEATURE_COLUMNS)
+    inputs = " UNION ALL ".join(f"SELECT 'trajectory' AS model_name, '{c}' AS feature, count(*) AS n_values FROM adsb_raw" for c in tr.MODEL_FEATURES)
+    return (sig._FEATURES_CTE + f", {ad.cte('adsb_raw', ad.ADSB_RAW)}, d(feature, description) AS (VALUES {d}), n AS ("
+            + counts("signal", "features", trk.FEATURE_COLUMNS) + f" UNION ALL {inputs}"
             + f") SELECT model_name, n.feature, n_values, coalesce(description, {quoted(DEFAULT_DESCRIPTION)}) AS description FROM n LEFT JOIN d USING (feature)")
 
 
 @register("feature_descriptions", oracle=_description_sql())
 def q_feature_descriptions(spark, sf_dir):
-    """Every feature of the signal model, how many windows have it, and its description."""
-    f = sig.features(spark, sf_dir)
-    one = f.agg(*[F.count(c).alias(c) for c in trk.FEATURE_COLUMNS])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values")) for c in trk.FEATURE_COLUMNS])).alias("x"))
+    """Every feature of both models, how many windows or reports have it (the
+    trajectory model's inputs are filled, so all have), and its description."""
+    def counted(name: str, df: DataFrame, cols) -> DataFrame:
+        one = df.agg(*[F.count(c).alias(c) for c in cols])
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values")) for c in cols])
+        return one.select(F.explode(pairs).alias("x")).select(F.lit(name).alias("model_name"), "x.feature", "x.n_values")
+
+    n = counted("signal", sig.features(spark, sf_dir), trk.FEATURE_COLUMNS).union(
+        counted("trajectory", tr.model_input(trp.features(spark, sf_dir)), tr.MODEL_FEATURES))
     d = spark.createDataFrame(list(FEATURE_DESCRIPTIONS.items()), "feature string, description string")
-    return (long.select(F.lit("signal").alias("model_name"), "x.feature", "x.n_values").join(F.broadcast(d), "feature", "left")  # a fixed, small table
+    return (n.join(F.broadcast(d), "feature", "left")  # a fixed, small table
             .select("model_name", "feature", "n_values", F.coalesce("description", F.lit(DEFAULT_DESCRIPTION)).alias("description")))
 
 
