@@ -128,3 +128,34 @@ def test_no_fold_with_both_classes_is_an_error(spark):
     rows = spark.createDataFrame([(g, 1) for g in range(8) for _ in range(3)], "group_id int, y int")
     with pytest.raises(ValueError):
         models.holdout_split(rows, "group_id")
+
+
+def test_a_fit_is_in_few_tasks_however_many_the_table_has(spark, monkeypatch):
+    seen = []
+
+    class Learner:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count(), sorted(rows.columns)))
+
+    monkeypatch.setattr(ml, "forest_pipeline", lambda *a, **k: Learner())
+    monkeypatch.setattr(models, "FIT_ROWS", 300)
+    rows = spark.range(0, 4000, 1, 100).selectExpr("id % 20 AS g", "cast(id % 2 AS int) AS y", "id AS k", "cast(id AS double) AS x")
+    models.fitted(rows, "g", ["x"], key=["k"])
+    (tasks, n, columns), = seen
+    assert tasks <= models.FIT_TASKS and n == 300 and columns == ["weight", "x", "y"]
+
+
+def test_the_windows_of_the_signal_model_are_built_once(spark, monkeypatch, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    def value(k):
+        built.add(1)
+        return float(k)
+
+    rows = spark.range(50).select("id", F.udf(value, "double")("id").alias(models.trk.FEATURE_COLUMNS[0]))
+    spark.range(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(models, "signal_rows", lambda *a: rows)
+    monkeypatch.setattr(models, "holdout_model", lambda rows, *a, **k: (rows,))
+    read, features = models.signal_holdout(spark, str(tmp_path))
+    assert features == models.trk.FEATURE_COLUMNS[:1] and read.agg(F.sum(features[0])).first()[0] == 1225.0
+    assert built.value == 50
