@@ -159,3 +159,18 @@ def test_the_windows_of_the_signal_model_are_built_once(spark, monkeypatch, tmp_
     read, features = models.signal_holdout(spark, str(tmp_path))
     assert features == models.trk.FEATURE_COLUMNS[:1] and read.agg(F.sum(features[0])).first()[0] == 1225.0
     assert built.value == 50
+
+
+def test_a_fold_is_scored_once(spark, monkeypatch):
+    scored = spark.sparkContext.accumulator(0)
+
+    def value(k):
+        scored.add(1)
+        return k / 400
+
+    rows = spark.range(400).selectExpr("id", "id % 8 AS g", "cast(id % 2 AS int) AS y")
+    monkeypatch.setattr(models, "fitted", lambda *a: None)
+    monkeypatch.setattr(ml, "score", lambda model, df, threshold: df.withColumn("spoof_probability", F.udf(value, "double")("id"))
+                        .withColumn("y_pred", (F.col("spoof_probability") >= threshold).cast("int")))
+    table, _ = models.cross_validate(rows, "g", ["id"])
+    assert table.agg(F.sum("test_rows")).first()[0] == 400 and scored.value <= 800
