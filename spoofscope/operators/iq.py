@@ -151,12 +151,29 @@ SPAN_BLOCKS = 64
 _PACKED = {"tinyint": "<i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4"}
 
 
+#: Samples that are packed together, however few of them a batch has.
+PACK_ROWS = 10_000
+
+
+def _gathered(batches):
+    """The complete samples of as many batches as have ``PACK_ROWS`` rows."""
+    kept, n = [], 0
+    for b in batches:
+        kept.append(b.dropna(subset=["idx", "i", "q"]).astype({"idx": "int64"}))
+        n += len(b)
+        if n >= PACK_ROWS:
+            yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+            kept, n = [], 0
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
 def packed_blocks(df: DataFrame, block: int, keys=("source",)) -> DataFrame:
     """Rows of samples -> keys, block, at, i, q: the samples of a block that
-    came in one Arrow batch, as binary arrays; at: their places in the block
+    came in the same ``PACK_ROWS`` rows or so of a task, as binary arrays; at: their places in the block
     (int32), or just the first place when they are consecutive.
 
-    A block is one row, or two where it lies across batches, when samples
+    A block is one row, or two where it lies across those, when samples
     come in order; in any other order it is more rows, not another result.
     Samples with a NULL in idx, i or q are passed over.
     """
@@ -166,8 +183,7 @@ def packed_blocks(df: DataFrame, block: int, keys=("source",)) -> DataFrame:
     names = [*keys, "block", "at", "i", "q"]
 
     def pack(batches):
-        for b in batches:
-            rows = b.dropna(subset=["idx", "i", "q"])
+        for rows in _gathered(batches):
             rows = rows.assign(block=rows["idx"] // block).sort_values("idx", kind="stable")
             out = []
             for key, g in rows.groupby([*keys, "block"], sort=False, dropna=False):

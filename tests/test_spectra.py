@@ -80,3 +80,17 @@ def test_parseval(spark):
     got = iq.welch_psd(df, 4096, fs=1.0).toPandas()
     w = iq.hann_periodic(4096)
     assert (10 ** (got.psd_db / 10)).sum() == pytest.approx(4096 * (np.abs((x - x.mean()) * w) ** 2).sum() / (w ** 2).sum(), rel=1e-6)
+
+
+def test_small_batches_make_no_more_rows(spark):
+    """Operators of the corpus have smaller batches set for the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.range(0, 20_000, 1, 1).select(F.lit("w").alias("source"), F.col("id").alias("idx"), F.lit(1).cast("smallint").alias("i"),
+                                             F.when(F.col("id") != 7, 2).cast("smallint").alias("q"))
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "100")
+        got = iq.packed_blocks(df, 1000).select("block", F.length("i").alias("n")).collect()
+    finally:
+        spark.conf.set(key, was)
+    assert len(got) == 20 and sum(r.n for r in got) == 2 * 19_999
